@@ -1,0 +1,33 @@
+"""Connected components of a link table, by alternating star contractions."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from .common import checkpoint
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """node, component (smallest node reachable) for every node with a link to another.
+
+    Each round hangs every node's larger neighbours on its smallest one, then
+    every node's smaller neighbours on the smallest of them; links with null
+    ends or onto themselves count for nothing. The rounds end when the links
+    stay as they are: then each node hangs on its component's smallest node.
+    """
+    pairs = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), F.col(a).alias("x"), F.col(b).alias("y"))
+    pairs = checkpoint(pairs.where("x is not null and y is not null and u > v").select("u", "v").distinct())
+    before = None
+    while True:
+        both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("s")).select("s.u", F.col("s.m").alias("v"))
+        pairs = checkpoint(small.where("u > v").distinct())
+        after = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if after == before:
+            break
+        before = after
+    nodes = pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return nodes.union(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
