@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Text bytes that one step of a Python task holds as words at a time (a longer text goes alone).
 CHUNK_BYTES = 2 << 20
@@ -18,17 +18,22 @@ BASE_A = 0x9E3779B97F4A7C15
 BASE_B = 0xC2B2AE3D27D4EB4F
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that the cluster names."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the cluster names it; a temporary one in local mode alone."""
     sc = spark.sparkContext
+    folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="cortexa-checkpoint-")
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local[") and sc.master != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            folder = tempfile.mkdtemp(prefix="cortexa-checkpoint-")
         sc.setCheckpointDir(folder)
+    return folder
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -99,3 +104,16 @@ def doc_text(df: DataFrame, *more: str) -> DataFrame:
 
 def documents(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+#: Bytes outside words (ASCII but for digits and letters) become blanks, and A-Z become a-z.
+WORD_BYTES = bytes(x if x >= 0x80 else x + 32 if 65 <= x <= 90 else x if 48 <= x <= 57 or 97 <= x <= 122 else 32 for x in range(256))
+
+
+def plain_words(text: bytes) -> list[bytes]:
+    """The words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of a text whose A-Z are lower-cased."""
+    return text.translate(WORD_BYTES).split()
+
+
+def starts_of(counts: np.ndarray) -> np.ndarray:
+    """Where each of consecutive runs of the given lengths starts."""
+    return np.cumsum(counts) - counts
