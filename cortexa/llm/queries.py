@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, simhash
+from pyspark.sql import DataFrame, SparkSession
+
+from . import decontaminate, exact_dedup, license_scan, packing, simhash, toxicity
 from .common import documents
 
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
 QUERIES = {
+    "op1_license_scan": lambda spark, sf_dir: license_scan.scan(documents(spark, sf_dir)),
     "op2_simhash_near_dedup": lambda spark, sf_dir: simhash.near_duplicates(documents(spark, sf_dir)),
+    "op5_toxicity": lambda spark, sf_dir: toxicity.toxicity(documents(spark, sf_dir), _read(spark, sf_dir, "labels")),
     "op6_exact_dedup": lambda spark, sf_dir: exact_dedup.exact_dedup(documents(spark, sf_dir)),
+    "op9_best_fit_packing": lambda spark, sf_dir: packing.best_fit(documents(spark, sf_dir)),
+    "op10_decontamination": lambda spark, sf_dir: decontaminate.contained(documents(spark, sf_dir), _read(spark, sf_dir, "benchmark")),
 }
 
 SQL = {
+    "op1_license_scan": license_scan.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
+    "op10_decontamination": decontaminate.SQL,
 }
