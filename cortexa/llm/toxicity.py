@@ -24,8 +24,9 @@ from .common import doc_text, plain_words, text_chunks
 
 #: The fit's bounds, in documents: positives, and unlabelled ones.
 POSITIVES, UNLABELLED = 6_000, 18_000
-#: Terms that the classifier may use, and the prior where no training row is labelled clean.
-TERMS, PRIOR = 512, 0.1
+#: Terms that the classifier may use, the standard errors by which their odds must stand out,
+#: and the prior where no training row is labelled clean.
+TERMS, EVIDENCE, PRIOR = 256, 4.0, 0.1
 TABLE = 1 << 24
 FOLDS = 5
 
@@ -107,9 +108,7 @@ def fit(sets: list[np.ndarray], positive: np.ndarray, prior: float, steps: int =
     u = np.bincount(flat[~positive[doc]], minlength=len(names)) + 0.5
     odds = np.log(p / (n_pos + 1)) - np.log(u / (n_unl + 1))
     strength = np.abs(odds) / np.sqrt(1 / p + 1 / u)
-    # A term of the unlabelled text's own toxic share has odds of at most 1 / prior; rare terms say nothing.
-    strength[p + u < 4] = 0
-    chosen = np.sort(np.argsort(-strength, kind="stable")[:TERMS])
+    chosen = np.sort(np.argsort(-strength, kind="stable")[: min(TERMS, int((strength >= EVIDENCE).sum()))])
     place = np.full(len(names), -1)
     place[chosen] = np.arange(len(chosen))
     keep = place[flat] >= 0
