@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, license_scan, packing, simhash, toxicity
+from . import decontaminate, exact_dedup, license_scan, packing, simhash, substring_dedup, toxicity
 from .common import documents
 
 
@@ -17,6 +17,7 @@ QUERIES = {
     "op2_simhash_near_dedup": lambda spark, sf_dir: simhash.near_duplicates(documents(spark, sf_dir)),
     "op5_toxicity": lambda spark, sf_dir: toxicity.toxicity(documents(spark, sf_dir), _read(spark, sf_dir, "labels")),
     "op6_exact_dedup": lambda spark, sf_dir: exact_dedup.exact_dedup(documents(spark, sf_dir)),
+    "op7_substring_dedup": lambda spark, sf_dir: substring_dedup.substring_dedup(documents(spark, sf_dir), texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256"),
     "op9_best_fit_packing": lambda spark, sf_dir: packing.best_fit(documents(spark, sf_dir)),
     "op10_decontamination": lambda spark, sf_dir: decontaminate.contained(documents(spark, sf_dir), _read(spark, sf_dir, "benchmark")),
 }
@@ -24,5 +25,6 @@ QUERIES = {
 SQL = {
     "op1_license_scan": license_scan.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
+    "op7_substring_dedup": substring_dedup.SQL,
     "op10_decontamination": decontaminate.SQL,
 }
