@@ -125,3 +125,29 @@ def plain_words(text: bytes) -> list[bytes]:
 def starts_of(counts: np.ndarray) -> np.ndarray:
     """Where each of consecutive runs of the given lengths starts."""
     return np.cumsum(counts) - counts
+
+
+def commonest(counts: DataFrame, groups: list[str], most: int) -> tuple[list, dict]:
+    """The rows of each group with the largest ``n``, at most ``most`` of them, and each group's sum of ``n``.
+
+    Rows are chosen by a limit on n, found from a histogram in steps of an
+    eighth of a power of two, so no group is sorted in one place; of counts
+    that straddle the bound none is taken.
+    """
+    step = F.floor(F.log2("n") * 8).cast("int")
+    steps = counts.groupBy(*groups, step.alias("step")).agg(F.count("*").alias("rows"), F.sum("n").alias("n")).collect()
+    totals: dict = {}
+    limits: dict = {}
+    taken: dict = {}
+    for r in sorted(steps, key=lambda r: -r["step"]):
+        key = tuple(r[g] for g in groups)
+        totals[key] = totals.get(key, 0) + r["n"]
+        taken[key] = taken.get(key, 0) + r["rows"]
+        if taken[key] <= most:
+            limits[key] = r["step"]
+    if not limits:
+        return [], totals
+    chosen = counts.sparkSession.createDataFrame([(*k, v) for k, v in limits.items()], [*groups, "least"]) if groups else None
+    if chosen is None:
+        return counts.where(step >= limits[()]).collect(), totals
+    return counts.join(F.broadcast(chosen), groups).where(step >= F.col("least")).drop("least").collect(), totals
