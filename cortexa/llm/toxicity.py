@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import doc_text, plain_words, text_chunks
 
 #: The fit's bounds, in documents: positives, and unlabelled ones.
-POSITIVES, UNLABELLED = 6_000, 18_000
+POSITIVES, UNLABELLED = 4_000, 12_000
 #: Terms that the classifier may use, the standard errors by which their odds must stand out,
 #: and the prior where no training row is labelled clean.
 TERMS, EVIDENCE, PRIOR = 256, 4.0, 0.1
