@@ -65,22 +65,23 @@ def normality(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     mean = df.groupBy(*keys).agg(F.avg(x).alias("__m")) if keys else df.agg(F.avg(x).alias("__m"))
     centred = (df.join(mean, keys) if keys else df.crossJoin(F.broadcast(mean))).withColumn("__d", x - F.col("__m"))
     d = F.col("__d")
-    s = centred.groupBy(*keys).agg(F.count(x).cast("double").alias("n"), F.avg(d * d).alias("m2"), F.avg(d * d * d).alias("m3"), F.avg(d * d * d * d).alias("m4"))
-    n, g1, b2 = F.col("n"), F.try_divide(F.col("m3"), F.pow("m2", F.lit(1.5))), F.try_divide(F.col("m4"), F.col("m2") * F.col("m2"))
+    every = centred.groupBy(*keys).agg(F.count(x).cast("double").alias("n"), F.avg(d * d).alias("m2"), F.avg(d * d * d).alias("m3"), F.avg(d * d * d * d).alias("m4"))
+    s, small = every.where("n >= 8 and m2 > 0"), every.where("not coalesce(n >= 8 and m2 > 0, false)")
+    c = F.col
+    n, root = c("n"), c("root")
+    s = s.withColumn("g1", F.try_divide(c("m3"), F.pow("m2", F.lit(1.5)))).withColumn("b2", F.try_divide(c("m4"), c("m2") * c("m2")))
     # Skewness, made normal by Johnson's SU curve.
-    y = g1 * F.sqrt((n + 1) * (n + 3) / (6 * (n - 2)))
-    beta2 = 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
-    w2 = F.sqrt(2 * (beta2 - 1)) - 1
-    scaled = y / F.sqrt(2 / (w2 - 1))
-    z1 = F.log(scaled + F.sqrt(scaled * scaled + 1)) / F.sqrt(0.5 * F.log(w2))
+    s = s.withColumn("w2", F.sqrt(2 * (3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) - 1)) - 1)
+    s = s.withColumn("y", c("g1") * F.sqrt((n + 1) * (n + 3) / (6 * (n - 2))) / F.sqrt(2 / (c("w2") - 1)))
+    s = s.withColumn("z1", F.asinh("y") / F.sqrt(0.5 * F.log("w2")))
     # Kurtosis, by a cube root of a chi-squared variable.
-    x2 = (b2 - 3 * (n - 1) / (n + 1)) / F.sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5)))
-    root = 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * F.sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))
-    a = 6 + 8 / root * (2 / root + F.sqrt(1 + 4 / (root * root)))
-    ratio = (1 - 2 / a) / (1 + x2 * F.sqrt(2 / (a - 4)))
-    z2 = (1 - 2 / (9 * a) - F.signum(ratio) * F.pow(F.abs(ratio), F.lit(1 / 3))) / F.sqrt(2 / (9 * a))
-    k2 = F.when((n >= 8) & (F.col("m2") > 0), z1 * z1 + z2 * z2)
-    return s.select(*keys, F.col("n").cast("long").alias("n"), k2.alias("k2"), F.exp(-k2 / 2).alias("p"))
+    s = s.withColumn("x2", (c("b2") - 3 * (n - 1) / (n + 1)) / F.sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))))
+    s = s.withColumn("root", 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * F.sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))))
+    s = s.withColumn("a", 6 + 8 / root * (2 / root + F.sqrt(1 + 4 / (root * root))))
+    s = s.withColumn("z2", (1 - 2 / (9 * c("a")) - F.cbrt((1 - 2 / c("a")) / (1 + c("x2") * F.sqrt(2 / (c("a") - 4))))) / F.sqrt(2 / (9 * c("a"))))
+    known = s.select(*keys, n.cast("long").alias("n"), (c("z1") * c("z1") + c("z2") * c("z2")).alias("k2"))
+    few = small.select(*keys, c("n").cast("long").alias("n"), F.lit(None).cast("double").alias("k2"))
+    return known.unionByName(few).withColumn("p", F.exp(-F.col("k2") / 2))
 
 
 def adaptive_test(df: DataFrame, keys: list[str], group: str, value: str, a, b, alpha: float = 0.05) -> DataFrame:

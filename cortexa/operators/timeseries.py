@@ -115,6 +115,7 @@ def cleaned(series: DataFrame, confounds: DataFrame, keys: list[str], columns: l
             values = (values - values.mean(axis=1, keepdims=True)) / np.where(sd < 1e-12, 1, sd)
         return nodes[[*keys, node]].assign(**{x: list(values)})
 
+    right = right.select(*(F.col(c).alias(c) for c in right.columns))  # apart from the same table on the left
     kinds = dict(series.dtypes)
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in [*keys, node]), f"{x} array<double>"])
     groups = [*keys, "block"]

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import relational
+from . import networks, relational, statistics
 
-_MODULES = (relational,)
+_MODULES = (relational, statistics, networks)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: text for m in _MODULES for name, text in m.SQL.items()}
