@@ -1,9 +1,9 @@
 """Merkle fixity audit of WARC records.
 
 Pages are laid out as WARC response records in files of consecutive ids. Each
-record is hashed; nodes above hash up to 16 children in order, each with the
-range of offsets that it covers; file roots are hashed on, file by file, up to
-one root for the archive. Two replicas are compared from their roots down, and
+record is hashed; nodes above hash up to 16 children in the order of their
+offsets, each with the length of the range that it covers; file roots are hashed
+on, file by file, up to one root for the archive. Two replicas are compared from their roots down, and
 only children of nodes that differ are looked at.
 """
 
@@ -70,43 +70,57 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def manifest(pages: DataFrame, per_file: int = PER_FILE) -> DataFrame:
-    """file, seq, page_id, start, stop, hash of every record; ties in page_id go by hash.
+    """file, place, page_id, start, stop, hash of every record, in order of page_id (ties by hash).
 
-    Null urls and pages are empty ones. Pages without an id go to files with
-    negative numbers. Other columns are ignored.
+    ``place`` is the id's own slot in its file, so a record that is lost does
+    not shift the places of those behind it. Null urls and pages are empty
+    ones. Pages without an id go to files with negative numbers, to places by
+    their content. Other columns are ignored.
     """
     rows = records(pages, per_file).select("file", "page_id", F.sha2("record", 256).alias("hash"), F.octet_length("record").cast("long").alias("size"))
-    order = Window.partitionBy("file").orderBy("page_id", "hash")
-    stop = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.select("file", (F.row_number().over(order) - 1).cast("long").alias("seq"), "page_id", (stop - F.col("size")).alias("start"), stop.alias("stop"), "hash")
+    order = Window.partitionBy("file").orderBy("page_id", "hash").rowsBetween(Window.unboundedPreceding, 0)
+    stop = F.sum("size").over(order)
+    slot = F.coalesce(F.pmod("page_id", F.lit(per_file)), F.pmod(F.xxhash64("hash"), F.lit(per_file))).cast("long")
+    return rows.select("file", slot.alias("place"), "page_id", (stop - F.col("size")).alias("start"), stop.alias("stop"), "hash")
+
+
+def leaves(rows: DataFrame) -> DataFrame:
+    """part, place, size, hash of every slot that has records.
+
+    One record's hash stands for itself. Records that share an id are summed
+    piece by piece, which needs no order and gathers none of them anywhere.
+    """
+    pieces = [F.sum(F.conv(F.substring("hash", 1 + 15 * k, 15), 16, 10).cast("decimal(20,0)").cast("decimal(38,0)")) for k in range(4)]
+    met = rows.groupBy(F.col("file").alias("part"), "place").agg(F.sum(F.col("stop") - F.col("start")).alias("size"), F.count("*").alias("n"), F.max("hash").alias("one"), F.concat_ws(":", *(x.cast("string") for x in pieces)).alias("sums"))
+    return met.select("part", "place", "size", F.when(F.col("n") == 1, F.col("one")).otherwise(F.sha2(F.concat_ws(":", F.col("n").cast("string"), "sums"), 256)).alias("hash"))
 
 
 class Level(NamedTuple):
-    nodes: DataFrame  # part, place, start, stop, hash
+    nodes: DataFrame  # part, place, size, hash
     parent: tuple  # columns: part and place of a node's parent
 
 
 def _parents(nodes: DataFrame, parent: tuple) -> DataFrame:
     part, place = parent
-    child = F.struct(F.col("part").alias("p"), F.col("place").alias("q"), "start", "stop", "hash")
-    met = nodes.groupBy(part.alias("up"), place.alias("at")).agg(F.array_sort(F.collect_list(child)).alias("children"))
-    spelled = F.array_join(F.transform("children", lambda c: F.concat_ws(":", c["p"], c["q"], c["start"], c["stop"], c["hash"])), ",")
-    return met.select(F.col("up").alias("part"), F.col("at").alias("place"), F.array_min("children.start").alias("start"), F.array_max("children.stop").alias("stop"), F.sha2(spelled, 256).alias("hash"))
+    child = F.struct(F.col("part").alias("p"), F.col("place").alias("q"), "size", "hash")
+    met = nodes.groupBy(part.alias("up"), place.alias("at")).agg(F.sum("size").alias("size"), F.array_sort(F.collect_list(child)).alias("children"))
+    spelled = F.array_join(F.transform("children", lambda c: F.concat_ws(":", c["p"], c["q"], c["size"], c["hash"])), ",")
+    return met.select(F.col("up").alias("part"), F.col("at").alias("place"), "size", F.sha2(spelled, 256).alias("hash"))
 
 
 def shape(*manifests: DataFrame) -> tuple[int, int, int]:
-    """Largest seq, smallest and largest file of some manifests, which trees to be compared must share."""
-    every = manifests[0].select("seq", "file")
+    """Largest place, smallest and largest file of some manifests, which trees to be compared must share."""
+    every = manifests[0].select("place", "file")
     for m in manifests[1:]:
-        every = every.union(m.select("seq", "file"))
-    top, first, last = every.agg(F.max("seq"), F.min("file"), F.max("file")).first()
+        every = every.union(m.select("place", "file"))
+    top, first, last = every.agg(F.max("place"), F.min("file"), F.max("file")).first()
     return top or 0, first or 0, last or 0
 
 
 def tree(rows: DataFrame, top: int, first: int, last: int) -> list[Level]:
-    """Levels from the records to the root, for files ``first`` to ``last`` of up to ``top + 1`` records."""
+    """Levels from the slots to the root, for files ``first`` to ``last`` of up to ``top + 1`` slots."""
     part, place = F.col("part"), F.col("place")
-    nodes = rows.select(F.col("file").alias("part"), F.col("seq").alias("place"), "start", "stop", "hash")
+    nodes = leaves(rows)
     levels = []
     while top > 0:
         levels.append(Level(nodes, up := (part, F.floor(place / FANOUT).cast("long"))))
@@ -119,11 +133,12 @@ def tree(rows: DataFrame, top: int, first: int, last: int) -> list[Level]:
 
 
 def audit(original: DataFrame, replica: DataFrame) -> DataFrame:
-    """page_id, file, seq, start, stop, status, expected, found of each place where two manifests differ.
+    """page_id, file, place, start, stop, status, expected, found of each slot in which two manifests differ.
 
-    ``status`` is ``missing`` (no record at the place in the replica), ``added``
-    (none in the original), ``moved`` (the same record over other offsets) or
-    ``changed``; two empty manifests, or equal ones, give no rows.
+    ``status`` is ``missing`` (no record in the replica), ``added`` (none in
+    the original) or ``changed``; offsets are the original's, or the replica's
+    for what was added. Records that share an id are one slot. Two empty
+    manifests, or equal ones, give no rows.
     """
     original, replica = stored(original), stored(replica)
     whole = shape(original, replica)
@@ -136,17 +151,15 @@ def audit(original: DataFrame, replica: DataFrame) -> DataFrame:
             if suspects is not None:
                 up = suspects.select(F.col("part").alias("up"), F.col("place").alias("at"))
                 nodes = nodes.join(up, (level.parent[0] == F.col("up")) & (level.parent[1] == F.col("at")), "left_semi")
-            sides.append(nodes.select("part", "place", *(F.col(c).alias(f"{c}_{tag}") for c in ("start", "stop", "hash"))))
+            sides.append(nodes.select("part", "place", F.col("hash").alias(f"hash_{tag}")))
         met = sides[0].join(sides[1], ["part", "place"], "full")
-        same = F.lit(True)
-        for c in ("start", "stop", "hash"):
-            same &= F.col(f"{c}_x").eqNullSafe(F.col(f"{c}_y"))
-        suspects = checkpoint(met.where(~same))
-    status = F.when(F.col("hash_y").isNull(), "missing").when(F.col("hash_x").isNull(), "added").when(F.col("hash_x") == F.col("hash_y"), "moved").otherwise("changed")
-    found = suspects.select(F.col("part").alias("file"), F.col("place").alias("seq"), F.coalesce("start_x", "start_y").alias("start"), F.coalesce("stop_x", "stop_y").alias("stop"), status.alias("status"), F.col("hash_x").alias("expected"), F.col("hash_y").alias("found"))
-    names = original.select("file", "seq", "page_id").join(found.select("file", "seq"), ["file", "seq"], "left_semi")
-    extra = replica.select("file", "seq", "page_id").join(found.where("status = 'added'").select("file", "seq"), ["file", "seq"], "left_semi")
-    return found.join(names.union(extra), ["file", "seq"]).select("page_id", "file", "seq", "start", "stop", "status", "expected", "found")
+        suspects = checkpoint(met.where(~F.col("hash_x").eqNullSafe(F.col("hash_y"))))
+    status = F.when(F.col("hash_y").isNull(), "missing").when(F.col("hash_x").isNull(), "added").otherwise("changed")
+    found = suspects.select(F.col("part").alias("file"), "place", status.alias("status"), F.col("hash_x").alias("expected"), F.col("hash_y").alias("found"))
+    slot = lambda m: m.groupBy("file", "place").agg(F.max("page_id").alias("page_id"), F.min("start").alias("start"), F.max("stop").alias("stop"))
+    named = slot(original).join(found.where("status <> 'added'"), ["file", "place"])
+    added = slot(replica).join(found.where("status = 'added'"), ["file", "place"])
+    return named.unionByName(added).select("page_id", "file", "place", "start", "stop", "status", "expected", "found")
 
 
 def damaged(pages: DataFrame) -> DataFrame:
@@ -163,7 +176,7 @@ def fixity_audit(pages: DataFrame, per_file: int = PER_FILE) -> DataFrame:
 
 def _sql_manifest(html: str, where: str) -> str:
     return f"""
-  SELECT page_id // {PER_FILE} AS file, row_number() OVER w - 1 AS seq, page_id, sum(size) OVER w - size AS start, sum(size) OVER w AS stop, hash FROM (
+  SELECT page_id, sum(size) OVER w - size AS start, sum(size) OVER w AS stop, hash FROM (
     SELECT page_id, sha256(r) AS hash, strlen(r) AS size FROM (
       SELECT page_id, 'WARC/1.1' || n || 'WARC-Type: response' || n || 'WARC-Target-URI: ' || coalesce(url, '') || n || 'WARC-Record-ID: <urn:page:' || page_id || '>' || n || 'Content-Type: text/html' || n || 'Content-Length: ' || strlen(h) || n || n || h || n || n AS r
       FROM (SELECT page_id, url, chr(13) || chr(10) AS n, {html} AS h FROM pages WHERE {where})))
@@ -173,8 +186,8 @@ def _sql_manifest(html: str, where: str) -> str:
 SQL = f"""
 WITH a AS ({_sql_manifest("coalesce(html, '')", "true")}),
 b AS ({_sql_manifest("CASE WHEN page_id % 97 = 13 THEN '~' || substr(html, 2) ELSE coalesce(html, '') END", "page_id % 2003 <> 1999")})
-SELECT coalesce(a.page_id, b.page_id) AS page_id, file, CAST(seq AS BIGINT) AS seq, CAST(coalesce(a.start, b.start) AS BIGINT) AS start, CAST(coalesce(a.stop, b.stop) AS BIGINT) AS stop,
-  CASE WHEN b.hash IS NULL THEN 'missing' WHEN a.hash IS NULL THEN 'added' WHEN a.hash = b.hash THEN 'moved' ELSE 'changed' END AS status, a.hash AS expected, b.hash AS found
-FROM a FULL JOIN b USING (file, seq)
-WHERE a.hash IS DISTINCT FROM b.hash OR a.start IS DISTINCT FROM b.start OR a.stop IS DISTINCT FROM b.stop
+SELECT page_id, page_id // {PER_FILE} AS file, page_id % {PER_FILE} AS place, CAST(coalesce(a.start, b.start) AS BIGINT) AS start, CAST(coalesce(a.stop, b.stop) AS BIGINT) AS stop,
+  CASE WHEN b.hash IS NULL THEN 'missing' WHEN a.hash IS NULL THEN 'added' ELSE 'changed' END AS status, a.hash AS expected, b.hash AS found
+FROM a FULL JOIN b USING (page_id)
+WHERE a.hash IS DISTINCT FROM b.hash
 """
