@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def linked(values: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect what chains of fingerprints within ``distance`` connect: a member and the first of its chain."""
-    left, firsts, members = values, [], []
+    left, firsts, members = values.view(np.uint64), [], []  # bits of signed values would be those of their size
     while len(left) > 1:
         first, left = left[0], left[1:]
         edge = left[:0]
@@ -74,7 +74,7 @@ def linked(values: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
             for block in np.array_split(edge, max(1, len(edge) * len(left) // 1_000_000)):
                 near |= (np.bitwise_count(left[None, :] ^ block[:, None]) <= distance).any(axis=0)
             edge, left = left[near], left[~near]
-    return np.array(firsts, values.dtype), np.concatenate([values[:0], *members])
+    return np.array(firsts, np.uint64).view(np.int64), np.concatenate([left[:0], *members]).view(np.int64)
 
 
 def longs(values) -> Column:
