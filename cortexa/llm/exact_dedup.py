@@ -20,6 +20,10 @@ def normalised(text: str = "text"):
     return F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
+def digest(text: str = "norm"):
+    return F.unhex(F.sha2(F.col(text), 256))
+
+
 def winners(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     """One row per digest: ``sha`` and its ``classes``, an array of (keep_id, group_size, norm).
 
@@ -27,7 +31,7 @@ def winners(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     share the digest; then norm tells them apart.
     """
     rows = doc_text(docs).select("doc_id", normalised().alias("norm"))
-    rows = rows.select("doc_id", "norm", F.unhex(F.sha2(F.col("norm"), 256)).alias("sha"))
+    rows = rows.select("doc_id", "norm", digest().alias("sha"))
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     salted = rows.groupBy("sha", "salt", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n"))
     # Partitioned by digest alone, so that contents of one digest can meet without another shuffle.
@@ -49,7 +53,7 @@ def exact_dedup(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     """
     found = checkpoint(winners(docs, salts))
     rows = doc_text(docs).select("doc_id", normalised().alias("norm"))
-    rows = rows.select("doc_id", "norm", F.unhex(F.sha2(F.col("norm"), 256)).alias("sha"))
+    rows = rows.select("doc_id", "norm", digest().alias("sha"))
     one = found.where(F.size("classes") == 1).select("sha", F.inline("classes")).drop("norm")
     joined = rows.drop("norm").join(one, "sha")
     several = found.where(F.size("classes") > 1)
