@@ -46,15 +46,15 @@ def mann_whitney(df: DataFrame, keys: list[str], group: str, value: str, a, b, p
     Values are counted first, so that the ranking windows hold a row for each
     distinct value of a key and not one for each observation.
     """
-    of = [F.count_if(F.col(group) == g).alias(c) for g, c in ((a, "k_a"), (b, "k_b"))]
+    of = [F.count_if(F.col(group) == g).alias(c) for g, c in ((a, "__k_a"), (b, "__k_b"))]
     counts = df.where(F.col(group).isin(a, b) & F.col(value).isNotNull()).groupBy(*keys, value).agg(*of)
-    k = F.col("k_a") + F.col("k_b")
+    k = F.col("__k_a") + F.col("__k_b")
     below = F.sum(k).over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    ranked = counts.withColumn("k", k).withColumn("rank", F.coalesce(below, F.lit(0)) + (k + 1) / 2.0)
-    s = ranked.groupBy(*keys).agg(F.sum("k_a").alias("n_a"), F.sum("k_b").alias("n_b"), F.sum(F.col("rank") * F.col("k_a")).alias("r_a"), F.sum(F.pow(F.col("k").cast("double"), 3) - F.col("k")).alias("ties"))
+    ranked = counts.withColumn("__k", k).withColumn("__rank", F.coalesce(below, F.lit(0)) + (k + 1) / 2.0)
+    s = ranked.groupBy(*keys).agg(F.sum("__k_a").alias("n_a"), F.sum("__k_b").alias("n_b"), F.sum(F.col("__rank") * F.col("__k_a")).alias("__r_a"), F.sum(F.pow(F.col("__k").cast("double"), 3) - F.col("__k")).alias("__ties"))
     n1, n2 = F.col("n_a").cast("double"), F.col("n_b").cast("double")
-    n, u = n1 + n2, F.col("r_a") - n1 * (n1 + 1) / 2
-    sd = F.sqrt(n1 * n2 / 12 * (n + 1 - F.try_divide(F.col("ties"), n * (n - 1))))
+    n, u = n1 + n2, F.col("__r_a") - n1 * (n1 + 1) / 2
+    sd = F.sqrt(n1 * n2 / 12 * (n + 1 - F.try_divide(F.col("__ties"), n * (n - 1))))
     out = s.select(*keys, "n_a", "n_b", u.alias("u_a"), (n1 * n2 - u).alias("u_b"), F.try_divide(F.greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5, sd).alias("z"))
     return out.withColumn("p", F.least(F.lit(1.0), normal_pvalue(F.col("z")))) if p else out
 
@@ -65,22 +65,22 @@ def normality(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     mean = df.groupBy(*keys).agg(F.avg(x).alias("__m")) if keys else df.agg(F.avg(x).alias("__m"))
     centred = (df.join(mean, keys) if keys else df.crossJoin(F.broadcast(mean))).withColumn("__d", x - F.col("__m"))
     d = F.col("__d")
-    every = centred.groupBy(*keys).agg(F.count(x).cast("double").alias("n"), F.avg(d * d).alias("m2"), F.avg(d * d * d).alias("m3"), F.avg(d * d * d * d).alias("m4"))
-    s, small = every.where("n >= 8 and m2 > 0"), every.where("not coalesce(n >= 8 and m2 > 0, false)")
+    every = centred.groupBy(*keys).agg(F.count(x).cast("double").alias("__n"), F.avg(d * d).alias("__m2"), F.avg(d * d * d).alias("__m3"), F.avg(d * d * d * d).alias("__m4"))
+    s, small = every.where("__n >= 8 and __m2 > 0"), every.where("not coalesce(__n >= 8 and __m2 > 0, false)")
     c = F.col
-    n, root = c("n"), c("root")
-    s = s.withColumn("g1", F.try_divide(c("m3"), F.pow("m2", F.lit(1.5)))).withColumn("b2", F.try_divide(c("m4"), c("m2") * c("m2")))
+    n, root = c("__n"), c("__root")
+    s = s.withColumn("__g1", F.try_divide(c("__m3"), F.pow("__m2", F.lit(1.5)))).withColumn("__b2", F.try_divide(c("__m4"), c("__m2") * c("__m2")))
     # Skewness, made normal by Johnson's SU curve.
-    s = s.withColumn("w2", F.sqrt(2 * (3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) - 1)) - 1)
-    s = s.withColumn("y", c("g1") * F.sqrt((n + 1) * (n + 3) / (6 * (n - 2))) / F.sqrt(2 / (c("w2") - 1)))
-    s = s.withColumn("z1", F.asinh("y") / F.sqrt(0.5 * F.log("w2")))
+    s = s.withColumn("__w2", F.sqrt(2 * (3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) - 1)) - 1)
+    s = s.withColumn("__y", c("__g1") * F.sqrt((n + 1) * (n + 3) / (6 * (n - 2))) / F.sqrt(2 / (c("__w2") - 1)))
+    s = s.withColumn("__z1", F.asinh("__y") / F.sqrt(0.5 * F.log("__w2")))
     # Kurtosis, by a cube root of a chi-squared variable.
-    s = s.withColumn("x2", (c("b2") - 3 * (n - 1) / (n + 1)) / F.sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))))
-    s = s.withColumn("root", 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * F.sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))))
-    s = s.withColumn("a", 6 + 8 / root * (2 / root + F.sqrt(1 + 4 / (root * root))))
-    s = s.withColumn("z2", (1 - 2 / (9 * c("a")) - F.cbrt((1 - 2 / c("a")) / (1 + c("x2") * F.sqrt(2 / (c("a") - 4))))) / F.sqrt(2 / (9 * c("a"))))
-    known = s.select(*keys, n.cast("long").alias("n"), (c("z1") * c("z1") + c("z2") * c("z2")).alias("k2"))
-    few = small.select(*keys, c("n").cast("long").alias("n"), F.lit(None).cast("double").alias("k2"))
+    s = s.withColumn("__x2", (c("__b2") - 3 * (n - 1) / (n + 1)) / F.sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))))
+    s = s.withColumn("__root", 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * F.sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))))
+    s = s.withColumn("__a", 6 + 8 / root * (2 / root + F.sqrt(1 + 4 / (root * root))))
+    s = s.withColumn("__z2", (1 - 2 / (9 * c("__a")) - F.cbrt((1 - 2 / c("__a")) / (1 + c("__x2") * F.sqrt(2 / (c("__a") - 4))))) / F.sqrt(2 / (9 * c("__a"))))
+    known = s.select(*keys, n.cast("long").alias("n"), (c("__z1") * c("__z1") + c("__z2") * c("__z2")).alias("k2"))
+    few = small.select(*keys, c("__n").cast("long").alias("n"), F.lit(None).cast("double").alias("k2"))
     return known.unionByName(few).withColumn("p", F.exp(-F.col("k2") / 2))
 
 

@@ -7,6 +7,7 @@ import io
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .shared import stored
 
@@ -24,7 +25,7 @@ def existing(df: DataFrame, wanted: list[str]) -> DataFrame:
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """path, line (from 0), value: numbered within each whole file, whatever the splits."""
     whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
-    return whole.select("path", F.posexplode(F.split(F.rtrim("value"), r"\r?\n")).alias("line", "value"))
+    return whole.select("path", F.posexplode(F.split(F.regexp_replace("value", r"\s+$", ""), r"\r?\n")).alias("line", "value"))
 
 
 def read_matrix(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
@@ -79,9 +80,7 @@ def array_bytes(df: DataFrame, x: str = "x") -> DataFrame:
                 out.append(buffer.getvalue())
             yield frame.assign(npy=out)
 
-    from pyspark.sql.types import BinaryType, StructType
-
-    return df.mapInPandas(of, StructType(df.schema.fields).add("npy", BinaryType()))
+    return df.mapInPandas(of, StructType([*df.schema.fields, StructField("npy", BinaryType())]))
 
 
 def write_edges(edges: DataFrame, path: str, density: str = "density") -> None:
