@@ -24,8 +24,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..operators.graph import components
 from .common import checkpoint, doc_text, text_chunks
-from .components import components
 
 SHINGLE, SEED, DISTANCE, BUCKET = 4, 42, 4, 4096
 

@@ -45,7 +45,7 @@ def test_license_scan_odd_rows(docs_of):
         (2, 0): (0, None, None, "", ""),
         (3, 5): (1, 1, 1, "mit", "mit"),
         (3, 8): (2, 0, 4, "mit", "mit"),
-        (4, 100_007): (1, 50_003, 50_003, "apache-2", "apache-2"),
+        (4, 100_008): (1, 50_003, 50_003, "apache-2", "apache-2"),
         (None, 5): (1, 0, 0, "cc-by-nc", "cc-by-nc"),
         (5, 4): (0, None, None, "", ""),
     }
