@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.scalar import triangle_area
+from ..functions.scalar import distance, triangle_area
 from ..sources.shared import checkpoint
 
 
@@ -107,6 +107,25 @@ def border_nodes(edges: DataFrame, cluster: DataFrame) -> DataFrame:
     return near.join(cluster.select("node"), "node", "left_anti")
 
 
+def geodesics(edges: DataFrame, sources: DataFrame, limit: float) -> DataFrame:
+    """source, node, distance: shortest paths along weighted edges from each source, up to ``limit``.
+
+    Each round relaxes the edges around the nodes reached in the round before;
+    the rounds end when no distance shrinks.
+    """
+    ends = checkpoint(edges.select("i", "j", "w").union(edges.select(F.col("j").alias("i"), F.col("i").alias("j"), "w")))
+    known = checkpoint(sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("distance")).distinct())
+    front = known
+    while not front.isEmpty():
+        step = front.join(ends, F.col("node") == F.col("i")).select("source", F.col("j").alias("node"), (F.col("distance") + F.col("w")).alias("distance")).where(F.col("distance") <= limit)
+        step = step.groupBy("source", "node").agg(F.min("distance").alias("distance"))
+        both = known.withColumnRenamed("distance", "old").join(step, ["source", "node"], "full")
+        both = checkpoint(both.select("source", "node", "old", F.least("old", "distance").alias("distance")))
+        front = both.where("old is null or distance < old").select("source", "node", "distance")
+        known = both.select("source", "node", "distance")
+    return known
+
+
 def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
     """node, module: communities by synchronous weighted label propagation.
 
@@ -136,8 +155,6 @@ def nearest_reference(points: DataFrame, references: DataFrame, axes: list[str],
     References are few for each part; every point is compared to those of its part.
     """
     other = references.select(*within, F.col(reference), *(F.col(a).alias(f"__{a}") for a in axes))
-    from ..functions.scalar import distance
-
     d = distance([F.col(a) for a in axes], [F.col(f"__{a}") for a in axes])
     pairs = points.join(other, within).select(*within, point, reference, d.alias("distance"))
     best = pairs.groupBy(*within, point).agg(F.min(F.struct("distance", reference)).alias("b"))

@@ -110,6 +110,33 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str, p: bool = True) ->
     return pearson(ranked, keys, "__x", "__y", p)
 
 
+def shepherd_pi(df: DataFrame, x: str, y: str, key: str, draws: int = 200, limit: float = 6.0, seed: int = 1, p: bool = True) -> DataFrame:
+    """Spearman's correlation without bivariate outliers: rows whose Mahalanobis distance, averaged over bootstraps, is ``limit`` or more.
+
+    A bootstrap weighs each row by a Poisson count drawn from a hash of its key,
+    so all bootstraps' moments come from one grouped sum. p is doubled, as
+    taking outliers away makes it too small.
+    """
+    known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(key, F.col(x).cast("double").alias("__p"), F.col(y).cast("double").alias("__q"))
+    rows = known.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    u = (F.pmod(F.xxhash64(key, "draw", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    cumulative, term, count = 0.0, np.exp(-1.0), F.lit(0)
+    for k in range(1, 8):  # the count is how many of the Poisson law's first sums lie below u
+        cumulative += term
+        count = count + F.when(u > float(cumulative), 1).otherwise(0)
+        term /= k
+    w, a, b = F.col("__w"), F.col("__p"), F.col("__q")
+    rows = rows.withColumn("__w", count.cast("double"))
+    m = rows.groupBy("draw").agg(*(F.sum(e).alias(n) for n, e in (("n", w), ("sx", w * a), ("sy", w * b), ("sxx", w * a * a), ("syy", w * b * b), ("sxy", w * a * b))))
+    c = F.col
+    m = m.where("n > 2").select("draw", (c("sx") / c("n")).alias("mx"), (c("sy") / c("n")).alias("my"), *(((c(f"s{i}{j}") - c(f"s{i}") * c(f"s{j}") / c("n")) / (c("n") - 1)).alias(f"v{i}{j}") for i, j in ("xx", "yy", "xy")))
+    d, e = a - c("mx"), b - c("my")
+    distance = F.try_divide(c("vyy") * d * d - 2 * c("vxy") * d * e + c("vxx") * e * e, c("vxx") * c("vyy") - c("vxy") * c("vxy"))
+    far = known.crossJoin(F.broadcast(m)).groupBy(key).agg(F.avg(distance).alias("__d")).where(F.col("__d") >= limit)
+    out = spearman(known.join(far, key, "left_anti"), [], "__p", "__q", p)
+    return out.withColumn("p", F.least(F.lit(1.0), 2 * F.col("p"))) if p else out
+
+
 def bonferroni(df: DataFrame, p: str = "p", family: list[str] = ()) -> DataFrame:
     """``p_bonferroni``: p times the number of known p of its family, at most 1."""
     m = F.count(p).over(Window.partitionBy(*family))

@@ -168,6 +168,13 @@ def design_matrix(events: DataFrame, keys: list[str], kind: str, onset: str, tr:
     return grid.join(marks, [*keys, "frame"], "left").fillna(0, kinds)
 
 
+def normalised_design(design: DataFrame, keys: list[str], columns: list[str], limit: float = 0.0) -> DataFrame:
+    """Columns divided by their largest value of a run, then 1 above ``limit`` and 0 elsewhere."""
+    top = design.groupBy(*keys).agg(*(F.max(c).alias(f"__{c}") for c in columns))
+    share = {c: F.when(F.coalesce(F.try_divide(F.col(c).cast("double"), F.col(f"__{c}")), F.lit(0.0)) > limit, 1).otherwise(0) for c in columns}
+    return design.join(top, keys).withColumns(share).drop(*(f"__{c}" for c in columns))
+
+
 def snapped_onsets(events: DataFrame, onset: str, tr: float) -> DataFrame:
     """``onset_snapped``: the onset on the grid of repetition times."""
     return events.withColumn("onset_snapped", F.floor((F.col(onset) + tr / 2) / tr) * tr)

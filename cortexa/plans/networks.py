@@ -279,8 +279,35 @@ def event_series(spark, d):
     return rounded(ts.event_series(frames, taken, ["subject", "day"], "label").groupBy("label").agg(F.count("*").alias("n"), F.sum("value").alias("total")))
 
 
+def excluded_neighbours(spark, d):
+    """Correlations of pairs that do not lie near one another within a hemisphere."""
+    near = cm.near_pairs(gradients(spark, d), ["g1", "g2", "g3"], 0.1, same="hemi")
+    return rounded(cm.drop_pairs(cm.proportional_threshold(_edges(spark, d), SHARE), near))
+
+
+def mesh_geodesics(spark, d):
+    """Shortest paths on the mesh from one side."""
+    edges = graph.mesh_edges(_mesh(spark, d)).select("i", "j", (1 + F.pmod(F.col("i") + F.col("j"), F.lit(3)) / 10).alias("w"))
+    return rounded(graph.geodesics(edges, _vertices(spark, d).where("x = 0").select("node"), 6.0))
+
+
+def noisy_nodes(spark, d):
+    """Vectors whose entries vary more than those of the vectors near them."""
+    long = series(spark, d).select("node", F.explode("x").alias("v")).withColumn("v", F.col("v").cast("double") + 1)
+    moments = ts.temporal_moments(long, ["node"], "v")
+    near = cm.near_pairs(gradients(spark, d), ["g1", "g2", "g3"], 0.1)
+    weights = near.select("i", "j", F.lit(1.0).alias("w")).union(near.select(F.col("j").alias("i"), F.col("i").alias("j"), F.lit(1.0)))
+    own = series(spark, d).select(F.col("node").alias("i"), F.col("node").alias("j"), F.lit(1.0).alias("w"))
+    return ts.noisy_nodes(moments, weights.union(own))
+
+
+def affinity_rows(spark, d):
+    """Each node's strongest tenth of edges, both directions averaged."""
+    return rounded(grad.affinity(_edges(spark, d)))
+
+
 QUERIES = {f.__name__: f for f in (
-    pearson_pairs, correlation_above, cm_threshold_density, density_of_all_pairs, fisher_edges, block_mean_connectivity, node_strength, participation_coefficient,
+    excluded_neighbours, mesh_geodesics, noisy_nodes, affinity_rows, pearson_pairs, correlation_above, cm_threshold_density, density_of_all_pairs, fisher_edges, block_mean_connectivity, node_strength, participation_coefficient,
     participation_by_network, degree_top_k, seed_pattern, submatrix_reordered, structural_matrix, matrix_correlation, node_mean_statistic, extreme_edges,
     near_neighbours, parcel_series, connected_components, largest_component, label_patches, mesh_edges, vertex_areas, small_patches_dropped, small_patches_merged,
     border_nodes, label_propagation, nearest_centroid, patch_centroids, knee_of_sizes, plurality_label, consensus_label, informative_thresholds, suppress_small,
@@ -304,6 +331,11 @@ _ETA = """tr AS (SELECT vec_id AS node, unnest(range(64)) AS target, unnest(CAST
 _OTHER = "ot AS (SELECT i, j, w AS x, a.g1 * b.g1 AS y FROM ce JOIN gd a ON a.node = i JOIN gd b ON b.node = j)"
 
 SQL = {name: f"WITH {'RECURSIVE ' if 'UNION SELECT' in body else ''}{CTE.strip()}{body if body.startswith(',') else ' ' + body}" for name, body in {
+    "excluded_neighbours": f", {_TH} SELECT i, j, round(w, 6) + 0.0 AS w FROM th JOIN gd a ON a.node = i JOIN gd b ON b.node = j WHERE NOT (a.hemi = b.hemi AND sqrt(pow(a.g1 - b.g1, 2) + pow(a.g2 - b.g2, 2) + pow(a.g3 - b.g3, 2)) < 0.1)",
+    "noisy_nodes": """, u AS (SELECT vec_id AS node, unnest(CAST(embedding AS DOUBLE[])) + 1 AS v FROM embeddings), m AS (SELECT node, stddev_pop(v) / abs(avg(v)) AS cov FROM u GROUP BY node),
+      p AS (SELECT a.node AS i, b.node AS j FROM gd a JOIN gd b ON a.node = b.node OR sqrt(pow(a.g1 - b.g1, 2) + pow(a.g2 - b.g2, 2) + pow(a.g3 - b.g3, 2)) < 0.1),
+      q AS (SELECT i, avg(cov) AS m, sqrt(greatest(0, avg(cov * cov) - avg(cov) * avg(cov))) AS d FROM p JOIN m ON m.node = p.j GROUP BY i) SELECT node, cov > q.m + 0.5 * d AS noisy FROM m JOIN q ON q.i = m.node""",
+    "affinity_rows": ", r AS (SELECT i, j, w, percent_rank() OVER (PARTITION BY i ORDER BY w) AS p FROM c2), k AS (SELECT i, j, w FROM r WHERE p >= 0.9 AND w > 0), b AS (SELECT i, j, w FROM k UNION ALL SELECT j, i, w FROM k) SELECT i, j, round(sum(w) / 2, 6) + 0.0 AS w FROM b GROUP BY ALL",
     "pearson_pairs": "SELECT i, j, round(w, 6) + 0.0 AS w FROM ce",
     "correlation_above": "SELECT i, j, round(w, 6) + 0.0 AS w FROM ce JOIN gd a ON a.node = i JOIN gd b ON b.node = j WHERE w > 0.2 AND NOT (a.hemi = b.hemi AND sqrt(pow(a.g1 - b.g1, 2) + pow(a.g2 - b.g2, 2) + pow(a.g3 - b.g3, 2)) < 0.1)",
     "cm_threshold_density": f", {_TH} SELECT i, j, round(w, 6) + 0.0 AS w FROM th",

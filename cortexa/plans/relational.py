@@ -236,6 +236,12 @@ def design_matrix(spark, d):
     return ts.design_matrix(rows, ["subject"], "label", "at", 2.0, 64, ["click", "view"])
 
 
+def response_design(spark, d):
+    """The design matrix normalised by column and convolved with a response."""
+    design = ts.normalised_design(design_matrix(spark, d), ["subject"], ["click", "view"])
+    return rounded(ts.convolved(design, ["subject"], ["click", "view"], [0.5, 0.3, 0.2]))
+
+
 def event_conditions(spark, d):
     rows = win.trial_counter(events(spark, d), ["subject"], ["event_id"], F.col("label") == "click")
     rows = rows.withColumn("trial_type", F.when(F.col("label") == "click", "stim1").when(F.col("label") == "view", "stim2"))
@@ -252,7 +258,7 @@ QUERIES = {f.__name__: f for f in (
     network_sizes, network_counts_wide, sizes_in_roi, describe_by_group, range_by_subject, complete_subjects, run_retention, subjects_with_enough_data,
     without_largest, assigned_share, transformed_mean_r, lookup_chain, outer_sums, key_grid, missing_outputs, upsert_metrics, set_operations, ragged_union,
     pivot_sizes, unpivot, scalar_functions, parsed_names, json_keys, trial_counter, next_values, filled_frames, scrub_and_interpolate, friston_expansion,
-    top_per_subject, stimulus_intervals, unique_names, prefix_sweep, concatenated_runs, rank_matched_weights, event_frames, remaining_frames, design_matrix,
+    top_per_subject, stimulus_intervals, unique_names, prefix_sweep, concatenated_runs, rank_matched_weights, event_frames, remaining_frames, design_matrix, response_design,
     event_conditions, snr,
 )}
 
@@ -323,6 +329,9 @@ SQL = {name: f"WITH {CTE.strip()}\n{body}" for name, body in {
     "design_matrix": """, h AS (SELECT subject, label, least(CAST(round_even(onset / 600 / 2.0, 0) AS BIGINT), 63) AS frame FROM ev), s AS (SELECT DISTINCT subject FROM ev), g AS (SELECT subject, unnest(range(64)) AS frame FROM s)
       SELECT g.subject, g.frame, CAST(coalesce(max(CASE WHEN label = 'click' THEN 1 END), 0) AS INTEGER) AS click, CAST(coalesce(max(CASE WHEN label = 'view' THEN 1 END), 0) AS INTEGER) AS view
       FROM g LEFT JOIN h ON h.subject = g.subject AND h.frame = g.frame GROUP BY ALL""",
+    "response_design": """, h AS (SELECT DISTINCT subject, label, least(CAST(round_even(onset / 600 / 2.0, 0) AS BIGINT), 63) AS frame FROM ev), s AS (SELECT DISTINCT subject FROM ev), g AS (SELECT subject, unnest(range(64)) AS frame FROM s),
+      x AS (SELECT g.subject, g.frame, max(CASE WHEN label = 'click' THEN 1.0 ELSE 0.0 END) AS c, max(CASE WHEN label = 'view' THEN 1.0 ELSE 0.0 END) AS v FROM g LEFT JOIN h ON h.subject = g.subject AND h.frame = g.frame GROUP BY ALL)
+      SELECT subject, frame, round(CAST(c * 0.5 + lag(c, 1, 0.0) OVER w * 0.3 + lag(c, 2, 0.0) OVER w * 0.2 AS DOUBLE), 6) + 0.0 AS click, round(CAST(v * 0.5 + lag(v, 1, 0.0) OVER w * 0.3 + lag(v, 2, 0.0) OVER w * 0.2 AS DOUBLE), 6) + 0.0 AS view FROM x WINDOW w AS (PARTITION BY subject ORDER BY frame)""",
     "event_conditions": """, t AS (SELECT *, CAST(sum(CASE WHEN label = 'click' THEN 1 ELSE 0 END) OVER (PARTITION BY subject ORDER BY event_id) AS BIGINT) AS trial FROM ev)
       SELECT event_id, 'trial_' || CASE WHEN trial < 1000 THEN lpad(CAST(trial AS VARCHAR), 3, '0') ELSE CAST(trial AS VARCHAR) END || CASE label WHEN 'click' THEN '_n1' ELSE '_n2' END AS by_trial,
       CASE label WHEN 'click' THEN 'n1_' ELSE 'n2_' END || CAST(k AS INTEGER) AS by_number FROM t WHERE trial <> 0 AND label IN ('click', 'view')""",

@@ -133,8 +133,15 @@ def quantile_grid(spark, d):
     return rounded(rows.select("label", q[0].alias("at_50"), q[1].alias("at_80"), ((q[1] - q[0]) / 30).alias("slope")))
 
 
+def shepherd_pi(spark, d):
+    """Robust correlation of order totals and balances of customers."""
+    totals = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.avg("o_totalprice").alias("total"))
+    rows = totals.join(read(spark, d, "customer").select("c_custkey", "c_acctbal"), "c_custkey")
+    return rounded(stats.shepherd_pi(rows, "total", "c_acctbal", "c_custkey", draws=50))
+
+
 QUERIES = {f.__name__: f for f in (
-    group_compare_network_size, group_compare_corrected, pooled_t_by_label, welch_mass_univariate, mann_whitney_u, normality_k2, adaptive_test, pearson_by_label,
+    shepherd_pi, group_compare_network_size, group_compare_corrected, pooled_t_by_label, welch_mass_univariate, mann_whitney_u, normality_k2, adaptive_test, pearson_by_label,
     spearman_by_label, bonferroni, bh_fdr, regression_residuals, ols_covariates, ols_single, mixed_anova, zscore_outliers, column_correlations, dispersion_1d,
     dispersion_2d, dispersion_2d_mean, deviation_within, network_centroids, between_net_distance, eccentricity, quantile_grid,
 )}

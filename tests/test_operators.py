@@ -286,3 +286,27 @@ def test_near_pairs_match_brute_force(spark):
 def test_knee(spark):
     df = spark.createDataFrame([("a", float(x), 1 - math.exp(-x)) for x in range(11)], "k string, x double, y double")
     assert graph.knee(df, ["k"], "x", "y").first().x == 2
+
+
+def test_geodesics_match_shortest_paths(spark):
+    rng = np.random.default_rng(6)
+    n = 25
+    pairs = [(i, j, float(rng.integers(1, 9))) for i in range(n) for j in range(i + 1, n) if rng.random() < 0.15]
+    d = np.full((n, n), np.inf)
+    np.fill_diagonal(d, 0)
+    for i, j, w in pairs:
+        d[i, j] = d[j, i] = w
+    for k in range(n):
+        d = np.minimum(d, d[:, [k]] + d[[k]])
+    got = {(r.source, r.node): r.distance for r in graph.geodesics(edges_of(spark, pairs), spark.createDataFrame([(0,), (5,)], "node long"), 12.0).collect()}
+    assert got == {(s, t): d[s, t] for s in (0, 5) for t in range(n) if d[s, t] <= 12}
+
+
+def test_robust_correlation_leaves_outliers_out(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=60)
+    y = x + rng.normal(size=60) * 0.3
+    data = [(k, float(a), float(b)) for k, (a, b) in enumerate(zip(x, y, strict=True))] + [(100, 9.0, -9.0)]
+    df = spark.createDataFrame(data, "k int, x double, y double")
+    got = stats.shepherd_pi(df, "x", "y", "k").first()
+    assert got.n < 61 and got.r > 0.9 and got.p < 1e-6
