@@ -45,6 +45,7 @@ class Blocks:
         self.at = np.arange(len(of_doc)) - starts_of(self.windows)[of_doc] + self.starts[of_doc]  # each window's first word
         if not len(of_doc):
             self.doc = self.start = self.size = np.zeros(0, np.int64)
+            self.run = np.zeros(0, np.int64)
             self.anchor = self.block = self.first = self.second = np.zeros(0, np.uint64)
             return
         phrases = mixed(rolling(values, phrase, BASE_A))
@@ -81,6 +82,11 @@ def _repeats(order: np.ndarray, keys: tuple[np.ndarray, ...], ids: np.ndarray, r
     return (ids[order] > first) | (~head & np.append(False, rows[order][1:] == rows[order][:-1]))
 
 
+def _alone(keys: np.ndarray, again: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The keys to deal by; entries that are decided already need no company, so each gets a key of its own."""
+    return np.where(again, mixed(keys + at.astype(np.uint64) * np.uint64(BASE_B)), keys)
+
+
 def _blocks(docs: DataFrame) -> DataFrame:
     """anchor, block, doc_id, start, size, again (an earlier equal block stood in the same slice of the table)."""
 
@@ -91,7 +97,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
             own = ids[b.doc]
             order = np.lexsort((b.start, b.doc, own, b.block))
             again = _repeats(order, (b.block, b.anchor), own, b.doc)
-            out = [signed(b.anchor)[order], signed(b.block)[order], own[order], b.start[order].astype(np.int32), b.size[order].astype(np.int32), again]
+            out = [signed(_alone(b.anchor[order], again, b.at[b.run][order])), signed(b.block)[order], own[order], b.start[order].astype(np.int32), b.size[order].astype(np.int32), again]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["anchor", "block", "doc_id", "start", "size", "again"])
 
     return docs.mapInArrow(of, "anchor long, block long, doc_id long, start int, size int, again boolean")
@@ -110,7 +116,7 @@ def _listed(rows: DataFrame) -> DataFrame:
             own = ids[doc]
             order = np.lexsort((at, doc, own, second))
             again = _repeats(order, (first, second), own, doc)
-            out = [signed(first)[order], signed(second)[order], own[order], (at - b.starts[doc])[order].astype(np.int32), again]
+            out = [signed(_alone(first[order], again, at[order])), signed(second)[order], own[order], (at - b.starts[doc])[order].astype(np.int32), again]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["first", "second", "doc_id", "start", "again"])
 
     return rows.mapInArrow(of, "first long, second long, doc_id long, start int, again boolean")
@@ -119,8 +125,9 @@ def _listed(rows: DataFrame) -> DataFrame:
 def duplicate_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The documents dealt by id, and doc_id, start, size: runs of ``size`` windows that have an earlier copy.
 
-    A slice of the table looks up its own blocks first, so that of a passage
-    which a third of all documents share one row a slice is dealt by its hash.
+    A slice of the table looks up its own blocks first. What is decided there
+    is dealt out evenly, so of a passage that a third of all documents share
+    one row a slice goes by its hash.
     """
     n = partitions(docs.sparkSession)
     text = doc_text(docs).where("doc_id is not null")
