@@ -1,7 +1,9 @@
 """The corpus pipeline: its stages, in order, and a run over ``documents``.
 
 Each stage reads what its predecessor kept and has all columns of documents,
-but for the last, which returns the packed pieces.
+but for the last, which returns the packed pieces. Null texts count as empty.
+From the second stage on documents are named by doc_id: rows that share one go
+or stay together, and rows without one stay. Further columns are carried along.
 """
 
 from __future__ import annotations

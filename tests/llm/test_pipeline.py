@@ -40,6 +40,26 @@ def test_stages(spark, tmp_path):
     assert held == words
 
 
+def test_stages_on_odd_rows(spark, docs_of, tmp_path):
+    spark.read.parquet(f"{DATA}/labels.parquet").limit(0).write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "one two three four five six seven")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    leak = "zero one two three four five six seven eight"
+    odd = [(1, "a b"), (2, "a  b"), (3, None), (4, ""), (None, "a b"), (5, leak), (5, "other text of the same id"), (6, "x " * 20_000), (6, "x " * 20_000)]
+    kept = []
+    for rows in (odd, []):
+        docs = docs_of(rows)
+        columns = docs.columns
+        for k, (_, stage) in enumerate(pipeline.STAGES):
+            stage(spark, docs, str(tmp_path)).write.parquet(path := str(tmp_path / f"{len(rows)}-{k}"))
+            docs = spark.read.parquet(path)
+            assert k == 4 or docs.columns == columns
+            kept.append(sorted((r.doc_id for r in docs.collect()), key=repr))
+    assert kept[0] == sorted([1, 2, 3, 4, None, 5, 5, 6, 6], key=repr)
+    assert kept[1] == sorted([1, 3, None, 5, 5, 6, 6], key=repr)  # 2 is a copy of 1, 4 of 3
+    assert kept[3] == sorted([1, 3, None, 6, 6], key=repr)
+    assert set(kept[4]) == {1, 3, None, 6} and kept[5:] == [[]] * 5
+
+
 def test_run(spark):
     got = pipeline.run(spark, DATA)
     assert got.columns == ["doc_id", "part", "start_word", "n_words", "bin_id", "bin_size", "bin_offset"]
