@@ -22,8 +22,9 @@ from .common import commonest, doc_text, starts_of, stored, text_chunks
 FOLDS, FOLD = 3, 1
 GRAM = 4
 
-#: Words, and n-grams of each length, that the model keeps of a language.
-WORDS, GRAMS = 30_000, 20_000
+#: Words, and n-grams of each length, that the model keeps of a language: fewer of each where
+#: there are so many languages that a table of terms by languages would exceed CELLS.
+WORDS, GRAMS, CELLS = 30_000, 20_000, 20_000_000
 #: Counts that a task holds before it passes them on.
 HELD = 400_000
 
@@ -111,41 +112,46 @@ def train(docs: DataFrame) -> Model:
     """Learn from text and language of the rows of the training fold."""
     counts = stored(word_counts(docs.where(~held_out())))
     grams = stored(gram_counts(counts))
-    word_rows, word_totals = commonest(counts, ["lang"], WORDS)
-    gram_rows, gram_totals = commonest(grams, ["lang", "size"], GRAMS)
+    cells = CELLS // max(1, counts.select(F.countDistinct("lang")).first()[0]) ** 2
+    word_rows, word_totals = commonest(counts, ["lang"], max(1, min(WORDS, cells)))
+    gram_rows, gram_totals = commonest(grams, ["lang", "size"], max(1, min(GRAMS, cells // GRAM)))
     words, word_scores = _table(word_rows, word_totals, by_size=False)
     chars, gram_scores = _table(gram_rows, gram_totals, by_size=True)
     return Model(sorted(lang for (lang,) in word_totals), words, word_scores, chars, gram_scores)
 
 
-class Scorer:
-    """Per-language log frequencies of words, remembered up to a bound."""
+class Scorer(dict):
+    """Place of a word among ``rows`` of per-language log frequencies, remembered up to a bound."""
 
     def __init__(self, model: Model):
-        self.model, self.rows, self.place = model, [], {}
+        super().__init__()
+        self.model, self.rows = model, []
+
+    def __missing__(self, word: str) -> int:
+        m = self.model
+        row = m.words.get(word)
+        self.rows.append(self.unknown(word) if row is None else m.word_scores[row])
+        self[word] = place = len(self.rows) - 1
+        return place
 
     def unknown(self, word: str) -> np.ndarray:
-        m, line = self.model, f" {word} "
-        found = []
-        for i in range(len(line)):
-            row = next((m.grams[g] for size in range(min(GRAM, len(line) - i), 0, -1) if (g := line[i : i + size]) in m.grams), None)
-            if row is not None:
-                found.append(m.gram_scores[row])
-        return np.mean(found, axis=0) if found else np.zeros(len(m.langs))
+        known, line = self.model.grams, f" {word} "
+        found, end = [], len(line)
+        for i in range(end):
+            for stop in range(min(i + GRAM, end), i, -1):
+                row = known.get(line[i:stop])
+                if row is not None:
+                    found.append(row)
+                    break
+        return self.model.gram_scores[found].sum(axis=0) / max(1, len(found))
 
     def of(self, words: list[str]) -> np.ndarray:
-        if len(self.place) > 200_000:
-            self.place, self.rows = {}, []
-        place, rows, m = self.place, self.rows, self.model
-        out = np.empty(len(words), np.int64)
-        for k, w in enumerate(words):
-            i = place.get(w)
-            if i is None:
-                rows.append(m.word_scores[m.words[w]] if w in m.words else self.unknown(w))
-                i = place[w] = len(rows) - 1
-            out[k] = i
-        used, back = np.unique(out, return_inverse=True)
-        return np.array([rows[i] for i in used.tolist()]).reshape(len(used), len(m.langs))[back]
+        if len(self) > 300_000:
+            self.clear()
+            self.rows = []
+        places = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        used, back = np.unique(places, return_inverse=True)
+        return np.array([self.rows[i] for i in used.tolist()]).reshape(len(used), len(self.model.langs))[back]
 
 
 def predict(texts: list[bytes], scorer: Scorer) -> tuple[list[str], np.ndarray]:

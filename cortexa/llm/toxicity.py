@@ -95,15 +95,22 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     return fit([np.frombuffer(sets[i], np.int32) for i in order], is_toxic, prior)
 
 
-def fit(sets: list[np.ndarray], positive: np.ndarray, prior: float, steps: int = 250, rate: float = 0.1, decay: float = 1e-3) -> Model:
+def fit(sets: list[np.ndarray], positive: np.ndarray, prior: float, steps: int = 250, rate: float = 0.1, decay: float = 3e-4) -> Model:
     """Minimise the non-negative risk over documents given as sets of terms (full-batch Adam)."""
     if not positive.any() or positive.all():
         return Model({}, -20.0)
-    counts = np.array([len(x) for x in sets])
-    flat = np.concatenate(sets)
-    doc = np.repeat(np.arange(len(sets)), counts)
-    names, flat = np.unique(flat, return_inverse=True)
     n_pos, n_unl = int(positive.sum()), int((~positive).sum())
+    # Terms of fewer than two positives cannot stand out; without them the rest is small.
+    names, seen = np.unique(np.concatenate([x for x, y in zip(sets, positive.tolist(), strict=True) if y]), return_counts=True)
+    names = names[seen > 1]
+    if not len(names):
+        return Model({}, -20.0)
+    flat, doc = [], []
+    for k, x in enumerate(sets):
+        place = np.minimum(np.searchsorted(names, x), len(names) - 1)
+        flat.append(place[names[place] == x].astype(np.int32))
+        doc.append(np.full(len(flat[-1]), k, np.int32))
+    flat, doc = np.concatenate(flat), np.concatenate(doc)
     p = np.bincount(flat[positive[doc]], minlength=len(names)) + 0.5
     u = np.bincount(flat[~positive[doc]], minlength=len(names)) + 0.5
     odds = np.log(p / (n_pos + 1)) - np.log(u / (n_unl + 1))

@@ -164,7 +164,7 @@ def block_means(edges: DataFrame, labels: DataFrame, keys: list[str] = (), diago
     sizes = labels.groupBy(F.col(label).alias("l")).agg(F.count("*").alias("n"))
     grid = sizes.select(F.col("l").alias("label_i"), F.col("n").alias("n_i")).crossJoin(F.broadcast(sizes.select(F.col("l").alias("label_j"), F.col("n").alias("n_j"))))
     if keys:
-        grid = grid.crossJoin(F.broadcast(edges.select(*keys).distinct()))
+        grid = edges.select(*keys).distinct().crossJoin(F.broadcast(grid))  # the grid has a row for each pair of labels
     own = F.col("label_i") == F.col("label_j")
     pairs = F.col("n_i") * F.col("n_j") - F.when(own, F.col("n_i") if diagonal is None else F.lit(0)).otherwise(0)
     extra = F.when(own, F.col("n_i") * float(diagonal or 0)).otherwise(0.0)

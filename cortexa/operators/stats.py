@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.distributions import f_pvalue, normal_pvalue, t_pvalue
+from .windows import by_part, ranged, sum_below
 
 
 def group_moments(df: DataFrame, keys: list[str], group: str, value: str, a, b) -> DataFrame:
@@ -32,12 +33,11 @@ def t_test(df: DataFrame, keys: list[str], group: str, value: str, a, b, pooled:
 
 
 def average_rank(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """``rank_avg``: rank of the value within its keys, ties sharing their mean rank; nulls have none."""
+    """``rank_avg``: rank of the value within its keys, ties sharing their mean rank; rows with a null have none and go."""
     known = df.where(F.col(value).isNotNull())
-    over = Window.partitionBy(*keys)
-    first = F.rank().over(over.orderBy(value))
-    ties = F.count("*").over(Window.partitionBy(*keys, value))
-    return known.withColumn("rank_avg", first + (ties - 1) / 2.0)
+    counts = sum_below(known.groupBy(*keys, value).agg(F.count("*").alias("__k")), keys, value, "__k", "__below")
+    ranks = counts.select(*keys, value, (F.col("__below") + (F.col("__k") + 1) / 2.0).alias("rank_avg"))
+    return known.join(ranks, [*keys, value])
 
 
 def mann_whitney(df: DataFrame, keys: list[str], group: str, value: str, a, b, p: bool = True) -> DataFrame:
@@ -48,9 +48,8 @@ def mann_whitney(df: DataFrame, keys: list[str], group: str, value: str, a, b, p
     """
     of = [F.count_if(F.col(group) == g).alias(c) for g, c in ((a, "__k_a"), (b, "__k_b"))]
     counts = df.where(F.col(group).isin(a, b) & F.col(value).isNotNull()).groupBy(*keys, value).agg(*of)
-    k = F.col("__k_a") + F.col("__k_b")
-    below = F.sum(k).over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    ranked = counts.withColumn("__k", k).withColumn("__rank", F.coalesce(below, F.lit(0)) + (k + 1) / 2.0)
+    counts = sum_below(counts.withColumn("__k", F.col("__k_a") + F.col("__k_b")), keys, value, "__k", "__below")
+    ranked = counts.withColumn("__rank", F.col("__below") + (F.col("__k") + 1) / 2.0)
     s = ranked.groupBy(*keys).agg(F.sum("__k_a").alias("n_a"), F.sum("__k_b").alias("n_b"), F.sum(F.col("__rank") * F.col("__k_a")).alias("__r_a"), F.sum(F.pow(F.col("__k").cast("double"), 3) - F.col("__k")).alias("__ties"))
     n1, n2 = F.col("n_a").cast("double"), F.col("n_b").cast("double")
     n, u = n1 + n2, F.col("__r_a") - n1 * (n1 + 1) / 2
@@ -139,18 +138,33 @@ def shepherd_pi(df: DataFrame, x: str, y: str, key: str, draws: int = 200, limit
 
 def bonferroni(df: DataFrame, p: str = "p", family: list[str] = ()) -> DataFrame:
     """``p_bonferroni``: p times the number of known p of its family, at most 1."""
-    m = F.count(p).over(Window.partitionBy(*family))
+    m = F.count(p).over(Window.partitionBy(*family)) if family else F.lit(df.where(F.col(p).isNotNull()).count())
     return df.withColumn("p_bonferroni", F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.col(p) * m)))
 
 
 def benjamini_hochberg(df: DataFrame, p: str = "p", family: list[str] = (), ties: list[str] = ()) -> DataFrame:
-    """``p_fdr``: the smallest p * m / rank among p that are no smaller; null p stay null."""
+    """``p_fdr``: the smallest p * m / rank among p that are no smaller; null p stay null.
+
+    Without a family all p are one, however many edges or vertices they come
+    from: they are ranked in ranges, and only one number for each range is
+    carried to the next.
+    """
     known, unknown = df.where(F.col(p).isNotNull()), df.where(F.col(p).isNull()).withColumn("p_fdr", F.lit(None).cast("double"))
-    over = Window.partitionBy(*family)
-    up = over.orderBy(F.col(p), *ties)
-    ranked = known.withColumn("__r", F.row_number().over(up)).withColumn("__q", F.col(p) * F.count("*").over(over) / F.col("__r"))
-    best = F.min("__q").over(over.orderBy(F.col("__r").desc()).rowsBetween(Window.unboundedPreceding, 0))
-    return ranked.withColumn("p_fdr", F.least(F.lit(1.0), best)).drop("__r", "__q").unionByName(unknown)
+    parts = list(family) or ["__part"]
+    over = Window.partitionBy(*parts)
+    if family:
+        ranked = known.withColumn("__r", F.row_number().over(over.orderBy(F.col(p), *ties))).withColumn("__m", F.count("*").over(over))
+    else:
+        rows = ranged(known, [p, *ties])
+        carry = by_part(rows, F.count("*"), 0.0, lambda a, b: a + b)
+        ranked = rows.withColumn("__r", F.row_number().over(over.orderBy(F.col(p), *ties))).join(F.broadcast(carry), "__part")
+        ranked = ranked.withColumn("__r", F.col("__r") + F.col("__carry")).drop("__carry").withColumn("__m", F.lit(rows.count()))
+    ranked = ranked.withColumn("__q", F.col(p) * F.col("__m") / F.col("__r"))
+    best = ranked.withColumn("p_fdr", F.least(F.lit(1.0), F.min("__q").over(over.orderBy(F.col("__r").desc()).rowsBetween(Window.unboundedPreceding, 0))))
+    if not family:
+        behind = by_part(ranked, F.min("__q"), 1.0, min, backwards=True)
+        best = best.join(F.broadcast(behind), "__part").withColumn("p_fdr", F.least("p_fdr", "__carry")).drop("__carry", "__part")
+    return best.drop("__r", "__q", "__m").unionByName(unknown)
 
 
 def ols(df: DataFrame, y: str, terms: list[str], p: bool = True) -> DataFrame:

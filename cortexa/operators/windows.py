@@ -4,6 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..sources.shared import stored
+
+
+def ranged(df: DataFrame, order: list[str]) -> DataFrame:
+    """``__part``: rows dealt into ranges of an order, written so that the parts stay as they are."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored(df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()))
+
+
+def by_part(rows: DataFrame, value: Column, start: float, step, backwards: bool = False) -> DataFrame:
+    """__part, __carry: what ``step`` makes of the values of the parts before (or behind), one value for each part."""
+    found = sorted((tuple(r) for r in rows.groupBy("__part").agg(value.alias("v")).collect()), reverse=backwards)
+    carried, carry = [], start
+    for part, v in found:
+        carried.append((part, float(carry)))
+        carry = step(carry, v)
+    return rows.sparkSession.createDataFrame(carried, "__part int, __carry double")
+
+
+def sum_below(df: DataFrame, keys: list[str], order: str, value: str, name: str) -> DataFrame:
+    """``name``: sum of the values of rows before this one in order, within keys; without keys over ranges, so never in one task."""
+    w = Window.partitionBy(*(keys or ["__part"])).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    own = F.coalesce(F.sum(value).over(w), F.lit(0)).cast("double")
+    if keys:
+        return df.withColumn(name, own)
+    rows = ranged(df, [order])
+    carry = by_part(rows, F.sum(value), 0.0, lambda a, b: a + b)
+    return rows.withColumn(name, own).join(F.broadcast(carry), "__part").withColumn(name, F.col(name) + F.col("__carry")).drop("__part", "__carry")
+
 
 def lagged(df: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
     """``<column>_lag``: the value one frame before, 0 for the first."""

@@ -310,3 +310,21 @@ def test_robust_correlation_leaves_outliers_out(spark):
     df = spark.createDataFrame(data, "k int, x double, y double")
     got = stats.shepherd_pi(df, "x", "y", "k").first()
     assert got.n < 61 and got.r > 0.9 and got.p < 1e-6
+
+
+def test_corrections_over_many_ranges(spark):
+    rng = np.random.default_rng(8)
+    p = rng.random(500) ** 3
+    order = np.argsort(p)
+    want = np.minimum(1, np.minimum.accumulate((p[order] * 500 / np.arange(1, 501))[::-1])[::-1])
+    df = spark.createDataFrame([(k, float(v)) for k, v in enumerate(p)], "k int, p double")
+    got = {r.k: r.p_fdr for r in stats.benjamini_hochberg(df, ties=["k"]).collect()}
+    assert np.allclose([got[k] for k in order], want)
+
+
+def test_ranks_without_keys(spark):
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, 40, 300)
+    df = spark.createDataFrame([(k, float(v)) for k, v in enumerate(x)] + [(-1, None)], "k int, x double")
+    got = {r.k: r.rank_avg for r in stats.average_rank(df, [], "x").collect()}
+    assert got == {k: (x < v).sum() + ((x == v).sum() + 1) / 2 for k, v in enumerate(x)}
