@@ -125,3 +125,15 @@ def commonest(counts: DataFrame, groups: list[str], most: int) -> tuple[list, di
     if chosen is None:
         return counts.where(step >= limits[()]).collect(), totals
     return counts.join(F.broadcast(chosen), groups).where(step >= F.col("least")).drop("least").collect(), totals
+
+
+def most_common(counts: DataFrame, most: int) -> DataFrame:
+    """The rows with the largest ``n``, at most ``most`` of them and none of counts that straddle the bound: what tasks may hold."""
+    step = F.floor(F.log2("n") * 8).cast("int")
+    taken, least = 0, None
+    for r in sorted(counts.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
+        taken += r["count"]
+        if taken > most:
+            break
+        least = r["step"]
+    return counts.where(F.lit(False)) if least is None else counts.where(step >= least)

@@ -106,6 +106,49 @@ def test_unseen_words_fall_back_to_shorter_grams():
     assert scorer.of(["m"]).tolist() == [[0, 0]]
 
 
+def language_by_brute_force(pairs):
+    """doc_id: lang_pred, score by the whole tables of words and n-grams."""
+    held = [i is not None and zlib.crc32(str(i).encode()) % 3 == 1 for i, _, _ in pairs]
+    words, grams = {}, {}
+    for (_, t, lang), h in zip(pairs, held, strict=True):
+        if not h and lang:
+            for w in language_id.words_of((t or "").encode()):
+                words.setdefault(w, Counter())[lang] += 1
+                for size in range(1, 5):
+                    for g in language_id.grams_of(w, size):
+                        grams.setdefault(g, Counter())[lang] += 1
+    langs = sorted({x for c in words.values() for x in c})
+    total = {x: sum(c[x] for c in words.values()) for x in langs}
+    of_size = {(k, x): sum(c[x] for g, c in grams.items() if len(g) == k) for k in range(1, 5) for x in langs}
+
+    def score(w, x):
+        if w in words:
+            return math.log((words[w][x] + 0.5) / (total[x] + 0.5 * len(words)))
+        line = f" {w} "
+        best = [next((line[i:e] for e in range(min(i + 4, len(line)), i, -1) if line[i:e] in grams), None) for i in range(len(line))]
+        found = [math.log((grams[g][x] + 0.5) / (of_size[len(g), x] + 0.5 * len(grams))) for g in best if g]
+        return sum(found) / max(1, len(found))
+
+    out = {}
+    for i, t, _ in pairs:
+        x = language_id.words_of((t or "").encode())
+        sums = [sum(score(w, lang) for w in x) for lang in langs]
+        top = max(range(len(langs)), key=lambda k: (sums[k], -k))
+        out[i] = (langs[top], round(1 / sum(math.exp((s - sums[top]) / math.sqrt(len(x))) for s in sums), 6)) if x else ("und", 0)
+    return out
+
+
+@pytest.mark.parametrize("held_words, held_grams", [(1, 1), (40, 30), (10_000, 10_000)])
+def test_every_trained_word_and_gram_is_known_whatever_tasks_hold(docs_of, held_words, held_grams):
+    rng = random.Random(5)
+    make = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randrange(1, 7)))
+    vocab = {x: [make(letters) for _ in range(120)] for x, letters in (("aa", "abcdefg"), ("bb", "cdefghi"), ("cc", "efghijx"))}
+    pairs = [(k, " ".join(rng.choice(vocab[x]) if rng.random() < 0.8 else make("abcdefghijxyz") for _ in range(rng.randrange(0, 9))), x) for k in range(90) for x in [rng.choice(list(vocab))]]
+    pairs += [(900, None, "aa"), (901, "zzyx hij", None), (902, "qqq", None)]
+    got = {r.doc_id: (r.lang_pred, round(r.score, 6)) for r in language_id.language_id(docs_of(pairs), held_words=held_words, held_grams=held_grams).collect()}
+    assert got == language_by_brute_force(pairs)
+
+
 def toxic_table(n, seed=0):
     rng = random.Random(seed)
     common, bad = [f"w{k}" for k in range(300)], ["scum", "vile", "awful"]
