@@ -2,14 +2,16 @@
 
 Exchange clustering moves the commonest words, and the rarer ones by groups of
 like shape, between classes as long as the likelihood of the training text
-grows. A word then has the probability of its class after the class before it,
-times that of the word in its class:
+grows. Then each rarer word takes the class with the largest exchange gain, all
+judged on the classes that the first step found. A word has the probability of
+its class after the class before it, times that of the word in its class:
 
     P(w | v) = P(class(w) | class(v)) * (count(w) + 1) / (tokens + types + 1 of class(w))
 
 Word counts, class transitions and emissions are taken over all training text.
-The clustered vocabulary and the counts that every task holds have bounds; all
-other words meet their counts in a join.
+The first step's vocabulary and the words that every task holds have bounds; all
+other words meet their classes and counts in a join. A word that is not in the
+training text has the class of its shape.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import commonest, doc_text, starts_of, stored, text_chunks
+from .common import doc_text, most_common, starts_of, stored, text_chunks
 
 FOLDS, FOLD = 7, 2
 
@@ -179,39 +181,214 @@ def exchange(counts: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndarr
     return own
 
 
-def train(docs: DataFrame, clustered: int = CLUSTERED, classes: int = CLASSES, held_words: int = HELD_WORDS) -> tuple[Model, DataFrame]:
-    """The model, and the counts of all words, from the rows of ``docs``."""
-    counts = stored(word_counts(docs))
-    held, _ = commonest(counts, [], held_words)
-    held = sorted(((bytes(r["word"]), r["n"]) for r in held), key=lambda r: (-r[1], r[0]))
-    own = {w: i for i, (w, _) in enumerate(held[:clustered])}
+def neighbour_counts(docs: DataFrame, words: dict[bytes, int], found: np.ndarray) -> DataFrame:
+    """word, near (key, n): how often each word without a number of its own stands before (key c), and after (key K + c), class c of K, and (key 2 K) next to itself."""
+    k = int(found[-1]) + 1
+    shared = docs.sparkSession.sparkContext.broadcast((words, found))
+
+    def of(batches):
+        own, classes = shared.value
+        items = Items(own)
+        names: dict[bytes, int] = {}
+        held: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+
+        def merged():
+            keys, back = np.unique(np.concatenate(held), return_inverse=True)
+            n = np.bincount(back, np.concatenate(counts)).astype(np.int64)
+            held[:], counts[:] = [keys], [n]
+            return keys, n
+
+        def passed():
+            keys, n = merged()
+            column = pa.array(list(names), pa.binary()).take(pa.array(keys // (2 * k + 1)))
+            out = pa.RecordBatch.from_arrays([column, pa.array((keys % (2 * k + 1)).astype(np.int32)), pa.array(n)], ["word", "key", "n"])
+            names.clear()
+            held.clear()
+            counts.clear()
+            return out
+
+        for _, texts in text_chunks(batches):
+            line, ids = [len(classes) - 1], [-1]
+            for text in texts:
+                for w in words_of(text):
+                    line.append(items[w])
+                    ids.append(-1 if w in own else names.setdefault(w, len(names)))
+                line.append(len(classes) - 1)
+                ids.append(-1)
+            kinds, ids = classes[np.array(line, np.int64)], np.array(ids, np.int64)
+            same = (ids[:-1] == ids[1:]) & (ids[1:] >= 0)
+            before, after = ids[:-1] >= 0, (ids[1:] >= 0) & ~same
+            keys = np.concatenate([ids[:-1][before] * (2 * k + 1) + np.where(same, 2 * k, kinds[1:])[before], ids[1:][after] * (2 * k + 1) + k + kinds[:-1][after]])
+            keys, n = np.unique(keys, return_counts=True)
+            held.append(keys)
+            counts.append(n)
+            if sum(map(len, held)) > 4 * HELD and len(merged()[0]) > 2 * HELD:
+                yield passed()
+        if held:
+            yield passed()
+
+    rows = doc_text(docs).mapInArrow(of, "word binary, key int, n long").repartition("word")
+    return rows.groupBy("word", "key").agg(F.sum("n").alias("n")).groupBy("word").agg(F.collect_list(F.struct("key", "n")).alias("near"))
+
+
+def best_classes(table: np.ndarray, own: np.ndarray, word: np.ndarray, key: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Class of each word with the largest exchange gain, one by one on the same ``table`` of class after class, which has it in ``own``."""
+    k, many = len(table), len(own)
+    n = n.astype(float)
+    rows = np.arange(many)
+    after, before, s = np.zeros((many, k)), np.zeros((many, k)), np.zeros(many)
+    is_after, is_before = key < k, (key >= k) & (key < 2 * k)
+    after[word[is_after], key[is_after]] = n[is_after]
+    before[word[is_before], key[is_before] - k] = n[is_before]
+    s[word[key == 2 * k]] = n[key == 2 * k]
+    gain = np.zeros((many, k))
+    for side, whole, other in ((is_after, table.T, before), (is_before, table, after)):
+        w, c, x = word[side], key[side] % k, n[side][:, None]
+        base = whole[c]  # between each class and the neighbours' one
+        at = np.arange(len(w))
+        base[at, own[w]] -= x[:, 0]
+        mine = c == own[w]
+        base[mine] -= other[w[mine]]
+        grown = _xlogx(base + x) - _xlogx(base)
+        grown[at, c] = 0  # within a class: below
+        for b in range(k):
+            gain[:, b] += np.bincount(w, grown[:, b], many)
+    diagonal = np.tile(np.diagonal(table), (many, 1))
+    diagonal[rows, own] -= after[rows, own] + before[rows, own] + s
+    gain += _xlogx(diagonal + after + before + s[:, None]) - _xlogx(diagonal)
+    for own_side, sums in ((after, table.sum(axis=1)), (before, table.sum(axis=0))):
+        total = own_side.sum(axis=1) + s
+        left = np.tile(sums, (many, 1))
+        left[rows, own] -= total
+        gain -= _xlogx(left + total[:, None]) - _xlogx(left)
+    best = gain[:, : k - 1].argmax(axis=1)
+    return np.where(gain[rows, best] > gain[rows, own] + 1e-9, best, own)
+
+
+def classed_words(docs: DataFrame, clustered: int, classes: int) -> tuple[DataFrame, np.ndarray]:
+    """word, n, class of every word of ``docs``, and the class of each shape."""
+    top = word_counts(docs).orderBy(F.desc("n"), "word").limit(clustered).collect()
+    own = {bytes(r["word"]): i for i, r in enumerate(top)}
     pairs = bigrams(docs, own)
     found = exchange(pairs, classes)
-    table = np.array([[0.0]])
     member = np.eye(classes + 1)[found]
-    table = member.T @ pairs @ member
-    moves = (table + SMOOTH) / (table.sum(axis=1, keepdims=True) + SMOOTH * (classes + 1))
+    table, shapes = member.T @ pairs @ member, found[len(own) : len(own) + SHAPES]
+
+    def of(batches):
+        for batch in batches:
+            near = batch.column(1)
+            word = np.repeat(np.arange(len(near)), near.value_lengths().to_numpy())
+            key, n = (near.flatten().field(x).to_numpy() for x in ("key", "n"))
+            mine = np.array([shapes[shape(w)] for w in batch.column(0).to_pylist()], np.int64)
+            best = best_classes(table, mine, word, key, n)
+            follows = (key <= classes) | (key == 2 * (classes + 1))  # each word is followed by something once
+            total = np.bincount(word[follows], n[follows], len(near)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total), pa.array(best.astype(np.int32))], ["word", "n", "class"])
+
+    rest = stored(neighbour_counts(docs, own, found).mapInArrow(of, "word binary, n long, class int"))
+    first = docs.sparkSession.createDataFrame([(bytearray(r["word"]), r["n"], int(found[i])) for i, r in enumerate(top)], "word binary, n long, class int")
+    return rest.union(first), shapes
+
+
+def kinds_of(docs: DataFrame, classed: DataFrame, shapes: np.ndarray, classes: int, held_words: int) -> tuple[DataFrame, dict[bytes, int], np.ndarray, np.ndarray]:
+    """doc_id, held_out, kinds (classes of a text's words), n_known, log_counts of every row; the held words, log counts and classes."""
+    held = most_common(classed, held_words).toArrow()
+    words = {w: i for i, w in enumerate(held["word"].to_pylist())}
+    log_counts = np.log10(held["n"].to_numpy().astype(float) + 1)
+    known = np.concatenate([held["class"].to_numpy().astype(np.int64), shapes])
+    shared = docs.sparkSession.sparkContext.broadcast((words, log_counts, known))
+
+    def of(batches):
+        words, log_counts, known = shared.value
+        items, own = Items(words), len(words)
+        for batch, texts in text_chunks(batches):
+            split = [words_of(x) for x in texts]
+            flat = [w for x in split for w in x]
+            ends = np.append(0, np.cumsum([len(x) for x in split]))
+            line = np.fromiter(map(items.__getitem__, flat), np.int64, len(flat))
+            is_held = line < own
+            doc = np.repeat(np.arange(len(split)), np.diff(ends))
+            log_held = np.bincount(doc[is_held], log_counts[line[is_held]], len(split)).astype(float)
+            places: dict = {}
+            for k in np.nonzero(~is_held)[0].tolist():
+                places.setdefault((int(doc[k]), flat[k]), []).append(int(k - ends[doc[k]]))
+            stops = np.append(0, np.cumsum(np.bincount(np.array([d for d, _ in places], np.int64), minlength=len(split))))
+            pairs = pa.StructArray.from_arrays([pa.array([w for _, w in places], pa.binary()), pa.array(list(places.values()), pa.list_(pa.int32()))], ["word", "at"])
+            kinds = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(known[line].astype(np.int16)))
+            rest = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pairs)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), kinds, pa.array(np.bincount(doc[is_held], minlength=len(split))), pa.array(log_held), rest], ["doc_id", "held_out", "kinds", "n_held", "log_held", "rest"])
+
+    rows = doc_text(docs, held_out().alias("held_out")).mapInArrow(of, "doc_id long, held_out boolean, kinds array<short>, n_held long, log_held double, rest array<struct<word:binary,at:array<int>>>")
+    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()))
+    met = rows.select("row", F.inline("rest")).join(classed, "word")
+    met = met.groupBy("row").agg(F.collect_list(F.struct("at", "class")).alias("met"), F.sum(F.size("at") * F.log10(F.col("n") + 1)).alias("log_rest"), F.sum(F.size("at")).alias("n_rest"))
+    whole = rows.drop("rest").join(met, "row", "left").fillna(0, ["log_rest", "n_rest"])
+    whole = whole.select("doc_id", "held_out", "kinds", (F.col("n_held") + F.col("n_rest")).alias("n_known"), (F.col("log_held") + F.col("log_rest")).alias("log_counts"), "met")
 
-    def shapes(batches):
+    def filled(batches):
+        for batch in batches:
+            lists, met = batch.column(2), batch.column(5)
+            kinds = lists.flatten().to_numpy().copy()
+            size = lists.value_lengths().to_numpy()
+            ends, first = np.append(0, np.cumsum(size)), starts_of(size)
+            many = met.value_lengths().fill_null(0).to_numpy()
+            inner = met.flatten()
+            at, kind = inner.field("at"), inner.field("class").to_numpy()
+            length = at.value_lengths().to_numpy()
+            doc = np.repeat(np.repeat(np.arange(len(size)), many), length)
+            kinds[first[doc] + at.flatten().to_numpy()] = np.repeat(kind, length)
+            out = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(kinds, pa.int16()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), out, batch.column(3), batch.column(4)], ["doc_id", "held_out", "kinds", "n_known", "log_counts"])
+
+    out = stored(whole.mapInArrow(filled, "doc_id long, held_out boolean, kinds array<short>, n_known long, log_counts double"))
+    return out, words, log_counts, known
+
+
+def _line(kinds: pa.ListArray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The classes of all texts, each text with an end after it, and the texts' lengths with it."""
+    n = kinds.value_lengths().to_numpy().astype(np.int64) + 1
+    line = np.full(n.sum(), end, np.int64)
+    inside = np.ones(len(line), bool)
+    inside[np.cumsum(n) - 1] = False
+    line[inside] = kinds.flatten().to_numpy()
+    return line, n
+
+
+def transitions(kinds: DataFrame, classes: int) -> np.ndarray:
+    """Counts of class after class over all rows; each text starts and ends with the last one."""
+    k = classes + 1
+
+    def of(batches):
+        total = np.zeros(k * k, np.int64)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([shape(w) for w in batch.column(0).to_pylist()], pa.int32()), batch.column(1)], ["shape", "n"])
-
-    by_shape = {r["shape"]: (r["types"], r["n"]) for r in counts.mapInArrow(shapes, "shape int, n long").groupBy("shape").agg(F.count("*").alias("types"), F.sum("n").alias("n")).collect()}
-    types, tokens = np.zeros(classes + 1), np.zeros(classes + 1)
-    for k, (n_types, n) in by_shape.items():
-        types[found[len(own) + k]] += n_types
-        tokens[found[len(own) + k]] += n
-    known = np.concatenate([[found[own[w]] if w in own else found[len(own) + shape(w)] for w, _ in held], found[len(own) : len(own) + SHAPES]]).astype(np.int64)
-    for w, i in own.items():  # counted with its shape so far
-        n = held[i][1]
-        for c, sign in ((found[len(own) + shape(w)], -1), (found[i], 1)):
-            types[c] += sign
-            tokens[c] += sign * n
+            line, _ = _line(batch.column(0), classes)
+            total += np.bincount(np.append(classes, line[:-1]) * k + line, minlength=k * k) if len(line) else 0
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k * k)), pa.array(total)], ["pair", "n"])
+
+    rows = kinds.select("kinds").mapInArrow(of, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(k * k)
+    out[rows["pair"].to_numpy()] = rows["n"].to_numpy()
+    return out.reshape(k, k)
+
+
+def _model(classed: DataFrame, table: np.ndarray, words: dict[bytes, int], log_counts: np.ndarray, known: np.ndarray) -> Model:
+    k = len(table)
+    moves = (table + SMOOTH) / (table.sum(axis=1, keepdims=True) + SMOOTH * k)
+    types, tokens = np.zeros(k), np.zeros(k)
+    for r in classed.groupBy("class").agg(F.count("*").alias("types"), F.sum("n").alias("n")).collect():
+        types[r["class"]], tokens[r["class"]] = r["types"], r["n"]
     sizes = np.log10(tokens + types + 1)
-    sizes[classes] = 0
-    ends = int(table[:, classes].sum())
-    model = Model({w: i for i, (w, _) in enumerate(held)}, np.log10(np.array([n for _, n in held], float) + 1), known, np.log10(moves), sizes, int(tokens.sum()) + ends, int(types.sum()) + (ends > 0), ends)
-    return model, counts
+    sizes[k - 1] = 0
+    ends = int(table[:, k - 1].sum())
+    return Model(words, log_counts, known, np.log10(moves), sizes, int(tokens.sum()) + ends, int(types.sum()) + (ends > 0), ends)
+
+
+def train(docs: DataFrame, clustered: int = CLUSTERED, classes: int = CLASSES, held_words: int = HELD_WORDS) -> tuple[Model, DataFrame]:
+    """The model, and word, n, class of all words, from the rows of ``docs``."""
+    classed, shapes = classed_words(docs, clustered, classes)
+    kinds, *held = kinds_of(docs, classed, shapes, classes, held_words)
+    return _model(classed, transitions(kinds, classes), *held), classed
 
 
 def lm_scores(docs: DataFrame, clustered: int = CLUSTERED, classes: int = CLASSES, held_words: int = HELD_WORDS) -> DataFrame:
@@ -222,47 +399,28 @@ def lm_scores(docs: DataFrame, clustered: int = CLUSTERED, classes: int = CLASSE
     id is learned from. Without any training row each token has base
     probability 1. Other columns are ignored; an empty table gives none.
     """
-    model, counts = train(docs.where(~held_out()), clustered, classes, held_words)
-    shared = docs.sparkSession.sparkContext.broadcast(tuple(model))
+    classed, shapes = classed_words(docs.where(~held_out()), clustered, classes)
+    kinds, *held = kinds_of(docs, classed, shapes, classes, held_words)
+    model = _model(classed, transitions(kinds.where(~F.col("held_out")), classes), *held)
+    moves, sizes = model.log_moves, model.log_sizes
 
     def of(batches):
-        m = Model(*shared.value)
-        items, held, end = Items(m.words), len(m.words), m.log_moves.shape[0] - 1
-        for batch, texts in text_chunks(batches):
-            words = [words_of(x) for x in texts]
-            n = np.array([len(x) for x in words]) + 1
-            line = np.array([i for x in words for i in (*map(items.__getitem__, x), -1)], np.int64)
-            is_end, is_held = line < 0, (line >= 0) & (line < held)
-            kind = np.where(is_end, end, m.known[line])
-            previous = np.append(end, kind[:-1])
-            start = starts_of(n)
-            model_sum = np.add.reduceat(m.log_moves[previous, kind] - m.log_sizes[kind], start)
-            of_count = np.zeros(len(line))
-            of_count[is_held] = m.log_counts[line[is_held]]
-            log_held, n_held = np.add.reduceat(of_count, start), np.add.reduceat(is_held.astype(np.int64), start)
-            rest = []
-            for d, x in enumerate(words):
-                own = line[start[d] : start[d] + len(x)] >= held
-                tail = Counter(x[k] for k in np.nonzero(own)[0].tolist())
-                rest.append([{"word": w, "times": t} for w, t in tail.items()])
-            kinds = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(x) for x in (n.astype(np.int64), n_held, log_held, model_sum)), pa.array(rest, kinds)], ["doc_id", "held_out", "n_tokens", "n_held", "log_held", "model_sum", "rest"])
-
-    rows = doc_text(docs, held_out().alias("held_out")).mapInArrow(of, "doc_id long, held_out boolean, n_tokens long, n_held long, log_held double, model_sum double, rest array<struct<word:binary,times:int>>")
-    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()))
-    met = rows.select("row", F.inline("rest")).join(counts, "word")
-    met = met.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("log_rest"), F.sum("times").alias("n_rest"))
-    whole = rows.drop("rest").join(met, "row", "left").fillna(0, ["log_rest", "n_rest"])
-    log_counts = F.col("log_held") + F.col("log_rest")
+        for batch in batches:
+            line, n = _line(batch.column(2), classes)
+            previous = np.append(classes, line[:-1])
+            model_sum = np.add.reduceat(moves[previous, line] - sizes[line], starts_of(n)) if len(n) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), batch.column(4), pa.array(n), pa.array(model_sum)], ["doc_id", "held_out", "n_known", "log_counts", "n_tokens", "model_sum"])
+
+    whole = kinds.mapInArrow(of, "doc_id long, held_out boolean, n_known long, log_counts double, n_tokens long, model_sum double")
     ends, total = model.ends, float(np.log10(model.tokens + model.types + 1))
-    score = F.col("model_sum") + log_counts
+    score = F.col("model_sum") + F.col("log_counts")
     return whole.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("n_held") + F.col("n_rest") + (1 if ends else 0)).cast("long").alias("n_known"),
+        (F.col("n_known") + (1 if ends else 0)).cast("long").alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (log_counts + F.lit(float(np.log10(ends + 1))) - F.col("n_tokens") * F.lit(total)).alias("base_score"),
+        (F.col("log_counts") + F.lit(float(np.log10(ends + 1))) - F.col("n_tokens") * F.lit(total)).alias("base_score"),
         score.alias("score"),
         F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"),
     )

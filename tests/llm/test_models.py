@@ -62,6 +62,42 @@ def test_exchange_finds_classes():
     assert len(set(zip(kind.tolist(), found[:20].tolist(), strict=True))) == 2
 
 
+def test_rarer_words_take_the_class_of_largest_gain(docs_of):
+    rng = random.Random(3)
+    slot = lambda often, seldom: f"{often}{rng.randrange(3)}" if rng.random() < 0.8 else f"{seldom}{chr(97 + rng.randrange(20))}"
+    line = lambda: " ".join(x for _ in range(12) for x in (slot("f", "rare"), slot("g", "seld")))
+    model, counts = brown_lm.train(docs_of([(k, line()) for k in range(300)]), clustered=6, classes=3, held_words=3)
+    of = {r.word.decode(): r["class"] for r in counts.collect()}
+    # Of one shape, so by spelling all would be in one class.
+    assert len({of[w] for w in of if w.startswith("rare")}) == len({of[w] for w in of if w.startswith("seld")}) == 1
+    assert of["rarea"] == of["f0"] != of["g0"] == of["selda"] and len(of) == 46
+    assert np.allclose((10**model.log_moves).sum(axis=1), 1)
+
+
+def test_best_classes_are_those_of_the_likelihood():
+    rng = np.random.default_rng(2)
+    counts = rng.integers(0, 4, (13, 13)).astype(float)
+    own = np.append(np.arange(12) % 4, 4)
+
+    def likelihood(own):
+        member = np.eye(5)[own]
+        t = member.T @ counts @ member
+        return brown_lm._xlogx(t).sum() - brown_lm._xlogx(t.sum(axis=0)).sum() - brown_lm._xlogx(t.sum(axis=1)).sum()
+
+    member = np.eye(5)[own]
+    for w in range(12):
+        near = np.zeros(11)
+        for v in range(13):
+            if v == w:
+                near[10] = counts[w, w]
+            else:
+                near[own[v]] += counts[w, v]
+                near[5 + own[v]] += counts[v, w]
+        key = np.nonzero(near)[0]
+        got = brown_lm.best_classes(member.T @ counts @ member, own[[w]], np.zeros(len(key), np.int64), key, near[key])[0]
+        assert got == max(range(4), key=lambda b: likelihood(np.where(np.arange(13) == w, b, own)))
+
+
 def test_language_model_without_training_rows(docs_of):
     held = [(k, "some words here") for k in range(200) if zlib.crc32(str(k).encode()) % 7 == 2]
     got = brown_lm.lm_scores(docs_of(held), clustered=5, classes=2).collect()
