@@ -126,27 +126,43 @@ def geodesics(edges: DataFrame, sources: DataFrame, limit: float) -> DataFrame:
     return known
 
 
-def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
+def label_propagation(edges: DataFrame) -> DataFrame:
     """node, module: communities by synchronous weighted label propagation.
 
     Each node takes the label with the largest summed weight among itself (by
     its strongest edge) and its neighbours, the smallest of equals. Deterministic;
     it does not minimise a map equation, so modules differ from such methods'.
+    The rounds end when no label changes. Where the labels of an earlier round
+    recur, each node takes the smallest label that it has in the cycle.
     """
     ends = checkpoint(edges.select("i", "j", "w").union(edges.select(F.col("j").alias("i"), F.col("i").alias("j"), "w")).where("i <> j and w > 0"))
     own = ends.groupBy("i").agg(F.max("w").alias("w"))
     labels = checkpoint(own.select(F.col("i").alias("node"), F.col("i").alias("module")))
-    for _ in range(rounds):
+
+    def state(labels: DataFrame):
+        return labels.agg(F.count("*"), F.sum(F.xxhash64("node", "module").cast("decimal(38,0)"))).first()
+
+    seen, least = {state(labels): 0}, None
+    end = None  # of the cycle, once one is found
+    while end is None or len(seen) < end:
         votes = ends.join(labels.withColumnRenamed("node", "j"), "j").select("i", "module", "w")
         votes = votes.union(own.join(labels.withColumnRenamed("node", "i"), "i").select("i", "module", "w"))
         sums = votes.groupBy("i", "module").agg(F.round(F.sum("w"), 9).alias("s"))
         new = sums.groupBy("i").agg(F.min(F.struct((-F.col("s")).alias("s"), "module")).alias("b")).select(F.col("i").alias("node"), F.col("b.module").alias("module"))
-        new = checkpoint(new)
-        changed = new.join(labels.withColumnRenamed("module", "old"), "node").where("module <> old").count()
-        labels = new
-        if not changed:
-            break
-    return labels
+        labels = checkpoint(new)
+        now = state(labels)
+        if end is None:
+            length = len(seen) - seen.get(now, len(seen))
+            if length == 1:
+                return labels
+            if length:
+                seen, least, end = {}, labels, length - 1
+            else:
+                seen[now] = len(seen)
+        else:
+            seen[now] = len(seen)
+            least = checkpoint(least.union(labels).groupBy("node").agg(F.min("module").alias("module")))
+    return least if least is not None else labels
 
 
 def nearest_reference(points: DataFrame, references: DataFrame, axes: list[str], within: list[str], point: str, reference: str) -> DataFrame:

@@ -209,6 +209,11 @@ def test_label_propagation_splits_cliques(spark):
     assert len({got[k] for k in range(5)}) == len({got[k] for k in range(10, 15)}) == 1 and got[0] != got[10]
 
 
+def test_label_propagation_runs_until_labels_stay(spark):
+    path = [(k, k + 1, 100.0 - k) for k in range(14)]  # the first node's label moves on by one node a round
+    assert {r.module for r in graph.label_propagation(edges_of(spark, path)).collect()} == {0}
+
+
 def test_gradients_match_numpy(spark):
     n = 24
     at = np.linspace(0, 1, n) ** 1.3
