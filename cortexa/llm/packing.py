@@ -2,9 +2,11 @@
 
 Documents longer than the largest permitted length are cut. Pieces are dealt
 over shards, and each shard is packed by decreasing length: a piece goes where
-it leaves the least room; if it fits nowhere, the bin size that costs least per
-word it can expect to hold is opened. Finally each bin shrinks to the smallest
-permitted length that holds its contents.
+it leaves the least room. If it fits nowhere a bin is opened, and the permitted
+lengths are weighed against one another: for each one it is worked out what the
+pieces still waiting would fill it with, and the length that then costs least a
+word is opened. Finally each bin shrinks to the smallest permitted length that
+holds its contents.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from .common import checkpoint
 CAPACITIES = (512, 1024, 2048, 4096)
 
 #: Cost of a sequence of length c: c for its words, a fixed part, and attention's c * c over this span.
-FIXED_COST, ATTENTION_SPAN = 64, 32_768
+FIXED_COST, ATTENTION_SPAN = 32, 16_384
 
 #: Pieces that a shard holds on average.
 SHARD_PIECES = 20_000
@@ -28,30 +30,52 @@ def cost(capacity: int) -> float:
     return capacity + FIXED_COST + capacity * capacity / ATTENTION_SPAN
 
 
-def pack(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES) -> tuple[list[int], list[int], list[int]]:
-    """Bin and offset of each length (given in decreasing order), and each bin's final capacity."""
+def filling(capacity: int, first: int, waiting: list[int], some: int) -> int:
+    """Words that a bin opened for a piece would hold: after it, ever the longest waiting piece that fits.
+
+    ``waiting`` counts the pieces by length; bit n of ``some`` tells that there are any of n words.
+    """
+    room = capacity - first
+    while fits := some & ((2 << room) - 1):
+        n = fits.bit_length() - 1
+        room -= n * min(waiting[n], room // n)
+        some = fits ^ (1 << n)
+    return capacity - room
+
+
+def pack(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES) -> tuple[list[int], list[int], list[int], list[int]]:
+    """Bin and offset of each length (given in decreasing order), each bin's capacity when opened and in the end.
+
+    Of permitted lengths that cost as much a word the shortest is opened.
+    """
     capacities = tuple(sorted(capacities))
     rooms: list[list[int]] = [[] for _ in range(capacities[-1] + 1)]  # open bins by room left
     some = 0  # bit r: rooms[r] has a bin
-    bins, offsets, filled = [], [], []
-    left = sum(lengths)
+    waiting = [0] * (capacities[-1] + 1)
+    for n in lengths:
+        waiting[n] += 1
+    wait = sum(1 << n for n in range(1, len(waiting)) if waiting[n])
+    bins, offsets, opened, filled = [], [], [], []
     for n in lengths:
+        waiting[n] -= 1
+        if n and not waiting[n]:
+            wait ^= 1 << n
         if fits := some >> n:
             room = n + (fits & -fits).bit_length() - 1
             k = rooms[room].pop()
             if not rooms[room]:
                 some ^= 1 << room
         else:
-            room = min((c for c in capacities if c >= n), key=lambda c: (cost(c) / max(1, min(c, left)), c))
+            room = min((c for c in capacities if c >= n), key=lambda c: (cost(c) / max(1, filling(c, n, waiting, wait)), c))
             k = len(filled)
+            opened.append(room)
             filled.append(0)
         bins.append(k)
         offsets.append(filled[k])
         filled[k] += n
-        left -= n
         rooms[room - n].append(k)
         some |= 1 << (room - n)
-    return bins, offsets, [next(c for c in capacities if c >= f) for f in filled]
+    return bins, offsets, opened, [next(c for c in capacities if c >= f) for f in filled]
 
 
 def pieces(docs: DataFrame, most: int) -> DataFrame:
@@ -78,7 +102,7 @@ def best_fit(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, shard_pi
 
     def packed(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["n_words", "doc_id", "part", "row"], ascending=[False, True, True, True], kind="stable")
-        bins, offsets, sizes = pack(group["n_words"].tolist(), capacities)
+        bins, offsets, _, sizes = pack(group["n_words"].tolist(), capacities)
         group["bin_id"] = group["shard"] * (1 << 32) + np.array(bins, np.int64)
         group["bin_size"] = np.array(sizes, np.int32)[bins]
         group["bin_offset"] = np.array(offsets, np.int32)

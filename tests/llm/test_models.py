@@ -232,31 +232,60 @@ def test_negative_risk_is_corrected():
 
 
 def naive_pack(lengths, capacities):
-    """Final sizes of best fit that looks at every bin for every piece."""
-    bins, left = [], sum(lengths)
-    for n in lengths:
+    """Opened and final sizes of best fit that looks at every bin, and at every waiting piece, for every piece."""
+    bins, opened = [], []
+    for i, n in enumerate(lengths):
         fits = [(c - f, -k) for k, (f, c) in enumerate(bins) if c - f >= n]
         if fits:
             k = -min(fits)[1]
             bins[k] = (bins[k][0] + n, bins[k][1])
-        else:
-            bins.append((n, min((c for c in capacities if c >= n), key=lambda c: (packing.cost(c) / max(1, min(c, left)), c))))
-        left -= n
-    return sorted(next(c for c in capacities if c >= f) for f, _ in bins)
+            continue
+        worth = []
+        for c in capacities:
+            held = n
+            for other in lengths[i + 1 :]:
+                held += other if held + other <= c else 0
+            if c >= n:
+                worth.append(((c + packing.FIXED_COST + c**2 / packing.ATTENTION_SPAN) / max(1, held), c))
+        opened.append(min(worth)[1])
+        bins.append((n, opened[-1]))
+    return sorted(opened), sorted(next(c for c in capacities if c >= f) for f, _ in bins)
 
 
 @pytest.mark.parametrize("seed", range(5))
 def test_pack_is_best_fit(seed):
     rng = random.Random(seed)
     lengths = sorted((rng.randrange(0, 40) for _ in range(300)), reverse=True)
-    bins, offsets, sizes = packing.pack(lengths, (8, 16, 40))
+    bins, offsets, opened, sizes = packing.pack(lengths, (8, 16, 40))
     held = Counter()
     for n, b, o in zip(lengths, bins, offsets, strict=True):
         assert o == held[b]
         held[b] += n
-    assert all(held[b] <= sizes[b] and all(c < held[b] for c in (8, 16, 40) if c < sizes[b]) for b in set(bins))
+    assert all(held[b] <= sizes[b] <= opened[b] and all(c < held[b] for c in (8, 16, 40) if c < sizes[b]) for b in set(bins))
     # Which of equally full bins is taken does not matter: what is left over is the same.
-    assert sorted(sizes) == naive_pack(lengths, (8, 16, 40))
+    assert (sorted(opened), sorted(sizes)) == naive_pack(lengths, (8, 16, 40))
+    assert packing.pack([3, 3, 0, 0], (8, 16))[0] == [0, 0, 0, 0]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_permitted_lengths_are_chosen_jointly(seed):
+    rng = random.Random(seed)
+    lengths = sorted((int(min(9000, rng.lognormvariate(6, 1.2))) for _ in range(3000)), reverse=True)
+
+    def whole(capacities):
+        cut = sorted((min(capacities[-1], n - at) for n in lengths for at in range(0, max(1, n), capacities[-1])), reverse=True)
+        _, _, opened, sizes = packing.pack(cut, capacities)
+        return sum(map(packing.cost, sizes)), set(opened)
+
+    joint, opened = whole(packing.CAPACITIES)
+    assert opened == set(packing.CAPACITIES)
+    assert joint < whole((4096,))[0]  # the only single length that cuts nothing more
+    # What the choice itself is worth: against opening the shortest length that holds the piece, or always the longest.
+    naive = packing.pack(sorted((min(4096, n - at) for n in lengths for at in range(0, max(1, n), 4096)), reverse=True), (4096,))
+    held = Counter()
+    for n, b in zip(sorted((min(4096, n - at) for n in lengths for at in range(0, max(1, n), 4096)), reverse=True), naive[0], strict=True):
+        held[b] += n
+    assert joint < sum(packing.cost(next(c for c in packing.CAPACITIES if c >= f)) for f in held.values())
 
 
 def test_packing_covers_every_word_once(docs_of):
