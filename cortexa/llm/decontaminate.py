@@ -7,6 +7,8 @@ Each item is sketched by the shingles with the smallest hash values, and items
 are partitioned by size: all items of a size class keep as many minima as its
 largest member needs. A document of any length is therefore found through the
 sketches with certainty; what is found is verified by exact shingle containment.
+An item of fewer than five words is one shingle of its own length: a document
+contains it where its words stand consecutively.
 """
 
 from __future__ import annotations
@@ -23,12 +25,21 @@ from .common import BASE_A, WordHashes, checkpoint, doc_text, plain_words, rolli
 
 SHINGLE, CONTAINMENT = 5, Fraction(4, 5)
 
-#: Item bytes up to which the items themselves go to every task; larger sets are joined.
-BROADCAST_BYTES = 32 << 20
+#: A word, as ``plain_words`` takes them from text whose A-Z are lower-cased.
+WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
+#: Words of all items, and so at most as many shingles, up to which the items themselves go to every task (some
+#: 150 bytes a shingle in each worker's sets); larger item sets are joined.
+BROADCAST_WORDS = 500_000
 
-def shingles(words: list[bytes]) -> set[bytes]:
-    return {b" ".join(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)}
+
+def shingles(words: list[bytes], size: int = SHINGLE) -> set[bytes]:
+    return {b" ".join(words[i : i + size]) for i in range(len(words) - size + 1)}
+
+
+def size_of(words: list[bytes]) -> int:
+    """Words of an item's shingles: five, or all of a shorter item."""
+    return min(SHINGLE, len(words))
 
 
 def size_class(q: int) -> int:
@@ -39,7 +50,7 @@ def size_class(q: int) -> int:
 
 def sketch(words: list[bytes], hashes: WordHashes, containment: Fraction) -> np.ndarray:
     """The smallest distinct shingle hashes, as many as the item's size class needs."""
-    values = np.unique(rolling(hashes.of(words), SHINGLE, BASE_A))
+    values = np.unique(rolling(hashes.of(words), size_of(words), BASE_A))
     most = size_class(max(1, len(values)))
     return values[: most - ceil(containment * most) + 1]
 
@@ -48,18 +59,25 @@ def _usable(items: DataFrame) -> DataFrame:
     return items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
 
 
-def contained(docs: DataFrame, items: DataFrame, containment: Fraction = CONTAINMENT, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def contained(docs: DataFrame, items: DataFrame, containment: Fraction = CONTAINMENT, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """doc_id, item_id, n_shared, n_item, containment of each document with at least ``containment`` of an item's shingles.
 
     Words are runs of letters and digits (any character above ASCII counts),
-    A-Z lower-cased. Items of fewer than five words, null ones and those without
-    an id match nothing, nor do null or empty documents. Rows that repeat a
-    doc_id are documents of their own, of which the best match is given; items
-    that repeat an id likewise. Other columns are ignored.
+    A-Z lower-cased. Items without a word or an id match nothing, nor do null
+    or empty documents; an item of one to four words has one shingle. Rows that
+    repeat a doc_id are documents of their own, of which the best match is
+    given; items that repeat an id likewise. Other columns are ignored.
     """
+    n = F.least(F.lit(SHINGLE), F.regexp_count("text", F.lit(WORDS)))
     items = _usable(items)
-    held = items.agg(F.sum(F.length(F.col("text").cast("binary")) + 64).alias("b")).first()["b"] or 0
-    found = _scanned(docs, items, containment) if held <= broadcast_bytes else _joined(docs, items, containment)
+    by_size = {r["n"]: r["words"] for r in items.groupBy(n.alias("n")).agg(F.sum(F.regexp_count("text", F.lit(WORDS))).alias("words")).collect() if r["n"]}
+    sizes = sorted(by_size)
+    if not sizes:
+        found = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_shared long, n_item long")
+    elif sum(by_size.values()) <= broadcast_words:
+        found = _scanned(docs, items, containment)
+    else:
+        found = _joined(docs, items, containment, sizes)
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("n_shared") / F.col("n_item"), "n_shared", "n_item")).alias("m"))
     return best.select("doc_id", "item_id", "m.n_shared", "m.n_item", (F.col("m.n_shared") / F.col("m.n_item")).alias("containment"))
 
@@ -67,75 +85,90 @@ def contained(docs: DataFrame, items: DataFrame, containment: Fraction = CONTAIN
 def _scanned(docs: DataFrame, items: DataFrame, containment: Fraction) -> DataFrame:
     """A single pass over the documents; the items, of bounded size, are in each task."""
     rows = [(x["item_id"], plain_words((x["text"] or "").encode())) for x in items.collect()]
-    rows = docs.sparkSession.sparkContext.broadcast([(i, w) for i, w in rows if len(w) >= SHINGLE])
+    rows = docs.sparkSession.sparkContext.broadcast([(i, w) for i, w in rows if w])
 
     def of(batches):
-        hashes, of_value = WordHashes(), defaultdict(list)
-        sets = [(i, shingles(w)) for i, w in rows.value]
+        hashes = WordHashes()
+        of_value: dict[int, dict] = defaultdict(lambda: defaultdict(list))  # by size, then by value
+        sets = [(i, shingles(w, size_of(w))) for i, w in rows.value]
         for k, (_, words) in enumerate(rows.value):
             for value in sketch(words, hashes, containment).tolist():
-                of_value[value].append(k)
-        table = np.sort(np.fromiter(of_value, np.uint64, len(of_value)))
+                of_value[size_of(words)][value].append(k)
+        tables = {size: np.sort(np.fromiter(x, np.uint64, len(x))) for size, x in of_value.items()}
         for batch, texts in text_chunks(batches):
             words = [plain_words(x) for x in texts]
             out = []
-            for d, candidates in _hits(words, hashes, table, of_value) if len(table) else ():
-                own = shingles(words[d])
-                for k in sorted(candidates):
-                    item, whole = sets[k]
-                    if (n := len(own & whole)) >= containment * len(whole):
-                        out.append((batch.column(0)[d].as_py(), item, n, len(whole)))
+            for size, table in tables.items():
+                for d, candidates in _hits(words, hashes, size, table, of_value[size]):
+                    own = shingles(words[d], size)
+                    for k in sorted(candidates):
+                        item, whole = sets[k]
+                        if (n := len(own & whole)) >= containment * len(whole):
+                            out.append((batch.column(0)[d].as_py(), item, n, len(whole)))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else ([],) * 4)], ["doc_id", "item_id", "n_shared", "n_item"])
 
     return doc_text(docs).mapInArrow(of, "doc_id long, item_id long, n_shared long, n_item long")
 
 
-def _hits(words, hashes, table, of_value):
+def _hits(words, hashes, size, table, of_value):
     """(document, items) for the documents of a chunk that hold a value of a sketch."""
     counts = np.array([len(x) for x in words])
-    values = rolling(hashes.of([w for x in words for w in x]), SHINGLE, BASE_A)
+    values = rolling(hashes.of([w for x in words for w in x]), size, BASE_A)
     at = np.nonzero(table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values)[0]
     doc = np.searchsorted(np.cumsum(counts), at, side="right")
-    inside = at + SHINGLE <= (starts_of(counts) + counts)[doc]
+    inside = at + size <= (starts_of(counts) + counts)[doc]
     found = defaultdict(set)
     for d, value in zip(doc[inside].tolist(), values[at[inside]].tolist(), strict=True):
         found[d].update(of_value[value])
     return found.items()
 
 
-def _joined(docs: DataFrame, items: DataFrame, containment: Fraction) -> DataFrame:
-    """The same by joins, for item sets of any size."""
+def _joined(docs: DataFrame, items: DataFrame, containment: Fraction, sizes: list[int]) -> DataFrame:
+    """The same by joins, for item sets of any size; equal texts are looked up and verified once.
+
+    Only items that share a sketch value with a text are compared with it: each
+    asks the text for its own shingles, so a shingle that many documents and
+    many items have makes no rows beyond the pairs that were found.
+    """
+
+    def each(names, pick):
+        """Rows of the first columns, repeated for every value that ``pick`` finds in the text, the last one."""
 
-    def values(whole):
         def of(batches):
             hashes = WordHashes()
-            for batch, texts in text_chunks(batches, column=1):
-                pick = [(lambda w: np.unique(rolling(hashes.of(w), SHINGLE, BASE_A)) if whole else sketch(w, hashes, containment))(plain_words(x)) for x in texts]
-                n = [len(x) for x in pick]
-                keys = [c.take(pa.array(np.repeat(np.arange(len(n)), n))) for i, c in enumerate(batch.columns) if i != 1]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array(signed(np.concatenate(pick)))], [*(batch.schema.names[i] for i in range(batch.num_columns) if i != 1), "value"])
+            for batch, texts in text_chunks(batches, column=len(names)):
+                found, kind = pick([plain_words(x) for x in texts], hashes)
+                n = [len(x) for x in found]
+                keys = [batch.column(k).take(pa.array(np.repeat(np.arange(len(n)), n))) for k in range(len(names))]
+                flat = pa.array([v for x in found for v in x], kind)
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(np.repeat(n, n)), flat], [*names, "n", "value"])
 
         return of
 
-    def spelled(batches):
-        for batch, texts in text_chunks(batches, column=1):
-            own = [sorted(shingles(plain_words(x))) for x in texts]
-            n = [len(x) for x in own]
-            keys = [c.take(pa.array(np.repeat(np.arange(len(n)), n))) for i, c in enumerate(batch.columns) if i != 1]
-            out = [*keys, pa.array(np.repeat(n, n)), pa.array([s for x in own for s in x], pa.binary())]
-            yield pa.RecordBatch.from_arrays(out, [*(batch.schema.names[i] for i in range(batch.num_columns) if i != 1), "n", "shingle"])
-
-    rows = doc_text(docs).withColumn("doc_key", F.xxhash64("text"))
-    texts = items.withColumn("item_key", F.xxhash64("text"))
-    index = texts.mapInArrow(values(False), "item_id long, item_key long, value long")
-    probes = rows.mapInArrow(values(True), "doc_id long, doc_key long, value long")
-    pairs = checkpoint(probes.join(index, "value").select("doc_id", "doc_key", "item_id", "item_key").distinct())
-    some = rows.join(pairs.select("doc_key").distinct(), "doc_key", "left_semi").select("doc_id", "text", "doc_key")
-    own = some.mapInArrow(spelled, "doc_id long, doc_key long, n_doc long, shingle binary").distinct()
-    whole = texts.mapInArrow(spelled, "item_id long, item_key long, n_item long, shingle binary").distinct()
-    shared = own.join(whole, "shingle").groupBy("doc_id", "doc_key", "item_id", "item_key").agg(F.count("*").alias("n_shared"), F.max("n_item").alias("n_item"))
-    verified = shared.join(pairs, ["doc_key", "item_id", "item_key"], "left_semi")
-    return verified.where(F.col("n_shared") * containment.denominator >= F.col("n_item") * containment.numerator).select("doc_id", "item_id", "n_shared", "n_item")
+    def sketches(texts, hashes):
+        return [signed(sketch(w, hashes, containment)).tolist() if w else [] for w in texts], pa.int64()
+
+    def values(texts, hashes):
+        return [signed(np.unique(np.concatenate([rolling(h, size, BASE_A) for size in sizes]))).tolist() for h in map(hashes.of, texts)], pa.int64()
+
+    def own_shingles(texts, hashes):
+        return [sorted(shingles(w, size_of(w))) if w else [] for w in texts], pa.binary()
+
+    def all_shingles(texts, hashes):
+        return [sorted(set().union(*(shingles(w, size) for size in sizes))) for w in texts], pa.binary()
+
+    key = F.sha2(F.coalesce("text", F.lit("")), 256)  # equal keys, equal texts
+    rows = doc_text(docs).withColumn("doc_key", key)
+    texts = items.withColumn("item_key", key)
+    index = texts.select("item_id", "item_key", "text").mapInArrow(each(["item_id", "item_key"], sketches), "item_id long, item_key string, n long, value long")
+    probes = rows.select("doc_key", "text").mapInArrow(each(["doc_key"], values), "doc_key string, n long, value long")
+    pairs = checkpoint(probes.select("doc_key", "value").distinct().join(index.select("item_id", "item_key", "value").distinct(), "value").select("doc_key", "item_id", "item_key").distinct())
+    some = rows.join(pairs.select("doc_key").distinct(), "doc_key", "left_semi")
+    own = some.select("doc_key", "text").mapInArrow(each(["doc_key"], all_shingles), "doc_key string, n long, value binary").select("doc_key", "value").distinct()
+    whole = texts.select("item_id", "item_key", "text").mapInArrow(each(["item_id", "item_key"], own_shingles), "item_id long, item_key string, n_item long, value binary").distinct()
+    shared = pairs.join(whole, ["item_id", "item_key"]).join(own, ["doc_key", "value"]).groupBy("doc_key", "item_id", "item_key").agg(F.count("*").alias("n_shared"), F.max("n_item").alias("n_item"))
+    verified = shared.where(F.col("n_shared") * containment.denominator >= F.col("n_item") * containment.numerator)
+    return some.select("doc_id", "doc_key").join(verified, "doc_key").select("doc_id", "item_id", "n_shared", "n_item")
 
 
 SQL = r"""
@@ -143,10 +176,11 @@ WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
 ), i AS (
   SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
-), ds AS (
-  SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS k FROM d)
+), z AS (SELECT DISTINCT least(5, len(w)) AS z FROM i WHERE len(w) > 0),
+ds AS (
+  SELECT DISTINCT doc_id, array_to_string(w[k:k + z - 1], ' ') AS s FROM (SELECT doc_id, w, z, unnest(range(1, len(w) - z + 2)) AS k FROM d, z)
 ), s AS (
-  SELECT DISTINCT item_id, array_to_string(w[k:k + 4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS k FROM i)
+  SELECT DISTINCT item_id, array_to_string(w[k:k + z - 1], ' ') AS s FROM (SELECT item_id, w, least(5, len(w)) AS z, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS k FROM i WHERE len(w) > 0)
 ), n AS (SELECT item_id, count(*) AS n_item FROM s GROUP BY item_id)
 SELECT doc_id, item_id, count(*) AS n_shared, n_item, count(*) / n_item AS containment
 FROM ds JOIN s USING (s) JOIN n USING (item_id)

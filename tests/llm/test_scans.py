@@ -65,9 +65,11 @@ def test_license_scan_matches_sql(spark, duck):
 def brute_contained(docs, items, share=0.8):
     out = {}
     for i, t in docs:
-        own = decontaminate.shingles(plain_words((t or "").encode()))
+        words = plain_words((t or "").encode())
         for k, u in items:
-            whole = decontaminate.shingles(plain_words((u or "").encode()))
+            item = plain_words((u or "").encode())
+            size = min(5, len(item))
+            own, whole = ({tuple(x[i : i + size]) for i in range(len(x) - size + 1)} if size else set() for x in (words, item))
             if k is not None and whole and len(own & whole) >= share * len(whole):
                 best = (len(own & whole) / len(whole), len(own & whole), len(whole))
                 out[i, k] = max(out.get((i, k), best), best)
@@ -78,7 +80,7 @@ def brute_contained(docs, items, share=0.8):
 def test_decontamination_matches_brute_force(spark, docs_of, limit):
     rng = random.Random(2)
     words = lambda n: [f"w{rng.randrange(400)}" for _ in range(n)]
-    items = [(k, words(rng.randrange(3, 60))) for k in range(30)]
+    items = [(k, words(rng.randrange(1, 60))) for k in range(30)]
     docs = [(1, None), (2, ""), (None, " ".join(items[3][1]))]
     for k in range(60):
         _, passage = rng.choice(items)
@@ -87,13 +89,14 @@ def test_decontamination_matches_brute_force(spark, docs_of, limit):
             passage[rng.randrange(len(passage))] = "changed"
         docs.append((10 + k, ", ".join(words(rng.randrange(0, 300)) + [w.upper() for w in passage] + words(20))))
     docs += docs[-3:]
-    table = [(k, " ".join(w), "extra") for k, w in items] + [(None, docs[5][1], "extra"), (40, None, "extra"), (3, "one two", "extra")]
+    table = [(k, " ".join(w), "extra") for k, w in items] + [(None, docs[5][1], "extra"), (40, None, "extra"), (41, "?!", "extra"), (3, "one two", "extra"), (42, "w7", "extra"), (43, "Changed W3", "extra")]
+    docs += [(90, "one, TWO"), (91, "two one"), (92, "w7")]
     items_df = spark.createDataFrame(table, "item_id long, text string, doc_id string")
-    got = rows(decontaminate.contained(docs_of(docs), items_df, broadcast_bytes=limit))
+    got = rows(decontaminate.contained(docs_of(docs), items_df, broadcast_words=limit))
     assert got == brute_contained(docs, [(k, t) for k, t, _ in table])
-    assert len(got) > 20
-    assert rows(decontaminate.contained(docs_of([]), items_df, broadcast_bytes=limit)) == []
-    assert rows(decontaminate.contained(docs_of(docs), items_df.limit(0), broadcast_bytes=limit)) == []
+    assert len(got) > 20 and {(90, 3), (92, 42)} <= {r[:2] for r in got} and 91 not in {r[0] for r in got}
+    assert rows(decontaminate.contained(docs_of([]), items_df, broadcast_words=limit)) == []
+    assert rows(decontaminate.contained(docs_of(docs), items_df.limit(0), broadcast_words=limit)) == []
 
 
 def test_sketches_hold_enough(docs_of):
