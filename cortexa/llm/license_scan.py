@@ -25,6 +25,33 @@ class Template(NamedTuple):
     base: bool = False
 
 
+def _optional(*wordings: str) -> str:
+    return "".join(f" <<beginOptional>>{x}<<endOptional>> " for x in wordings)
+
+
+#: What may stand in a notice between the name of a GNU license and its version, and before the version itself.
+_GNU = _optional("(\"GPL\")", "as published by", "the Free Software Foundation;", "either", ",", "v")
+
+
+def _gnu(label: str, name: str, version: str, only: str) -> list[Template]:
+    """Notices of a GNU license: its full name and the version (a version 2 that goes on with .1 is another's), or its short identifiers."""
+    return [
+        Template(label, f"GNU {name} General Public License{_GNU}{_optional('version')} {version}"),
+        *(Template(label, f"SPDX-License-Identifier: {only}{tail}") for tail in ("", "-only", "-or-later", "+")),
+    ]
+
+
+def _creative_commons(label: str, terms: str, short: str) -> list[Template]:
+    """A license by its full name (any version, ported or not), and by its short name."""
+    versions = ("1.0", "2.0", "2.5", "3.0", "4.0")
+    ported = _optional(*versions) + _optional("International", "Unported", "Generic", "Public")
+    return [
+        Template(label, f"Creative Commons {terms}{ported} License"),
+        Template(label, f"{terms} 4.0 International"),
+        *(Template(label, f"{start} {v}") for v in versions for start in (f"Creative Commons {terms}", f"CC {short}", f"creativecommons.org/licenses/{short}")),
+    ]
+
+
 #: The base phrases with their labels, then notices and texts of widespread licenses.
 TEMPLATES = (
     Template("mit", "under the mit license", base=True),
@@ -35,20 +62,36 @@ TEMPLATES = (
     Template("apache-2", "Licensed under the Apache License<<beginOptional>>, Version<<endOptional>> 2.0"),
     Template("apache-2", "SPDX-License-Identifier: Apache-2.0"),
     Template("bsd-3-clause", "Neither the name of <<var;match=\"1-12\">> nor the names of <<beginOptional>>its<<endOptional>> contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    Template("bsd-3-clause", "SPDX-License-Identifier: BSD-3-Clause"),
     Template("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     Template("isc", "Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted"),
-    Template("gpl-2", "GNU General Public License<<beginOptional>> as published by the Free Software Foundation; either<<endOptional>> version 2"),
-    Template("gpl-3", "GNU General Public License<<beginOptional>> as published by the Free Software Foundation; either<<endOptional>> version 3"),
-    Template("lgpl-2.1", "GNU Lesser General Public License<<beginOptional>> as published by the Free Software Foundation; either<<endOptional>> version 2.1"),
-    Template("lgpl-3", "GNU Lesser General Public License<<beginOptional>> as published by the Free Software Foundation; either<<endOptional>> version 3"),
-    Template("agpl-3", "GNU Affero General Public License<<beginOptional>> as published by the Free Software Foundation; either<<endOptional>> version 3"),
+    Template("isc", "SPDX-License-Identifier: ISC"),
+    *_gnu("gpl-2", "", "2", "GPL-2.0"),
+    *_gnu("gpl-3", "", "3", "GPL-3.0"),
+    *_gnu("lgpl-2.1", "Lesser", "2.1", "LGPL-2.1"),
+    *_gnu("lgpl-3", "Lesser", "3", "LGPL-3.0"),
+    *_gnu("agpl-3", "Affero", "3", "AGPL-3.0"),
+    *_gnu("gpl-2", "", "v2", "GPL-2.0")[:1],
+    *_gnu("gpl-3", "", "v3", "GPL-3.0")[:1],
+    *_gnu("lgpl-2.1", "Lesser", "v2.1", "LGPL-2.1")[:1],
+    *_gnu("lgpl-3", "Lesser", "v3", "LGPL-3.0")[:1],
+    *_gnu("agpl-3", "Affero", "v3", "AGPL-3.0")[:1],
     Template("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    Template("epl-2", "under the terms of the Eclipse Public License <<beginOptional>>v<<endOptional>> 2.0"),
-    Template("cc-by", "Creative Commons Attribution <<var;match=\"0-1\">> International License"),
-    Template("cc-by-sa", "Creative Commons Attribution<<beginOptional>>-<<endOptional>>ShareAlike <<var;match=\"0-2\">> International License"),
-    Template("cc-by-nc", "Creative Commons Attribution<<beginOptional>>-<<endOptional>>NonCommercial <<var;match=\"0-2\">> International License"),
+    Template("mpl-2", "Mozilla Public License<<beginOptional>>, Version<<endOptional>> 2.0"),
+    Template("epl-2", "Eclipse Public License<<beginOptional>>, version<<endOptional>><<beginOptional>> v<<endOptional>> 2.0"),
+    Template("epl-2", "SPDX-License-Identifier: EPL-2.0"),
+    *_creative_commons("cc-by", "Attribution", "BY"),
+    *_creative_commons("cc-by-sa", "Attribution-ShareAlike", "BY-SA"),
+    *_creative_commons("cc-by-nd", "Attribution-NoDerivatives", "BY-ND"),
+    *_creative_commons("cc-by-nc", "Attribution-NonCommercial", "BY-NC"),
+    *_creative_commons("cc-by-nc-sa", "Attribution-NonCommercial-ShareAlike", "BY-NC-SA"),
+    *_creative_commons("cc-by-nc-nd", "Attribution-NonCommercial-NoDerivatives", "BY-NC-ND"),
     Template("cc0", "CC0 1.0 Universal"),
+    Template("cc0", "creativecommons.org/publicdomain/zero/1.0"),
     Template("unlicense", "This is free and unencumbered software released into the public domain"),
+    Template("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
+    Template("boost", "Boost Software License<<beginOptional>> - Version<<endOptional>> 1.0"),
+    Template("wtfpl", "Do What The Fuck You Want To Public License"),
     Template("proprietary", "All rights reserved<<var;match=\"0-20\">> without the prior written permission of <<var;match=\"1-8\">>"),
 )
 

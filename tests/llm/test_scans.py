@@ -58,6 +58,80 @@ def test_template_of_ones_own(docs_of):
     assert {r.doc_id: r.labels for r in got.collect()} == {1: "own", 2: "own", 3: ""}
 
 
+#: Notices as projects print them, typed from the licenses and not from the templates, with the labels that they must get.
+NOTICES = [
+    ("mit", """Copyright (c) 2019 Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""),
+    ("mit", "// SPDX-License-Identifier: MIT"),
+    ("apache-2", """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License."""),
+    ("bsd,bsd-3-clause", """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice.
+3. Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission."""),
+    ("isc", """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""),
+    ("gpl-2", """This program is free software; you can redistribute it and/or modify it under the terms of the
+GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version."""),
+    ("gpl-2", "This file may be used under the terms of the GNU General Public License version 2 only."),
+    ("gpl-3", """you can redistribute it and/or modify it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or (at your option) any later version."""),
+    ("gpl-3", "Released under the GNU General Public License v3.0"),
+    ("gpl-3", "SPDX-License-Identifier: GPL-3.0-or-later"),
+    ("gpl-3", "GNU General Public License (GPL) version 3"),
+    ("lgpl-2.1", """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."""),
+    ("lgpl-3", "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("agpl-3", "the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("mpl-2", """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""),
+    ("mpl-2", "Mozilla Public License Version 2.0"),
+    ("epl-2", "which accompanies this distribution, and is made available under the terms of the Eclipse Public License v2.0".replace("v2", "v 2")),
+    ("epl-2", "made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("cc-by", "This work is licensed under CC BY 4.0. To view a copy, visit https://creativecommons.org/licenses/by/4.0/"),
+    ("cc-by", "Creative Commons Attribution 3.0 Unported License"),
+    ("cc-by", "Except where noted, under the Creative Commons Attribution License"),
+    ("cc-by-sa", "Text is available under the Creative Commons Attribution-ShareAlike 4.0 International Public License; additional terms may apply."),
+    ("cc-by-sa", "Creative Commons Attribution ShareAlike International License"),
+    ("cc-by-nd", "Attribution-NoDerivatives 4.0 International"),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
+    ("cc-by-nc-sa", "Attribution-NonCommercial-ShareAlike 4.0 International"),
+    ("cc-by-nc,cc-by-nc-sa", "released under CC BY-NC-SA 4.0"),
+    ("cc-by-nc-nd", "http://creativecommons.org/licenses/by-nc-nd/3.0/"),
+    ("cc0", "CC0 1.0 Universal (CC0 1.0) Public Domain Dedication"),
+    ("cc0", "https://creativecommons.org/publicdomain/zero/1.0/"),
+    ("unlicense", "This is free and unencumbered software released into the public domain."),
+    ("zlib", """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software."""),
+    ("boost", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt)"),
+    ("proprietary", "All rights reserved. No part of this publication may be reproduced without the prior written permission of the publisher."),
+    ("", "The general public was licensed to enter; creative commons are attributed to no one."),
+    ("", "GNU General Public License texts number 7. Version 2 of this page is out."),
+    ("", "Permission is hereby granted to nobody."),
+]
+
+
+def test_real_notices_get_their_labels(docs_of, duck):
+    docs = docs_of([(k, t) for k, (_, t) in enumerate(NOTICES)])
+    got = {r.doc_id: r.labels for r in license_scan.scan(docs).collect()}
+    assert [(got[k], t) for k, (_, t) in enumerate(NOTICES)] == NOTICES
+    assert {t.label for t in license_scan.TEMPLATES} == {x for labels, _ in NOTICES for x in labels.split(",") if x} | {"wtfpl"}
+
+
 def test_license_scan_matches_sql(spark, duck):
     same_rows(queries.QUERIES["op1_license_scan"](spark, DATA), queries.SQL["op1_license_scan"], duck)
 
