@@ -6,14 +6,20 @@ its six-word phrase with the smallest hash, and consecutive windows with one
 anchor make a block (34 words at most). Equal passages are cut alike wherever
 they stand, so a block looks up the one index entry that can match it.
 
-1. Parsing. Every block is looked up among all indexed blocks. One that also
-   occurs in an earlier document is copied whole: all its windows are duplicates.
-2. Factor boundaries. Where blocks share an anchor but differ, a factor ends
-   somewhere inside. The first document with each such block lists its windows
-   one by one, and the windows are looked up in turn.
-3. Windows that lie back to back make factors; words that they cover go.
-
-Blocks are indexed by two independent 64-bit hashes, and so are windows.
+1. Index. Every block is looked up among all blocks, and gets the place of its
+   first copy. Where blocks share an anchor but differ, a match ends somewhere
+   inside: the windows of these blocks are looked up one by one.
+2. Parse. Each document is read from its start. At a place that has a copy, the
+   match is extended word by word for as long as the reference goes on in the
+   same way there; the factor is emitted, and the parse goes on behind it. A
+   place without a copy is one literal word.
+3. Factors of 20 words or more are duplicate spans. Windows across a factor's
+   boundary belong to no factor, so each is checked on its own, and what a copied
+   one covers goes as well.
+
+Words are hashed to 128 bits. Blocks and windows are compared by two 64-bit
+hashes that are made from different halves of these, so they are independent;
+texts themselves are not shuffled for comparison.
 """
 
 from __future__ import annotations
@@ -22,24 +28,43 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import BASE_A, BASE_B, WordHashes, doc_text, mixed, partitions, rolling, signed, starts_of, stored, text_chunks
+from .common import BASE_A, BASE_B, doc_text, mixed, partitions, rolling, signed, starts_of, stored, text_chunks
 
 WINDOW, PHRASE = 20, 6
 
+#: What a factor has.
+FACTOR = ("start", "size", "ref_id", "ref_start")
+
 #: Text bytes of a slice of the table that is deduplicated within its task first.
 SLICE = 4 << 20
 
 
+class WordDigests(dict):
+    """128-bit hashes of words, remembered up to a bound."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= 400_000:
+            self.clear()
+        self[word] = value = xxhash.xxh3_128_digest(word)
+        return value
+
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The two halves of the words' hashes."""
+        both = np.frombuffer(b"".join(map(self.__getitem__, words)), np.uint64).reshape(-1, 2)
+        return both[:, 0].copy(), both[:, 1].copy()
+
+
 class Blocks:
     """The blocks of a chunk of documents; arrays have one entry for each block."""
 
-    def __init__(self, texts: list[bytes], hashes: WordHashes, window: int = WINDOW, phrase: int = PHRASE):
+    def __init__(self, texts: list[bytes], hashes: WordDigests, window: int = WINDOW, phrase: int = PHRASE):
         words = [x.split() for x in texts]
         self.counts = np.array([len(x) for x in words], np.int64)
         self.starts = starts_of(self.counts)
-        values = hashes.of([w for x in words for w in x])
+        values, others = hashes.of([w for x in words for w in x])
         self.windows = np.maximum(self.counts - window + 1, 0)
         of_doc = np.repeat(np.arange(len(words)), self.windows)
         self.at = np.arange(len(of_doc)) - starts_of(self.windows)[of_doc] + self.starts[of_doc]  # each window's first word
@@ -55,7 +80,7 @@ class Blocks:
         self.doc, self.start = of_doc[run], self.at[run] - self.starts[of_doc[run]]
         self.size = np.diff(np.append(run, len(of_doc)))
         self.anchor = phrases[place[run]]
-        self.first, self.second = rolling(values, window, BASE_A)[self.at], mixed(rolling(mixed(values), window, BASE_B))[self.at]
+        self.first, self.second = rolling(values, window, BASE_A)[self.at], mixed(rolling(others, window, BASE_B))[self.at]
         # A block's words are those of its windows: their hashes in turn tell it from others.
         terms = self.second * (2 * np.arange(len(of_doc), dtype=np.uint64) - 2 * np.repeat(run, self.size).astype(np.uint64) + np.uint64(1))
         self.block = mixed(np.add.reduceat(terms, run) ^ mixed(self.size.astype(np.uint64)))
@@ -73,13 +98,15 @@ def _least(values: np.ndarray, size: int) -> np.ndarray:
     return place
 
 
-def _repeats(order: np.ndarray, keys: tuple[np.ndarray, ...], ids: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Of entries in ``order`` (by keys, id, row and start): which have an earlier equal one among these."""
+def _repeats(order: np.ndarray, keys: tuple[np.ndarray, ...], ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of entries in ``order`` (by keys, id, row and start): which have an earlier equal one among these, and its place in the order."""
     if not len(order):
-        return np.zeros(0, bool)
+        return np.zeros(0, bool), np.zeros(0, np.int64)
     head = np.append(True, np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0))
-    first = ids[order][np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
-    return (ids[order] > first) | (~head & np.append(False, rows[order][1:] == rows[order][:-1]))
+    first = np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))
+    later = ids[order] > ids[order][first]
+    own = ~head & np.append(False, rows[order][1:] == rows[order][:-1])
+    return later | own, np.where(later, first, np.maximum(np.arange(len(order)) - 1, 0))
 
 
 def _alone(keys: np.ndarray, again: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -87,27 +114,32 @@ def _alone(keys: np.ndarray, again: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.where(again, mixed(keys + at.astype(np.uint64) * np.uint64(BASE_B)), keys)
 
 
+#: Whether an earlier copy stood in the same slice of the table, and where.
+KNOWN = "again boolean, ref_id long, ref_start int"
+
+
 def _blocks(docs: DataFrame) -> DataFrame:
-    """anchor, block, doc_id, start, size, again (an earlier equal block stood in the same slice of the table)."""
+    """anchor, block, doc_id, start, size of every block, and KNOWN."""
 
     def of(batches):
-        hashes = WordHashes()
+        hashes = WordDigests()
         for batch, texts in text_chunks(batches, limit=SLICE):
             b, ids = Blocks(texts, hashes), batch.column(0).to_numpy()
             own = ids[b.doc]
             order = np.lexsort((b.start, b.doc, own, b.block))
-            again = _repeats(order, (b.block, b.anchor), own, b.doc)
-            out = [signed(_alone(b.anchor[order], again, b.at[b.run][order])), signed(b.block)[order], own[order], b.start[order].astype(np.int32), b.size[order].astype(np.int32), again]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["anchor", "block", "doc_id", "start", "size", "again"])
+            again, ref = _repeats(order, (b.block, b.anchor), own, b.doc)
+            own, start = own[order], b.start[order].astype(np.int32)
+            out = [signed(_alone(b.anchor[order], again, b.at[b.run][order])), signed(b.block)[order], own, start, b.size[order].astype(np.int32), again, own[ref], start[ref]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["anchor", "block", "doc_id", "start", "size", "again", "ref_id", "ref_start"])
 
-    return docs.mapInArrow(of, "anchor long, block long, doc_id long, start int, size int, again boolean")
+    return docs.mapInArrow(of, f"anchor long, block long, doc_id long, start int, size int, {KNOWN}")
 
 
 def _listed(rows: DataFrame) -> DataFrame:
-    """first, second, doc_id, start, again of every window of the blocks that start at ``places``."""
+    """first, second, doc_id, start of every window of the blocks that start at ``places``, and KNOWN."""
 
     def of(batches):
-        hashes = WordHashes()
+        hashes = WordDigests()
         for batch, texts in text_chunks(batches, limit=SLICE):
             b, ids = Blocks(texts, hashes), batch.column(0).to_numpy()
             keys = np.concatenate([b.starts[d] + np.array(x, np.int64) for d, x in enumerate(batch.column(2).to_pylist())])
@@ -115,15 +147,23 @@ def _listed(rows: DataFrame) -> DataFrame:
             doc, at, first, second = np.repeat(b.doc, b.size)[pick], b.at[pick], b.first[pick], b.second[pick]
             own = ids[doc]
             order = np.lexsort((at, doc, own, second))
-            again = _repeats(order, (first, second), own, doc)
-            out = [signed(_alone(first[order], again, at[order])), signed(second)[order], own[order], (at - b.starts[doc])[order].astype(np.int32), again]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["first", "second", "doc_id", "start", "again"])
+            again, ref = _repeats(order, (first, second), own, doc)
+            own, start = own[order], (at - b.starts[doc])[order].astype(np.int32)
+            out = [signed(_alone(first[order], again, at[order])), signed(second)[order], own, start, again, own[ref], start[ref]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["first", "second", "doc_id", "start", "again", "ref_id", "ref_start"])
+
+    return rows.mapInArrow(of, f"first long, second long, doc_id long, start int, {KNOWN}")
+
 
-    return rows.mapInArrow(of, "first long, second long, doc_id long, start int, again boolean")
+def _looked_up(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``copied`` and the place of the copy, from the slice or from the first of all rows with the keys."""
+    best = F.min(F.struct("doc_id", "start")).over(Window.partitionBy(*keys))
+    rows = rows.withColumn("best", best).withColumn("copied", F.expr("again or best.doc_id < doc_id"))
+    return rows.withColumns({"ref_id": F.expr("if(again, ref_id, best.doc_id)"), "ref_start": F.expr("if(again, ref_start, best.start)")}).drop("best")
 
 
 def duplicate_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The documents dealt by id, and doc_id, start, size: runs of ``size`` windows that have an earlier copy.
+    """The documents dealt by id, and doc_id, start, size, ref_id, ref_start: runs of ``size`` windows and where an earlier copy stands.
 
     A slice of the table looks up its own blocks first. What is decided there
     is dealt out evenly, so of a passage that a third of all documents share
@@ -132,52 +172,88 @@ def duplicate_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     n = partitions(docs.sparkSession)
     text = doc_text(docs).where("doc_id is not null")
     dealt = text.repartition(n, "doc_id")
-    anchored, same = Window.partitionBy("anchor"), Window.partitionBy("anchor", "block")
-    rows = _blocks(text).repartition(n, "anchor")
-    rows = rows.withColumn("first_id", F.min("doc_id").over(same))
+    anchored = Window.partitionBy("anchor")
+    rows = _looked_up(_blocks(text).repartition(n, "anchor"), ["anchor", "block"])
     rows = rows.withColumn("differs", F.min("block").over(anchored) < F.max("block").over(anchored))
-    rows = rows.withColumn("copied", F.expr("again or first_id < doc_id"))
-    met = stored(rows.where("copied or differs").select("doc_id", "start", "size", "copied"))
+    met = stored(rows.where("copied or differs").select("doc_id", "start", "size", "copied", "ref_id", "ref_start"))
     places = met.where("not copied").groupBy("doc_id").agg(F.collect_list("start").alias("places"))
-    windows = _listed(dealt.join(places, "doc_id")).repartition(n, "first")
-    windows = windows.withColumn("first_id", F.min("doc_id").over(Window.partitionBy("first", "second")))
-    single = windows.where("again or first_id < doc_id").select("doc_id", "start", F.lit(1).alias("size"))
-    return dealt, met.where("copied").select("doc_id", "start", "size").union(single)
+    windows = _looked_up(_listed(dealt.join(places, "doc_id")).repartition(n, "first"), ["first", "second"])
+    single = windows.where("copied").select("doc_id", "start", F.lit(1).alias("size"), "ref_id", "ref_start")
+    return dealt, met.where("copied").select("doc_id", "start", "size", "ref_id", "ref_start").union(single)
+
+
+def parsed(found: np.ndarray, ref_id: np.ndarray, ref_start: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """First and last window of each factor of a greedy parse, from which windows have a copy and where."""
+    goes_on = found[1:] & found[:-1] & (ref_id[1:] == ref_id[:-1]) & (ref_start[1:] == ref_start[:-1] + 1)
+    ends = np.nonzero(found & ~np.append(goes_on, False))[0]
+    known = np.nonzero(found)[0]
+    first, last, at = [], [], 0
+    while (k := np.searchsorted(known, at)) < len(known):
+        start = int(known[k])
+        end = int(ends[np.searchsorted(ends, start)])
+        first.append(start)
+        last.append(end)
+        at = end + window  # the first word behind the factor
+    return np.array(first, np.int64), np.array(last, np.int64)
+
+
+def removed(n_words: int, found: np.ndarray, first: np.ndarray, last: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Which words the factors cover, or windows with a copy across the factors' boundaries."""
+    change = np.zeros(n_words + 1, np.int64)
+    inside = np.zeros(len(found) + 1, np.int64)
+    np.add.at(inside, first, 1)
+    np.add.at(inside, last + 1, -1)
+    np.add.at(change, first, 1)
+    np.add.at(change, last + window, -1)
+    across = np.nonzero(found & (np.cumsum(inside)[:-1] == 0))[0]
+    np.add.at(change, across, 1)
+    np.add.at(change, across + window, -1)
+    return np.cumsum(change)[:n_words] > 0
 
 
 def substring_dedup(docs: DataFrame, texts: bool = True) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, n_factors, longest_factor and (with ``texts``) kept_text of every row of ``docs``.
-
-    Null and empty texts have no words. A window's earlier copy stands in a
-    document with a smaller id, or earlier in the same row; rows that share an
-    id do not count as earlier than one another, and rows without an id keep
-    all their words. Other columns are ignored; an empty table gives none.
+    """doc_id, n_words, n_removed, kept_sha256, n_factors, longest_factor and (with ``texts``) kept_text and factors of every row of ``docs``.
+
+    ``factors`` has the start and size of each factor in words, and where its
+    copy stands (ref_id, ref_start). Null and empty texts have no words. A
+    window's earlier copy stands in a document with a smaller id, or earlier in
+    the same row; rows that share an id have one text and do not count as
+    earlier than one another, and rows without an id keep all their words.
+    Other columns are ignored; an empty table gives none.
     """
     dealt, spans = duplicate_spans(docs)
-    grouped = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
+    grouped = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "size", "ref_id", "ref_start")).alias("spans"))
 
     def of(batches):
         for batch, held in text_chunks(batches):
-            out = []
-            for text, own in zip(held, batch.column(2).to_pylist(), strict=True):
+            out, lists = [], batch.column(2)
+            many = lists.value_lengths().fill_null(0).to_numpy()
+            flat = lists.flatten()
+            start, size, ref_id, ref_start = (flat.field(x).to_numpy() for x in ("start", "size", "ref_id", "ref_start"))
+            for text, k, stop in zip(held, np.cumsum(many) - many, np.cumsum(many), strict=True):
                 words = text.split()
-                change = np.zeros(len(words) + 1, np.int64)
-                for x in own or ():
-                    change[x["start"]] += 1
-                    change[x["start"] + x["size"] + WINDOW - 1] -= 1
-                gone = np.cumsum(change)[: len(words)] > 0
+                windows = max(0, len(words) - WINDOW + 1)
+                found, ids, places = np.zeros(windows, bool), np.zeros(windows, np.int64), np.zeros(windows, np.int64)
+                steps = np.arange(size[k:stop].sum()) - np.repeat(starts_of(size[k:stop]), size[k:stop])
+                at = np.repeat(start[k:stop], size[k:stop]) + steps
+                found[at], ids[at], places[at] = True, np.repeat(ref_id[k:stop], size[k:stop]), np.repeat(ref_start[k:stop], size[k:stop]) + steps
+                first, last = parsed(found, ids, places)
+                gone = removed(len(words), found, first, last)
                 kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]) if gone.any() else b" ".join(words)
-                edges = np.nonzero(np.diff(np.concatenate(([0], gone, [0]))))[0]
-                sizes = edges[1::2] - edges[::2]
-                out.append((len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), len(sizes), int(sizes.max(initial=0)), kept.decode() if texts else None))
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True))], ["doc_id", "n_words", "n_removed", "kept_sha256", "n_factors", "longest_factor", "kept_text"])
-
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, n_factors long, longest_factor long, kept_text string"
+                sizes = last - first + WINDOW
+                row = (len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), len(sizes), int(sizes.max(initial=0)))
+                if texts:
+                    row += (kept.decode(), [dict(zip(FACTOR, x, strict=True)) for x in zip(first.tolist(), sizes.tolist(), ids[first].tolist(), places[first].tolist(), strict=True)])
+                out.append(row)
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([(x, pa.int64()) for x in FACTOR])))[: 7 if texts else 5]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True))], names)
+
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, n_factors long, longest_factor long"
+    schema += ", kept_text string, factors array<struct<" + ", ".join(f"{x}: long" for x in FACTOR) + ">>" if texts else ""
+    names = [x.split()[0] for x in schema.split(", ")[: 8 if texts else 6]]
     known = dealt.join(grouped, "doc_id", "left").mapInArrow(of, schema)
-    unnamed = doc_text(docs).where("doc_id is null").withColumn("spans", F.lit(None).cast("array<struct<start:int,size:int>>"))
-    out = known.union(unnamed.mapInArrow(of, schema))
-    return out if texts else out.drop("kept_text")
+    unnamed = doc_text(docs).where("doc_id is null").withColumn("spans", F.lit(None).cast("array<struct<start:int,size:int,ref_id:long,ref_start:int>>"))
+    return known.union(unnamed.mapInArrow(of, schema))
 
 
 SQL = r"""

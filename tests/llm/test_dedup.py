@@ -150,8 +150,19 @@ def test_substring_dedup_matches_brute_force(docs_of):
         pairs.append((k, "\n".join(" ".join(p) for p in parts)))
     pairs += [(60, pairs[10][1]), (60, pairs[10][1]), (61, pairs[11][1].upper())]
     rng.shuffle(pairs)
-    got = substring_dedup.substring_dedup(docs_of(pairs)).select("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text")
-    assert rows(got) == brute_substring(pairs)
+    whole = substring_dedup.substring_dedup(docs_of(pairs)).cache()
+    assert rows(whole.select("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text")) == brute_substring(pairs)
+    words = {i: (t or "").split() for i, t in pairs}
+    factors = 0
+    for r in whole.where("doc_id is not null").collect():  # each factor is a copy of what stands where it points, and starts behind the one before
+        end = 0
+        for f in r.factors:
+            assert f.start >= end and f.size >= 20 and (f.ref_id, f.ref_start) < (r.doc_id, f.start)
+            assert words[f.ref_id][f.ref_start : f.ref_start + f.size] == words[r.doc_id][f.start : f.start + f.size]
+            end, factors = f.start + f.size, factors + 1
+        assert r.n_factors == len(r.factors) and r.longest_factor == max((f.size for f in r.factors), default=0)
+    assert factors > 40
+    assert substring_dedup.substring_dedup(docs_of(pairs), texts=False).columns == whole.columns[:6]
     assert rows(substring_dedup.substring_dedup(docs_of([]))) == []
 
 
@@ -159,6 +170,16 @@ def test_substring_dedup_matches_sql(spark, duck):
     same_rows(queries.QUERIES["op7_substring_dedup"](spark, DATA), queries.SQL["op7_substring_dedup"], duck)
 
 
+def test_parse_is_greedy():
+    ref = np.array([7, 8, 9, 0, 4, 5, 30, 31, 32, 33, 0, 0, 60])
+    found = np.array([1, 1, 1, 0, 1, 1, 1, 1, 1, 1, 0, 0, 1], bool)
+    first, last = substring_dedup.parsed(found, np.ones(13, np.int64), ref, window=3)
+    # Windows 0-2 cover words 0-4; window 5 goes on for one word; 8-9 end at word 11; 12 stands alone.
+    assert (first.tolist(), last.tolist()) == ([0, 5, 8, 12], [2, 5, 9, 12])
+    gone = substring_dedup.removed(15, found, first, last, window=3)
+    assert gone.tolist() == [any(found[k] for k in range(max(0, w - 2), min(13, w + 1))) for w in range(15)]
+
+
 def test_rolling_hashes():
     values = np.arange(1, 40, dtype=np.uint64)
     for size in (1, 2, 5, 6, 20):
