@@ -7,8 +7,10 @@ unlabelled text clean is corrected by the positives that it must contain:
     risk = p * R(positives as toxic) + max(0, R(unlabelled as clean) - p * R(positives as clean))
 
 A numpy classifier, linear in the presence of words and word beginnings,
-minimises it. Only a bounded sample of documents is fitted; everything else
-runs over all rows on the executors.
+minimises it. Its terms are those whose share of the positives stands out from
+their share of all training text, which is counted in full. Only the fit is
+over a bounded sample of documents; everything else runs over all rows on the
+executors.
 """
 
 from __future__ import annotations
@@ -24,9 +26,9 @@ from .common import doc_text, plain_words, text_chunks
 
 #: The fit's bounds, in documents: positives, and unlabelled ones.
 POSITIVES, UNLABELLED = 4_000, 12_000
-#: Terms that the classifier may use, the standard errors by which their odds must stand out,
-#: and the prior where no training row is labelled clean.
-TERMS, EVIDENCE, PRIOR = 256, 4.0, 0.1
+#: The standard errors by which the odds of a term must stand out, and the prior where no training row is labelled clean.
+EVIDENCE, PRIOR = 4.0, 0.1
+#: Hashes of terms, and so a bound on their number.
 TABLE = 1 << 24
 FOLDS = 5
 
@@ -66,62 +68,96 @@ def _share(part: int, whole: int):
     return F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30))
 
 
-def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
-    """Fit on at most about ``positives`` and ``unlabelled`` documents of the training fold, drawn by hashes of their ids."""
-    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    marks = marks.where("doc_id is not null and toxic is not null").where(~held_out())
-    marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    toxic, labelled = marks.agg(F.sum(F.expr("int(toxic = 1)")), F.count("*")).first()
-    if not toxic:
-        return Model({}, -20.0)
-    prior = toxic / labelled if toxic < labelled else PRIOR
-    text = doc_text(docs).where(~held_out()).where("doc_id is not null")
-    total = text.select(F.count("*")).first()[0]
-    # The limit bounds the broadcast; the share before it draws about as many.
-    chosen = marks.where("toxic = 1").where(_share(positives, toxic)).select("doc_id").limit(2 * positives)
-    drawn = text.join(F.broadcast(chosen), "doc_id").withColumn("toxic", F.lit(1))
-    drawn = drawn.unionByName(text.where(_share(unlabelled, total)).withColumn("toxic", F.lit(0)))
+def _sets(rows: DataFrame, most: int, known: np.ndarray | None = None) -> list[np.ndarray]:
+    """Sorted terms (all, or the ``known`` ones) of the rows, at most ``most`` of them, the first by a hash of their ids."""
+    shared = None if known is None else rows.sparkSession.sparkContext.broadcast(known)
 
     def of(batches):
         cache = TermCache()
         for batch, texts in text_chunks(batches):
-            found = [np.array(sorted({t for w in set(words_of(x)) for t in cache[w]}), np.int32).tobytes() for x in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary())], ["doc_id", "toxic", "terms"])
+            found = [np.array(sorted({t for w in set(words_of(x)) for t in cache[w]}), np.int32) for x in texts]
+            if shared is not None:
+                found = [np.intersect1d(x, shared.value, assume_unique=True) for x in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in found], pa.binary())], ["doc_id", "terms"])
+
+    found = rows.select("doc_id", "text").mapInArrow(of, "doc_id long, terms binary")
+    found = found.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id", "terms").limit(most)
+    return [np.frombuffer(r["terms"], np.int32) for r in found.collect()]
+
 
-    rows = drawn.mapInArrow(of, "doc_id long, toxic int, terms binary").toArrow()
-    order = np.lexsort((rows["doc_id"].to_numpy(), rows["toxic"].to_numpy()))
-    is_toxic = rows["toxic"].to_numpy()[order] == 1
-    sets = rows["terms"].to_pylist()
-    return fit([np.frombuffer(sets[i], np.int32) for i in order], is_toxic, prior)
+def _counted(rows: DataFrame, names: np.ndarray) -> np.ndarray:
+    """In how many of all rows each of the terms is."""
+    shared = rows.sparkSession.sparkContext.broadcast(names)
+
+    def of(batches):
+        names, places, total = shared.value, {}, np.zeros(len(shared.value), np.int64)
+        for _, texts in text_chunks(batches):
+            for text in texts:
+                found = set()
+                for word in set(words_of(text)):
+                    if (at := places.get(word)) is None:
+                        if len(places) >= 300_000:
+                            places.clear()
+                        own = np.array(terms(word))
+                        at = np.searchsorted(names, own)
+                        at = places[word] = tuple(at[names[np.minimum(at, len(names) - 1)] == own].tolist())
+                    found.update(at)
+                total[list(found)] += 1
+        at = np.nonzero(total)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
+
+    out = np.zeros(len(names), np.int64)
+    for r in rows.select("doc_id", "text").mapInArrow(of, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        out[r["at"]] = r["n"]
+    return out
+
+
+def standing_out(positive: np.ndarray, n_positive: int, every: np.ndarray, n_every: int) -> np.ndarray:
+    """Which terms have odds that differ from those in all text, from the numbers of documents that have them."""
+    p, u = positive + 0.5, every + 0.5
+    odds = np.log(p / (n_positive + 1)) - np.log(u / (n_every + 1))
+    return np.abs(odds) / np.sqrt(1 / p + 1 / u) >= EVIDENCE
 
 
-def fit(sets: list[np.ndarray], positive: np.ndarray, prior: float, steps: int = 250, rate: float = 0.1, decay: float = 3e-4) -> Model:
-    """Minimise the non-negative risk over documents given as sets of terms (full-batch Adam)."""
-    if not positive.any() or positive.all():
+def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
+    """Fit on about ``positives`` and ``unlabelled`` documents of the training fold, at most twice as many, drawn by hashes of their ids.
+
+    The terms, of the positives, are chosen by counts over all training
+    documents. Of several labels of a document the largest holds; rows that
+    repeat an id are documents of their own with one label.
+    """
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    marks = marks.where("doc_id is not null and toxic is not null").where(~held_out())
+    marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    toxic, labelled = marks.agg(F.sum(F.expr("int(toxic = 1)")), F.count("*")).first()
+    text = doc_text(docs).where(~held_out()).where("doc_id is not null")
+    total = text.count()
+    if not toxic or not total:
         return Model({}, -20.0)
-    n_pos, n_unl = int(positive.sum()), int((~positive).sum())
+    prior = toxic / labelled if toxic < labelled else PRIOR
+    # The limit bounds the broadcast; the share before it draws about half as many.
+    chosen = marks.where("toxic = 1").where(_share(positives, toxic)).select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(5))).limit(2 * positives)
+    confirmed = _sets(text.join(F.broadcast(chosen), "doc_id"), 2 * positives)
     # Terms of fewer than two positives cannot stand out; without them the rest is small.
-    names, seen = np.unique(np.concatenate([x for x, y in zip(sets, positive.tolist(), strict=True) if y]), return_counts=True)
-    names = names[seen > 1]
+    names, seen = np.unique(np.concatenate([np.zeros(0, np.int32), *confirmed]), return_counts=True)
+    names, seen = names[seen > 1], seen[seen > 1]
     if not len(names):
         return Model({}, -20.0)
-    flat, doc = [], []
-    for k, x in enumerate(sets):
-        place = np.minimum(np.searchsorted(names, x), len(names) - 1)
-        flat.append(place[names[place] == x].astype(np.int32))
-        doc.append(np.full(len(flat[-1]), k, np.int32))
-    flat, doc = np.concatenate(flat), np.concatenate(doc)
-    p = np.bincount(flat[positive[doc]], minlength=len(names)) + 0.5
-    u = np.bincount(flat[~positive[doc]], minlength=len(names)) + 0.5
-    odds = np.log(p / (n_pos + 1)) - np.log(u / (n_unl + 1))
-    strength = np.abs(odds) / np.sqrt(1 / p + 1 / u)
-    chosen = np.sort(np.argsort(-strength, kind="stable")[: min(TERMS, int((strength >= EVIDENCE).sum()))])
-    place = np.full(len(names), -1)
-    place[chosen] = np.arange(len(chosen))
-    keep = place[flat] >= 0
-    flat, doc = place[flat[keep]], doc[keep]
-    w, b = np.zeros(len(chosen)), 0.0
-    first, second = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
+    names = names[standing_out(seen, len(confirmed), _counted(text, names), total)]
+    drawn = _sets(text.where(_share(unlabelled, total)), 2 * unlabelled, names)
+    sets = [np.intersect1d(x, names, assume_unique=True) for x in confirmed]
+    return fit(names, [*sets, *drawn], np.arange(len(sets) + len(drawn)) < len(sets), prior)
+
+
+def fit(names: np.ndarray, sets: list[np.ndarray], positive: np.ndarray, prior: float, steps: int = 250, rate: float = 0.1, decay: float = 3e-4) -> Model:
+    """Minimise the non-negative risk over documents given as sets of the terms ``names`` (sorted), by full-batch Adam."""
+    if not positive.any() or positive.all() or not len(names):
+        return Model({}, -20.0)
+    n_pos, n_unl = int(positive.sum()), int((~positive).sum())
+    flat = np.searchsorted(names, np.concatenate(sets))
+    doc = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    w, b = np.zeros(len(names)), 0.0
+    first, second = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     pos, unl = positive, ~positive
     for t in range(1, steps + 1):
         g = np.bincount(doc, w[flat], len(sets)) + b
@@ -140,7 +176,7 @@ def fit(sets: list[np.ndarray], positive: np.ndarray, prior: float, steps: int =
         second = 0.999 * second + 0.001 * grad**2
         step = rate * first / (1 - 0.9**t) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
-    return Model(dict(zip(names[chosen].tolist(), w.tolist(), strict=True)), float(b))
+    return Model(dict(zip(names.tolist(), w.tolist(), strict=True)), float(b))
 
 
 def _scores(texts: list[bytes], model: Model, cache: dict) -> np.ndarray:
@@ -172,12 +208,19 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Train on the labelled fold and score every row; a null id is never trained on and counts as not held out."""
+    """doc_id, held_out, score, predicted of every row of ``docs``, by a model of the labelled fold.
+
+    A null id is never trained on and counts as not held out. Null and empty
+    texts score as texts without any known term. Rows that repeat an id or a
+    text are scored each; several labels of a document count as the largest.
+    Without a toxic training row all are called clean. Other columns are
+    ignored; an empty table gives none.
+    """
     return score(docs, train(docs, labels))
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs``, all columns, that the classifier does not call toxic."""
+    """The rows of ``docs``, all columns, that the classifier does not call toxic: null and empty texts and repeated rows too."""
     shared, at = docs.sparkSession.sparkContext.broadcast(tuple(model)), docs.columns.index("text")
 
     def of(batches):

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -217,6 +218,76 @@ def test_toxicity_on_planted_rows(spark, docs_of):
     assert all(r.predicted == (r.score >= 0.5) for r in got.values())
 
 
+def toxicity_by_brute_force(rows, labels):
+    """Scores by strings instead of hashes, document by document and term by term."""
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 0
+    marks = {}
+    for i, toxic in labels:
+        if i is not None and toxic is not None and not held(i):
+            marks[i] = max(toxic, marks.get(i, 0))
+    bag = lambda t: {x for w in re.findall("[a-z0-9\u0080-\U0010ffff]+", (t or "").lower()) for x in ((w,), *([(w.encode()[:5], "start")] if len(w.encode()) > 5 else []))}
+    train = [(i, bag(t)) for i, t in rows if i is not None and not held(i)]
+    pos, every = [b for i, b in train if marks.get(i) == 1], [b for _, b in train]
+    prior = sum(marks.values()) / len(marks)
+    stands = []
+    for x in sorted(set().union(*pos), key=repr):
+        p, u = sum(x in b for b in pos), sum(x in b for b in every)
+        odds = math.log((p + 0.5) / (len(pos) + 1)) - math.log((u + 0.5) / (len(every) + 1))
+        if p > 1 and abs(odds) / math.sqrt(1 / (p + 0.5) + 1 / (u + 0.5)) >= 4:
+            stands.append(x)
+    weight, bias, m, v = dict.fromkeys(stands, 0.0), 0.0, Counter(), Counter()
+    score = lambda b: bias + sum(w for x, w in weight.items() if x in b)
+    sigmoid = lambda z: 1 / (1 + math.exp(-z))
+    for t in range(1, 251):
+        softplus = lambda z: math.log1p(math.exp(z))
+        rest = sum(softplus(score(b)) for b in every) / len(every) - prior * sum(softplus(score(b)) for b in pos) / len(pos)
+        grad = Counter()
+        for group, factor in ((pos, prior / len(pos)), (every, 1 / len(every))):
+            for b in group:
+                s = sigmoid(score(b))
+                if rest >= 0:  # positives as toxic, then the corrected risk of unlabelled text as clean
+                    d = factor * ((s - 1) - s) if group is pos else factor * s
+                else:
+                    d = factor * s if group is pos else -factor * s
+                grad[None] += d
+                for x in b & weight.keys():
+                    grad[x] += d
+        for x in [*stands, None]:
+            g = grad[x] + (3e-4 * prior * weight[x] if x is not None else 0)
+            m[x], v[x] = 0.9 * m[x] + 0.1 * g, 0.999 * v[x] + 0.001 * g * g
+            step = 0.1 * (m[x] / (1 - 0.9**t)) / (math.sqrt(v[x] / (1 - 0.999**t)) + 1e-8)
+            if x is None:
+                bias -= step
+            else:
+                weight[x] -= step
+    return sorted((repr(i), held(i), round(sigmoid(score(bag(t))), 6)) for i, t in rows), len(stands)
+
+
+def test_toxicity_matches_brute_force(spark, docs_of):
+    rng = random.Random(8)
+    rows, labels = [], []
+    for k in range(220):
+        toxic = rng.random() < 0.3
+        words = rng.choices(["plain", "Ordinary", "texts", "ordinariness", "é1"], k=8) + (rng.choices(["scum", "vile", "vileness"], k=4) if toxic and rng.random() < 0.9 else [])
+        rows.append((k, " ".join(words)))
+        if rng.random() < 0.6:
+            labels.append((k, int(toxic)))
+    rows += [(3, "vile scum again"), (3, "vile scum again"), (None, "scum"), (900, None), (901, ""), (902, "scum vile " * 5000)]
+    labels += [(3, 1), (3, 0), (3, 1), (None, 1), (5, None), (7777, 1)]
+    table = spark.createDataFrame(labels, "doc_id long, toxic int")
+    want, terms = toxicity_by_brute_force(rows, labels)
+    got = toxicity.toxicity(docs_of(rows), table).collect()
+    assert terms > 2
+    assert sorted((repr(r.doc_id), r.held_out, round(r.score, 6)) for r in got) == want
+    assert all(r.predicted == int(r.score >= 0.5) for r in got)
+
+
+def test_drawn_rows_have_a_bound(docs_of):
+    docs = docs_of([(k % 7, f"word{k}") for k in range(50)]).select("doc_id", "text")
+    assert len(toxicity._sets(docs, 20)) == 20
+    assert [x.tolist() for x in toxicity._sets(docs.repartition(5), 20)] == [x.tolist() for x in toxicity._sets(docs, 20)]
+
+
 def test_toxicity_without_labels(spark, docs_of):
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r.predicted for r in toxicity.toxicity(docs_of([(1, "a"), (2, None)]), empty).collect()] == [0, 0]
@@ -226,7 +297,7 @@ def test_toxicity_without_labels(spark, docs_of):
 def test_negative_risk_is_corrected():
     rng = np.random.default_rng(0)
     sets = [np.unique(np.append(rng.integers(10, 40, 8), [1] if k < 60 or 60 <= k < 90 else [])).astype(np.int32) for k in range(400)]
-    model = toxicity.fit(sets, np.arange(400) < 60, prior=30 / 340, steps=200)
+    model = toxicity.fit(np.unique(np.concatenate(sets)), sets, np.arange(400) < 60, prior=30 / 340, steps=200)
     assert model.weights[1] > 1 and model.bias < 0
     assert model.bias + model.weights[1] > 0
 
