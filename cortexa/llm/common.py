@@ -9,11 +9,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..sources.shared import checkpoint, shared_folder, stored  # noqa: F401  for the operators
+from ..sources.shared import checkpoint, stored  # noqa: F401  for the operators
 
 #: Text bytes that one step of a Python task holds as words at a time (a longer text goes alone).
 CHUNK_BYTES = 2 << 20
 
+#: Ids up to which the ids of rows to drop are broadcast (some 40 MB in each executor).
+BROADCAST_IDS = 1_000_000
+
 #: Odd multipliers of the two rolling polynomial hashes over word hashes.
 BASE_A = 0x9E3779B97F4A7C15
 BASE_B = 0xC2B2AE3D27D4EB4F
@@ -84,6 +87,17 @@ def doc_text(df: DataFrame, *more: str) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
+def without(docs: DataFrame, gone: DataFrame, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """The rows of ``docs``, all columns, whose doc_id is not among those of ``gone``; rows without one stay.
+
+    Few ids are broadcast, which leaves the texts where they are; more are
+    joined.
+    """
+    gone = stored(gone.select("doc_id").where("doc_id is not null").distinct())
+    gone = F.broadcast(gone) if gone.count() <= broadcast_ids else gone
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -25,10 +25,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.graph import components
-from .common import checkpoint, doc_text, text_chunks
+from .common import checkpoint, doc_text, partitions, text_chunks
 
 SHINGLE, SEED, DISTANCE, BUCKET = 4, 42, 4, 4096
 
+#: Fingerprints that a task files, 65 keys each.
+FILED = 200_000
+
 
 def fingerprint(text: bytes) -> int:
     """64 bits, each 1 if set in over half of the XXH64 values of the text's shingles."""
@@ -134,9 +137,13 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, bucket: int = BUC
     Columns besides doc_id and text are ignored; an empty table gives none.
     """
     marked = checkpoint(fingerprints(docs))
-    fps = checkpoint(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    found = components(links(fps.select("fp"), distance, bucket))
-    rooted = fps.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("component", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = rooted.join(named, "root").select("fp", "component_id")
+    # By number of rows: in bytes they are few, but each makes 65 keys.
+    parts = max(partitions(docs.sparkSession), -(-marked.count() // FILED))
+    fps = checkpoint(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")).repartition(parts, "fp"))
+    found = components(links(fps.select("fp"), distance, bucket)).withColumnRenamed("node", "fp")
+    rooted = fps.join(found, "fp", "left")
+    linked_fps, single = rooted.where("component is not null"), rooted.where("component is null")
+    # From a checkpoint, so that adaptive execution can split the join where a component holds a third of all.
+    named = checkpoint(linked_fps.groupBy("component").agg(F.min("first_id").alias("component_id")))
+    classes = linked_fps.join(named, "component").select("fp", "component_id").union(single.select("fp", "first_id"))
     return marked.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

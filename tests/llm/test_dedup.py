@@ -31,6 +31,19 @@ def test_exact_dedup_odd_rows(docs_of):
     assert rows(exact_dedup.exact_dedup(docs_of([]))) == []
 
 
+@pytest.mark.parametrize("salts", [1, 3])
+def test_salts_do_not_matter(docs_of, salts):
+    assert rows(exact_dedup.exact_dedup(docs_of(ODD), salts)) == brute_exact(ODD)
+
+
+@pytest.mark.parametrize("limit", [0, 100])
+def test_rows_without_what_is_gone(docs_of, limit):
+    docs = docs_of(ODD)
+    kept = common.without(docs, docs.select("doc_id").where("doc_id in (4, 7) or doc_id is null"), limit)
+    assert kept.columns == docs.columns
+    assert rows(kept.select("doc_id", "text")) == sorted((x for x in ODD if x[0] not in (4, 7)), key=repr)
+
+
 def test_exact_dedup_compares_contents_under_equal_digests(docs_of, monkeypatch):
     from pyspark.sql import functions as F
 
