@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cortexa.llm import common, decontaminate, exact_dedup as exact, packing, simhash, toxicity
+from cortexa.sources import shared
 
 
 def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,27 +21,24 @@ def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on what came in, does not call toxic."""
+    """Documents that the classifier, trained on what came in, does not call toxic; null and empty texts and repeated rows are judged like any other."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.keep_clean(docs, toxicity.train(docs, labels))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts, the one with the smallest doc_id."""
-    gone = exact.exact_dedup(docs).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return common.without(docs, exact.exact_dedup(docs).where(~F.col("kept")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that SimHash links, the one with the smallest doc_id."""
-    gone = simhash.near_duplicates(docs).where("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return common.without(docs, simhash.near_duplicates(docs).where("doc_id <> component_id"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
-    gone = decontaminate.contained(docs, _benchmark(spark, sf_dir)).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return common.without(docs, decontaminate.contained(docs, _benchmark(spark, sf_dir)))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,10 +59,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage keeps is written in the shared folder and read again."""
-    docs = common.documents(spark, sf_dir)
-    folder = f"{common.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    """All stages over ``documents``.
+
+    What a stage keeps is written in the shared folder, read by the next one
+    and deleted after that; the result goes with the session.
+    """
+    docs, path = common.documents(spark, sf_dir), None
+    folder = f"{shared.scratch_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(path := f"{folder}/{k}-{name}")
+        before, path = path, f"{folder}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            shared.discard(spark, before)
     return docs

@@ -21,6 +21,28 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _path(spark: SparkSession, path: str):
+    """A Hadoop path and its file system, which may be any that Spark reads."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing reads any more."""
+    place, files = _path(spark, path)
+    files.delete(place, True)
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A folder for this session's tables below the shared one, which is deleted when the session's JVM ends."""
+    folder = f"{shared_folder(spark)}/cortexa-{spark.sparkContext.applicationId}"
+    place, files = _path(spark, folder)
+    if not files.exists(place):
+        files.mkdirs(place)
+        files.deleteOnExit(place)
+    return folder
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint."""
     shared_folder(df.sparkSession)
@@ -28,7 +50,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """The same rows from a Parquet table, which is more compact than a checkpoint."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    """The same rows from a Parquet table, which is more compact than a checkpoint and goes with the session."""
+    path = f"{scratch_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
