@@ -15,6 +15,7 @@ executors.
 
 from __future__ import annotations
 
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -90,19 +91,13 @@ def _counted(rows: DataFrame, names: np.ndarray) -> np.ndarray:
     shared = rows.sparkSession.sparkContext.broadcast(names)
 
     def of(batches):
-        names, places, total = shared.value, {}, np.zeros(len(shared.value), np.int64)
+        names, cache = shared.value, TermCache()
+        total = np.zeros(len(names), np.int64)
         for _, texts in text_chunks(batches):
-            for text in texts:
-                found = set()
-                for word in set(words_of(text)):
-                    if (at := places.get(word)) is None:
-                        if len(places) >= 300_000:
-                            places.clear()
-                        own = np.array(terms(word))
-                        at = np.searchsorted(names, own)
-                        at = places[word] = tuple(at[names[np.minimum(at, len(names) - 1)] == own].tolist())
-                    found.update(at)
-                total[list(found)] += 1
+            found = [{t for w in set(words_of(x)) for t in cache[w]} for x in texts]
+            flat = np.fromiter(chain.from_iterable(found), np.int32, sum(map(len, found)))
+            at = np.minimum(np.searchsorted(names, flat), len(names) - 1)
+            total += np.bincount(at[names[at] == flat], minlength=len(names))
         at = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
 
