@@ -109,8 +109,3 @@ def drop_largest(df: DataFrame, keys: list[str], value: str, tie: str) -> DataFr
     gone = top.select(*keys, (-F.col("__top.__t")).alias(tie))
     return df.join(gone, [*keys, tie], "left_anti")
 
-
-def top_labels(df: DataFrame, keys: list[str], k: int, value: str, tie: str) -> DataFrame:
-    """The k rows of each key with the largest values."""
-    order = Window.partitionBy(*keys).orderBy(F.col(value).desc(), tie)
-    return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

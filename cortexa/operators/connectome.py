@@ -191,9 +191,15 @@ def top_rows(edges: DataFrame, k: int, *keys: str) -> DataFrame:
     return both_ways(edges, *keys).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def degree_centrality(edges: DataFrame, k: int, *keys: str) -> DataFrame:
-    """How often a node is among the k strongest neighbours of others."""
-    return top_rows(edges, k, *keys).groupBy(*keys, F.col("j").alias("node")).agg(F.count("*").alias("degree"))
+def degree_centrality(edges: DataFrame, k: int | None = None, *keys: str, share: float | None = None) -> DataFrame:
+    """How often a node is among the k strongest neighbours of others, or among a share of all that each has."""
+    if share is None:
+        top = top_rows(edges, k, *keys)
+    else:
+        w = Window.partitionBy(*keys, "i")
+        rows = both_ways(edges, *keys).withColumn("rank", F.row_number().over(w.orderBy(F.col("w").desc(), "j"))).withColumn("n", F.count("*").over(w))
+        top = rows.where(F.col("rank") <= share * F.col("n"))
+    return top.groupBy(*keys, F.col("j").alias("node")).agg(F.count("*").alias("degree"))
 
 
 def seed_pattern(edges: DataFrame, seeds: DataFrame, node: str = "node") -> DataFrame:
@@ -223,6 +229,11 @@ def extremes(edges: DataFrame, value: str) -> DataFrame:
     return s.select(F.inline(F.array(F.struct(F.lit("min").alias("which"), F.col("low.i").alias("i"), F.col("low.j").alias("j"), F.col("low.v").alias("value")), F.struct(F.lit("max").alias("which"), F.col("high.i").alias("i"), F.col("high.j").alias("j"), (-F.col("high.v")).alias("value")))))
 
 
+def resampled(values: DataFrame, vertices: DataFrame, value: str = "value") -> DataFrame:
+    """node, value on the vertices of another surface, from a table (target, node) of where each takes its value; null where there is none."""
+    return vertices.join(values.select("node", value), "node", "left").select(F.col("target").alias("node"), value)
+
+
 def parcel_series(series: DataFrame, parcels: DataFrame, keys: list[str], node: str = "node", t: str = "t", value: str = "value", parcel: str = "parcel") -> DataFrame:
     """Mean series of each parcel's nodes."""
     return series.join(parcels.select(node, parcel), node).groupBy(*keys, parcel, t).agg(F.avg(value).alias(value))

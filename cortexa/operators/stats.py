@@ -32,6 +32,11 @@ def t_test(df: DataFrame, keys: list[str], group: str, value: str, a, b, pooled:
     return out.withColumn("p", t_pvalue(F.col("t"), F.col("df"))) if p else out
 
 
+def masked(df: DataFrame, value: str, alpha: float, p: str = "p") -> DataFrame:
+    """``<value>_masked``: the statistic where its p is below ``alpha``, 0 elsewhere."""
+    return df.withColumn(f"{value}_masked", F.when(F.coalesce(F.col(p) < alpha, F.lit(False)), F.col(value)).otherwise(0.0))
+
+
 def average_rank(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """``rank_avg``: rank of the value within its keys, ties sharing their mean rank; rows with a null have none and go."""
     known = df.where(F.col(value).isNotNull())

@@ -34,12 +34,6 @@ def sum_below(df: DataFrame, keys: list[str], order: str, value: str, name: str)
     return rows.withColumn(name, own).join(F.broadcast(carry), "__part").withColumn(name, F.col(name) + F.col("__carry")).drop("__part", "__carry")
 
 
-def lagged(df: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
-    """``<column>_lag``: the value one frame before, 0 for the first."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    return df.withColumns({f"{c}_lag": F.lag(c, 1, 0.0).over(w) for c in columns})
-
-
 def trial_counter(df: DataFrame, keys: list[str], order: list[str], starts: Column) -> DataFrame:
     """``trial_nr``: trials begun so far, carried on over the runs of a subject."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

@@ -65,7 +65,7 @@ def participation_by_network(spark, d):
 
 
 def degree_top_k(spark, d):
-    return cm.degree_centrality(_edges(spark, d), 10)
+    return cm.degree_centrality(_edges(spark, d), share=SHARE)
 
 
 def seed_pattern(spark, d):
@@ -81,7 +81,7 @@ def submatrix_reordered(spark, d):
 
 def structural_matrix(spark, d):
     """Quantities between suppliers and parts, as a matrix made symmetric and scaled."""
-    rows = read(spark, d, "lineitem").groupBy(F.pmod("l_partkey", F.lit(100)).alias("i"), F.pmod("l_suppkey", F.lit(100)).alias("j")).agg(F.sum("l_quantity").alias("w"))
+    rows = read(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("i"), F.col("l_suppkey").alias("j")).agg(F.sum("l_quantity").alias("w"))
     return rounded(cm.structural(rows, 0.25))
 
 
@@ -345,10 +345,10 @@ SQL = {name: f"WITH {'RECURSIVE ' if 'UNION SELECT' in body else ''}{CTE.strip()
     "node_strength": "SELECT i AS node, round(sum(w), 6) + 0.0 AS strength FROM c2 GROUP BY i",
     "participation_coefficient": f", {_PART} SELECT node, label, round(coalesce(p, 0), 6) + 0.0 AS participation FROM gd LEFT JOIN pc USING (node)",
     "participation_by_network": f", {_PART} SELECT label, round(avg(coalesce(p, 0)), 6) + 0.0 AS participation FROM gd LEFT JOIN pc USING (node) GROUP BY label",
-    "degree_top_k": ", r AS (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY w DESC, j) AS k FROM c2) SELECT j AS node, count(*) AS degree FROM r WHERE k <= 10 GROUP BY j",
+    "degree_top_k": ", r AS (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY w DESC, j) AS k, count(*) OVER (PARTITION BY i) AS n FROM c2) SELECT j AS node, count(*) AS degree FROM r WHERE k <= 0.1 * n GROUP BY j",
     "seed_pattern": "SELECT j AS node, round(avg(w), 6) + 0.0 AS mean_w FROM c2 JOIN gd ON gd.node = c2.i WHERE label = 3 GROUP BY j",
     "submatrix_reordered": "SELECT CAST(a.label * 1000000 + i AS BIGINT) AS i, CAST(b.label * 1000000 + j AS BIGINT) AS j, round(w, 6) + 0.0 AS w FROM ce JOIN gd a ON a.node = i JOIN gd b ON b.node = j WHERE a.label IN (1, 2, 3) AND b.label IN (1, 2, 3)",
-    "structural_matrix": ", m AS (SELECT l_partkey % 100 AS i, l_suppkey % 100 AS j, sum(l_quantity) AS w FROM lineitem GROUP BY ALL) SELECT least(i, j) AS i, greatest(i, j) AS j, round(sum(CASE WHEN i = j THEN 2 * w ELSE w END) * 0.25, 6) + 0.0 AS w FROM m GROUP BY ALL",
+    "structural_matrix": ", m AS (SELECT l_partkey AS i, l_suppkey AS j, sum(l_quantity) AS w FROM lineitem GROUP BY ALL) SELECT least(i, j) AS i, greatest(i, j) AS j, round(sum(CASE WHEN i = j THEN 2 * w ELSE w END) * 0.25, 6) + 0.0 AS w FROM m GROUP BY ALL",
     "matrix_correlation": f", {_OTHER} SELECT 'all' AS part, count(*) AS n, round(corr(x, y), 6) + 0.0 AS r FROM ot UNION ALL SELECT 'abs', count(*), round(corr(abs(x), abs(y)), 6) + 0.0 FROM ot UNION ALL SELECT 'positive', count(*), round(corr(greatest(x, 0), greatest(y, 0)), 6) + 0.0 FROM ot",
     "node_mean_statistic": "SELECT i AS node, round(avg(CASE WHEN abs(w) > 0.05 THEN w END), 6) + 0.0 AS mean FROM c2 GROUP BY i",
     "extreme_edges": "SELECT * FROM (SELECT 'min' AS which, i, j, round(w, 6) + 0.0 AS value FROM ce ORDER BY w, i, j LIMIT 1) UNION ALL SELECT * FROM (SELECT 'max', i, j, round(w, 6) + 0.0 FROM ce ORDER BY w DESC, i, j LIMIT 1)",

@@ -97,11 +97,11 @@ def missing_outputs(spark, d):
 
 
 def upsert_metrics(spark, d):
-    """Metrics of single days, updated by later ones."""
+    """Metrics of single days, the first three weeks' updated by later ones."""
     rows = events(spark, d).groupBy("subject", "day").agg(F.count("*").alias("n_events"))
     keyed = rows.withColumn("week", F.floor((F.col("day") - 1) / 7).cast("int"))
-    old = keyed.where("day % 2 = 0").groupBy("subject", "week").agg(F.sum("n_events").alias("n_events"))
-    new = keyed.where("day % 3 = 0").groupBy("subject", "week").agg(F.max("n_events").alias("n_events"))
+    old = keyed.where("day <= 20").groupBy("subject", "week").agg(F.sum("n_events").alias("n_events"))
+    new = keyed.where("day > 17").groupBy("subject", "week").agg(F.max("n_events").alias("n_events"))
     return files.upserted(old, new, ["subject", "week"])
 
 
@@ -288,7 +288,7 @@ SQL = {name: f"WITH {CTE.strip()}\n{body}" for name, body in {
       LEFT JOIN (SELECT * FROM orders JOIN customer ON c_custkey = o_custkey) o ON o.c_mktsegment = s.c_mktsegment AND o.o_orderpriority = p.o_orderpriority GROUP BY ALL""",
     "missing_outputs": "SELECT DISTINCT subject, day FROM ev e WHERE NOT EXISTS (SELECT 1 FROM ev f WHERE f.subject = e.subject AND f.day = e.day AND f.label = 'purchase')",
     "upsert_metrics": """, r AS (SELECT subject, day, CAST((day - 1) // 7 AS INTEGER) AS week, count(*) AS n FROM ev GROUP BY ALL),
-      o AS (SELECT subject, week, sum(n) AS n FROM r WHERE day % 2 = 0 GROUP BY ALL), w AS (SELECT subject, week, max(n) AS n FROM r WHERE day % 3 = 0 GROUP BY ALL)
+      o AS (SELECT subject, week, sum(n) AS n FROM r WHERE day <= 20 GROUP BY ALL), w AS (SELECT subject, week, max(n) AS n FROM r WHERE day > 17 GROUP BY ALL)
       SELECT subject, week, CAST(coalesce(w.n, o.n) AS BIGINT) AS n_events FROM o FULL JOIN w USING (subject, week)""",
     "set_operations": """, a AS (SELECT subject FROM ev WHERE label = 'click' AND value > 40), b AS (SELECT subject FROM ev WHERE label = 'error' AND value > 40)
       SELECT part, count(*) AS n, min(subject) AS first_subject FROM (SELECT 'both' AS part, * FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'only_click', * FROM (SELECT * FROM a EXCEPT SELECT * FROM b)
@@ -337,4 +337,3 @@ SQL = {name: f"WITH {CTE.strip()}\n{body}" for name, body in {
       CASE label WHEN 'click' THEN 'n1_' ELSE 'n2_' END || CAST(k AS INTEGER) AS by_number FROM t WHERE trial <> 0 AND label IN ('click', 'view')""",
     "snr": "SELECT subject, round(avg(value), 6) + 0.0 AS mean, round(stddev_pop(value), 6) + 0.0 AS sd, round(avg(value) / nullif(stddev_pop(value), 0), 6) + 0.0 AS snr, round(stddev_pop(value) / nullif(abs(avg(value)), 0), 6) + 0.0 AS cov FROM ev GROUP BY subject",
 }.items()}
-SQL = {k: v.replace("c2 AS (SELECT i, j, w FROM ce UNION ALL SELECT j, i, w FROM ce)\n,", "c2 AS (SELECT i, j, w FROM ce UNION ALL SELECT j, i, w FROM ce),") for k, v in SQL.items()}

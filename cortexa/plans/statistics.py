@@ -137,7 +137,7 @@ def shepherd_pi(spark, d):
     """Robust correlation of order totals and balances of customers."""
     totals = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.avg("o_totalprice").alias("total"))
     rows = totals.join(read(spark, d, "customer").select("c_custkey", "c_acctbal"), "c_custkey")
-    return rounded(stats.shepherd_pi(rows, "total", "c_acctbal", "c_custkey", draws=50))
+    return rounded(stats.shepherd_pi(rows, "total", "c_acctbal", "c_custkey"))
 
 
 QUERIES = {f.__name__: f for f in (

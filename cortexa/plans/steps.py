@@ -7,6 +7,8 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.shared import present
+
 
 class Step(NamedTuple):
     name: str
@@ -15,12 +17,8 @@ class Step(NamedTuple):
 
 
 def _done(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except Exception as e:  # not there, or without the files of a finished write
-        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-            return None
-        raise
+    """The output of a step that ended well, which Spark's writers mark."""
+    return spark.read.parquet(path) if present(spark, f"{path}/_SUCCESS") else None
 
 
 def run_steps(spark: SparkSession, folder: str, steps: list[Step], again: bool = False) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .shared import stored
+from .shared import discard, move, present
 
 
 def read_table(spark: SparkSession, path: str, schema: str, sep: str = ",", missing: str = "n/a") -> DataFrame:
@@ -46,8 +46,8 @@ def read_spaced(spark: SparkSession, path: str, skip: int, columns: dict[str, tu
     return rows.select("path", "line", *(F.get("v", F.lit(k)).cast(kind).alias(name) for name, (k, kind) in columns.items()))
 
 
-def read_arrays(spark: SparkSession, path: str) -> DataFrame:
-    """path, name, shape, values (flat, row by row) of .npy and .npz files."""
+def arrays(files: DataFrame) -> DataFrame:
+    """path, name, shape, values (flat, row by row) of .npy and .npz files in a table (path, content)."""
 
     def of(frames):
         for frame in frames:
@@ -58,8 +58,12 @@ def read_arrays(spark: SparkSession, path: str) -> DataFrame:
                 out += [(name, k, list(v.shape), v.astype(float).ravel()) for k, v in arrays.items() if v.dtype.kind in "biuf"]
             yield pd.DataFrame(out, columns=["path", "name", "shape", "values"])
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(of, "path string, name string, shape array<int>, values array<double>")
+    return files.select("path", "content").mapInPandas(of, "path string, name string, shape array<int>, values array<double>")
+
+
+def read_arrays(spark: SparkSession, path: str) -> DataFrame:
+    """The arrays of .npy and .npz files below a path."""
+    return arrays(spark.read.format("binaryFile").load(path))
 
 
 def matrix_rows(arrays: DataFrame) -> DataFrame:
@@ -136,7 +140,16 @@ def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def upsert(spark: SparkSession, path: str, new: DataFrame, keys: list[str]) -> None:
-    """Upsert into a Parquet table that this reads, too; the merged rows are complete before the table is replaced."""
+    """Upsert into a Parquet table that this reads, too.
+
+    The merged rows are complete in a folder beside the table, ``<path>.new``,
+    before the table is replaced by it. A run that ends in between leaves that
+    folder, from which the next one goes on.
+    """
+    beside = f"{path}.new"
+    if present(spark, f"{beside}/_SUCCESS"):
+        discard(spark, path)
+        move(spark, beside, path)
     try:
         old = spark.read.parquet(path)
     except Exception as e:  # the first rows make the table
@@ -144,7 +157,9 @@ def upsert(spark: SparkSession, path: str, new: DataFrame, keys: list[str]) -> N
             raise
         new.write.parquet(path)
         return
-    stored(upserted(old, new, keys)).write.mode("overwrite").parquet(path)
+    upserted(old, new, keys).write.mode("overwrite").parquet(beside)
+    discard(spark, path)
+    move(spark, beside, path)
 
 
 def append(new: DataFrame, path: str) -> None:

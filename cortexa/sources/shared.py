@@ -33,6 +33,17 @@ def discard(spark: SparkSession, path: str) -> None:
     files.delete(place, True)
 
 
+def present(spark: SparkSession, path: str) -> bool:
+    place, files = _path(spark, path)
+    return files.exists(place)
+
+
+def move(spark: SparkSession, path: str, target: str) -> None:
+    place, files = _path(spark, path)
+    if not files.rename(place, _path(spark, target)[0]):
+        raise OSError(f"{path} cannot be moved to {target}")
+
+
 def scratch_folder(spark: SparkSession) -> str:
     """A folder for this session's tables below the shared one, which is deleted when the session's JVM ends."""
     folder = f"{shared_folder(spark)}/cortexa-{spark.sparkContext.applicationId}"
