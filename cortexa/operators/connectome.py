@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.scalar import distance, finite_or_zero, to_z
+from ..sources.shared import stored
 
 #: Nodes of a block of the correlation kernel: two blocks of a thousand series and their product fit in a few MB.
 BLOCK = 1024
@@ -33,17 +34,18 @@ def varying(series: DataFrame, x: str = "x", least: float = 1e-6) -> DataFrame:
     return series.where(F.sqrt(F.greatest(F.lit(0.0), total(F.transform(xs, lambda v: v * v)) / F.size(xs) - mean * mean)) > least)
 
 
-def correlation_edges(series: DataFrame, keys: list[str] = (), node: str = "node", x: str = "x", above: float | None = None, coords: list[str] = (), hemi: str | None = None, local_mm: float = 0.0, block: int = BLOCK) -> DataFrame:
+def correlation_edges(series: DataFrame, keys: list[str] = (), node: str = "node", x: str = "x", above: float | None = None, coords: list[str] = (), hemi: str | None = None, local_mm: float = 0.0, block: int = BLOCK, nodes: int | None = None) -> DataFrame:
     """keys, i, j, w for i < j: correlations of all pairs of nodes, or those above a bound.
 
     Nodes are dealt into blocks of about ``block``, and each pair of blocks is
     one product of matrices in one task, which passes on only the edges asked
     for. With ``coords`` and ``local_mm``, pairs nearer than that within a
-    hemisphere (both cortical: hemi 0 or 1) are left out.
+    hemisphere (both cortical: hemi 0 or 1) are left out. The number of nodes
+    is counted unless it is given.
     """
     rows = standardised(series, node, x)
     extra = [*coords, *([hemi] if hemi else [])]
-    blocks = max(1, -(-rows.select(F.countDistinct(node)).first()[0] // block))
+    blocks = max(1, -(-(series.select(F.countDistinct(node)).first()[0] if nodes is None else nodes) // block))
     own = F.pmod(F.xxhash64(node), F.lit(blocks)).cast("int")
     rows = rows.select(*keys, F.col(node).cast("long").alias("node"), x, *extra, own.alias("own"))
     pairs = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -94,11 +96,32 @@ def fisher(edges: DataFrame, kind: str = "atanh") -> DataFrame:
     return edges.withColumn("w", finite_or_zero(to_z(F.col("w"), kind)))
 
 
+#: Steps of the quantile sketch that brackets an exact limit.
+ACCURACY = 10_000
+
+
+def exact_quantile(rows: DataFrame, share: float, keys: list[str], value: str = "w") -> DataFrame:
+    """keys, __limit: the interpolated quantile of a stored table's values, without all of them in one place.
+
+    A mergeable sketch gives a bracket around it, and only the values inside
+    (about a two-thousandth of all) are put in order.
+    """
+    near = [max(0.0, share - 2.5 / ACCURACY), min(1.0, share + 2.5 / ACCURACY)]
+    bracket = rows.groupBy(*keys).agg(F.count("*").alias("__n"), F.percentile_approx(value, near, ACCURACY).alias("__b"))
+    inside = rows.join(F.broadcast(bracket), keys) if keys else rows.crossJoin(F.broadcast(bracket))
+    w, low, high = F.col(value), F.col("__b")[0], F.col("__b")[1]
+    found = inside.groupBy(*keys).agg(F.max("__n").alias("__n"), F.count_if(w < low).alias("__below"), F.array_sort(F.collect_list(F.when((w >= low) & (w <= high), w))).alias("__v"))
+    at = (F.col("__n") - 1) * F.lit(share) - F.col("__below")
+    one = lambda k: F.get("__v", F.greatest(F.lit(0), F.least(F.size("__v") - 1, k.cast("int"))))
+    first, second = one(F.floor(at)), one(F.ceil(at))
+    return found.select(*keys, (first + (second - first) * (at - F.floor(at))).alias("__limit"))
+
+
 def proportional_threshold(edges: DataFrame, share: float, *keys: str) -> DataFrame:
     """Edges among the ``share`` largest of the positive ones (of each key); equal to the limit is kept."""
-    positive = edges.where("w > 0")
-    limit = positive.groupBy(*keys).agg(F.percentile("w", 1 - share).alias("__limit"))
-    joined = positive.join(limit, list(keys)) if keys else positive.crossJoin(F.broadcast(limit))
+    positive = stored(edges.where("w > 0"))
+    limit = exact_quantile(positive, 1 - share, list(keys))
+    joined = positive.join(F.broadcast(limit), list(keys)) if keys else positive.crossJoin(F.broadcast(limit))
     return joined.where("w >= __limit").drop("__limit")
 
 
@@ -107,10 +130,10 @@ def density_threshold(edges: DataFrame, density: float, n_nodes: int, accuracy:
 
     The limit is exact, or with ``accuracy`` from a mergeable quantile sketch.
     """
+    edges = stored(edges)
     pairs = n_nodes * (n_nodes - 1) / 2
-    listed = edges.count()
-    share = 1 - min(1.0, density * pairs / max(1, listed))
-    limit = edges.agg((F.percentile("w", share) if accuracy is None else F.percentile_approx("w", share, accuracy)).alias("__limit"))
+    share = 1 - min(1.0, density * pairs / max(1, edges.count()))
+    limit = exact_quantile(edges, share, []) if accuracy is None else edges.agg(F.percentile_approx("w", share, accuracy).alias("__limit"))
     return edges.crossJoin(F.broadcast(limit)).where("w > __limit").drop("__limit")
 
 
@@ -216,6 +239,14 @@ def matrix_correlation(a: DataFrame, b: DataFrame, part: str = "all", mask: Data
     return both.agg(F.count("*").alias("n"), F.corr("x", "y").alias("r"))
 
 
+def matrix_correlations(a: DataFrame, b: DataFrame, parts: tuple[str, ...]) -> DataFrame:
+    """part, n, r of several parts of two graphs' weights, from one join."""
+    kinds = {"all": lambda x: x, "abs": F.abs, "positive": lambda x: F.greatest(x, F.lit(0.0))}
+    both = a.select("i", "j", F.col("w").alias("x")).join(b.select("i", "j", F.col("w").alias("y")), ["i", "j"])
+    cells = [F.struct(F.lit(p).alias("part"), F.count("*").alias("n"), F.corr(kinds[p](F.col("x")), kinds[p](F.col("y"))).alias("r")) for p in parts]
+    return both.agg(F.array(*cells).alias("c")).select(F.inline("c"))
+
+
 def node_means(edges: DataFrame, value: str) -> DataFrame:
     """Mean of an edge statistic over each node's edges, nulls left out."""
     return both_ways(edges.select("i", "j", F.col(value).alias("w"))).groupBy(F.col("i").alias("node")).agg(F.avg("w").alias("mean"))

@@ -10,7 +10,7 @@ from ..functions import scalar
 from ..operators import connectome as cm, gradients as grad, stats, timeseries as ts
 from ..sources import files
 from ..sources.shared import scratch_folder
-from .tables import CTE, events, read, rounded, series
+from .tables import CTE, events, p_of_t, read, rounded, series
 
 
 def _place(spark) -> str:
@@ -150,11 +150,6 @@ _COSINE = """, r AS (SELECT i, j, w, percent_rank() OVER (PARTITION BY i ORDER B
   s AS (SELECT k.i, k.j, w / n AS w FROM k JOIN u USING (i)), q AS (SELECT a.i, b.i AS j, least(1.0, sum(a.w * b.w)) AS w FROM s a JOIN s b ON a.j = b.j AND a.i < b.i GROUP BY ALL)"""
 
 
-def p_of_t(t: str, df: str) -> str:
-    """SQL of the two-sided p of Student's t, by Simpson's rule."""
-    return f"greatest(0.0, 1 - 2 * exp(lgamma(({df} + 1) / 2) - lgamma({df} / 2)) / sqrt(pi() * {df}) * abs({t}) / 6000 * list_sum(list_transform(range(2001), lambda s: (CASE WHEN s IN (0, 2000) THEN 1 WHEN s % 2 = 1 THEN 4 ELSE 2 END) * pow(1 + pow(abs({t}) * s / 2000, 2) / {df}, -({df} + 1) / 2))))"
-
-
 SQL = {name: f"WITH {CTE.strip()}{body if body.startswith(',') else ' ' + body}" for name, body in {
     "csv_table": "SELECT c_custkey, c_nationkey, round(CASE WHEN c_acctbal > 0 THEN c_acctbal END, 6) + 0.0 AS balance FROM customer",
     "tsv_columns": "SELECT s_suppkey, s_nationkey FROM supplier",

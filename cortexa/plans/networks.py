@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators import aggregates as agg, connectome as cm, gradients as grad, graph, labels as lab, timeseries as ts
 from .tables import CTE, events, gradients, module, read, rounded, series
@@ -74,9 +74,9 @@ def seed_pattern(spark, d):
 
 def submatrix_reordered(spark, d):
     """The graph within three labels, its nodes renumbered by label."""
-    nodes = series(spark, d).where("label in (1, 2, 3)").select("node")
+    nodes = series(spark, d).where("label in (1, 2, 3)")
     order = series(spark, d).select(F.col("node").alias("old"), (F.col("label") * 1_000_000 + F.col("node")).cast("long").alias("new"))
-    return rounded(cm.permuted(cm.submatrix(_edges(spark, d), nodes), order).select("i", "j", "w"))
+    return rounded(cm.permuted(cm.submatrix(cm.correlation_edges(nodes), nodes.select("node")), order).select("i", "j", "w"))
 
 
 def structural_matrix(spark, d):
@@ -90,8 +90,7 @@ def matrix_correlation(spark, d):
     g = gradients(spark, d)
     a, b = g.select(F.col("node").alias("i"), F.col("g1").alias("x")), g.select(F.col("node").alias("j"), F.col("g1").alias("y"))
     other = _edges(spark, d).select("i", "j").join(a, "i").join(b, "j").select("i", "j", (F.col("x") * F.col("y")).alias("w"))
-    parts = [cm.matrix_correlation(_edges(spark, d), other, p).withColumn("part", F.lit(p)) for p in ("all", "abs", "positive")]
-    return rounded(parts[0].union(parts[1]).union(parts[2]))
+    return rounded(cm.matrix_correlations(_edges(spark, d), other, ("all", "abs", "positive")))
 
 
 def node_mean_statistic(spark, d):
@@ -118,7 +117,7 @@ def connected_components(spark, d):
 
 
 def _strong(spark, d):
-    return _edges(spark, d).where("w > 0.4").select("i", "j", "w")
+    return cm.correlation_edges(series(spark, d), above=0.4)
 
 
 def largest_component(spark, d):
@@ -191,7 +190,7 @@ def patch_centroids(spark, d):
 def knee_of_sizes(spark, d):
     """Knee of each segment's curve of cumulated balances."""
     rows = read(spark, d, "orders").groupBy("o_orderpriority", F.month("o_orderdate").alias("month")).agg(F.count("*").alias("n"))
-    curve = rows.join(rows.select("o_orderpriority", F.col("month").alias("m"), F.col("n").alias("k")), "o_orderpriority").where("m <= month").groupBy("o_orderpriority", "month").agg(F.sum("k").cast("double").alias("total"))
+    curve = rows.withColumn("total", F.sum("n").over(Window.partitionBy("o_orderpriority").orderBy("month")).cast("double")).drop("n")
     return rounded(graph.knee(curve.withColumn("month", F.col("month").cast("double")), ["o_orderpriority"], "month", "total"))
 
 
@@ -288,7 +287,7 @@ def excluded_neighbours(spark, d):
 def mesh_geodesics(spark, d):
     """Shortest paths on the mesh from one side."""
     edges = graph.mesh_edges(_mesh(spark, d)).select("i", "j", (1 + F.pmod(F.col("i") + F.col("j"), F.lit(3)) / 10).alias("w"))
-    return rounded(graph.geodesics(edges, _vertices(spark, d).where("x = 0").select("node"), 6.0))
+    return rounded(graph.geodesics(edges, _vertices(spark, d).where("x = 0").select("node"), 6.05))
 
 
 def noisy_nodes(spark, d):
@@ -330,7 +329,14 @@ _ETA = """tr AS (SELECT vec_id AS node, unnest(range(64)) AS target, unnest(CAST
       et AS (SELECT node, template, 1 - within / (squares - 2 * n * grand * grand) AS eta2 FROM te)"""
 _OTHER = "ot AS (SELECT i, j, w AS x, a.g1 * b.g1 AS y FROM ce JOIN gd a ON a.node = i JOIN gd b ON b.node = j)"
 
-SQL = {name: f"WITH {'RECURSIVE ' if 'UNION SELECT' in body else ''}{CTE.strip()}{body if body.startswith(',') else ' ' + body}" for name, body in {
+_PT = f"""{_ME}, en AS (SELECT i, j FROM me UNION ALL SELECT j, i FROM me), lb AS (SELECT p_partkey AS node, p_size % 3 AS label FROM part),
+      ld AS (SELECT i, j FROM en JOIN lb a ON a.node = i JOIN lb b ON b.node = j WHERE a.label = b.label AND a.label > 0),
+      r AS (SELECT node, node AS root FROM lb WHERE label > 0 UNION SELECT ld.j, r.root FROM r JOIN ld ON ld.i = r.node), pt AS (SELECT node, min(root) AS patch FROM r GROUP BY node)"""
+_AREA = f"""vx AS (SELECT p_partkey AS node, CAST(p_partkey % {ROW} AS DOUBLE) AS x, CAST(p_partkey // {ROW} AS DOUBLE) AS y, p_size / 10 AS z FROM part),
+      tg AS (SELECT a, b, c, p.x - o.x AS ux, p.y - o.y AS uy, p.z - o.z AS uz, q.x - o.x AS vx, q.y - o.y AS vy, q.z - o.z AS vz FROM fc JOIN vx o ON o.node = a JOIN vx p ON p.node = b JOIN vx q ON q.node = c),
+      ar AS (SELECT unnest([a, b, c]) AS node, sqrt(pow(uy * vz - uz * vy, 2) + pow(uz * vx - ux * vz, 2) + pow(ux * vy - uy * vx, 2)) / 2 / 3 AS third FROM tg), av AS (SELECT node, sum(third) AS area FROM ar GROUP BY node)"""
+
+SQL = {name: f"WITH RECURSIVE {CTE.strip()}{body if body.startswith(',') else ' ' + body}" for name, body in {
     "excluded_neighbours": f", {_TH} SELECT i, j, round(w, 6) + 0.0 AS w FROM th JOIN gd a ON a.node = i JOIN gd b ON b.node = j WHERE NOT (a.hemi = b.hemi AND sqrt(pow(a.g1 - b.g1, 2) + pow(a.g2 - b.g2, 2) + pow(a.g3 - b.g3, 2)) < 0.1)",
     "noisy_nodes": """, u AS (SELECT vec_id AS node, unnest(CAST(embedding AS DOUBLE[])) + 1 AS v FROM embeddings), m AS (SELECT node, stddev_pop(v) / abs(avg(v)) AS cov FROM u GROUP BY node),
       p AS (SELECT a.node AS i, b.node AS j FROM gd a JOIN gd b ON a.node = b.node OR sqrt(pow(a.g1 - b.g1, 2) + pow(a.g2 - b.g2, 2) + pow(a.g3 - b.g3, 2)) < 0.1),
@@ -357,9 +363,25 @@ SQL = {name: f"WITH {'RECURSIVE ' if 'UNION SELECT' in body else ''}{CTE.strip()
     "connected_components": ", s AS (SELECT i, j FROM c2 WHERE w > 0.4), r AS (SELECT node, node AS root FROM gd UNION SELECT s.j, r.root FROM r JOIN s ON s.i = r.node) SELECT node, min(root) AS component FROM r GROUP BY node",
     "largest_component": ", s AS (SELECT i, j FROM c2 WHERE w > 0.4), r AS (SELECT node, node AS root FROM gd UNION SELECT s.j, r.root FROM r JOIN s ON s.i = r.node), c AS (SELECT node, min(root) AS component FROM r GROUP BY node) SELECT node FROM c WHERE component = (SELECT component FROM c GROUP BY component ORDER BY count(*) DESC, component LIMIT 1)",
     "mesh_edges": f", {_ME} SELECT i, j FROM me",
-    "vertex_areas": f""", {_MS}, vx AS (SELECT p_partkey AS node, CAST(p_partkey % {ROW} AS DOUBLE) AS x, CAST(p_partkey // {ROW} AS DOUBLE) AS y, p_size / 10 AS z FROM part),
-      tr AS (SELECT a, b, c, p.x - o.x AS ux, p.y - o.y AS uy, p.z - o.z AS uz, q.x - o.x AS vx, q.y - o.y AS vy, q.z - o.z AS vz FROM fc JOIN vx o ON o.node = a JOIN vx p ON p.node = b JOIN vx q ON q.node = c),
-      ar AS (SELECT unnest([a, b, c]) AS node, sqrt(pow(uy * vz - uz * vy, 2) + pow(uz * vx - ux * vz, 2) + pow(ux * vy - uy * vx, 2)) / 2 / 3 AS third FROM tr) SELECT node, round(sum(third), 6) + 0.0 AS area FROM ar GROUP BY node""",
+    "vertex_areas": f", {_MS}, {_AREA} SELECT node, round(area, 6) + 0.0 AS area FROM av",
+    "label_patches": f", {_PT} SELECT node, label, patch, count(*) OVER (PARTITION BY patch) AS n_nodes FROM pt JOIN lb USING (node)",
+    "small_patches_dropped": f", {_PT}, {_AREA}, ps AS (SELECT patch FROM pt JOIN av USING (node) GROUP BY patch HAVING sum(area) < 30) SELECT lb.node, CASE WHEN ps.patch IS NOT NULL THEN -1 ELSE label END AS label FROM lb LEFT JOIN pt USING (node) LEFT JOIN ps USING (patch)",
+    "small_patches_merged": f""", {_PT}, np AS (SELECT patch, count(*) AS n FROM pt GROUP BY patch),
+      bo AS (SELECT p.patch, l.label, count(DISTINCT j) AS n FROM en JOIN pt p ON p.node = i JOIN np ON np.patch = p.patch AND np.n < 5 JOIN pt q ON q.node = j JOIN lb l ON l.node = j WHERE q.patch <> p.patch GROUP BY ALL),
+      bs AS (SELECT patch, label AS new_label, row_number() OVER (PARTITION BY patch ORDER BY n DESC, label) AS k FROM bo)
+      SELECT lb.node, coalesce(new_label, label) AS label FROM lb LEFT JOIN pt USING (node) LEFT JOIN (SELECT * FROM bs WHERE k = 1) b USING (patch)""",
+    "mesh_geodesics": f""", {_ME}, ge AS (SELECT i, j, 10 + (i + j) % 3 AS w FROM me UNION ALL SELECT j, i, 10 + (i + j) % 3 FROM me),
+      g AS (SELECT p_partkey AS source, p_partkey AS node, CAST(0 AS BIGINT) AS d FROM part WHERE p_partkey % {ROW} = 0 UNION SELECT source, j, d + w FROM g JOIN ge ON i = node WHERE d + w <= 60) SELECT source, node, round(min(d) / 10, 6) + 0.0 AS distance FROM g GROUP BY ALL""",
+    "knee_of_sizes": """, c AS (SELECT o_orderpriority, month(o_orderdate) AS m, count(*) AS n FROM orders GROUP BY ALL), t AS (SELECT o_orderpriority, CAST(m AS DOUBLE) AS month, CAST(sum(n) OVER (PARTITION BY o_orderpriority ORDER BY m) AS DOUBLE) AS total FROM c),
+      s AS (SELECT *, (month - min(month) OVER p) / nullif(max(month) OVER p - min(month) OVER p, 0) AS x, (total - min(total) OVER p) / nullif(max(total) OVER p - min(total) OVER p, 0) AS y FROM t WINDOW p AS (PARTITION BY o_orderpriority))
+      SELECT o_orderpriority, month, total, round(abs(y - x), 6) + 0.0 AS gap FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY abs(y - x) DESC, month) AS k FROM s) WHERE k = 1""",
+    "greedy_assignment": f""", {_JC}, g AS (SELECT 0 AS network, CAST([] AS BIGINT[]) AS taken, CAST(NULL AS STRUCT(j DOUBLE, m BIGINT)) AS b
+        UNION ALL SELECT network + 1, CASE WHEN b IS NULL THEN taken ELSE list_append(taken, b.m) END, (SELECT min({{'j': -jaccard, 'm': CAST(module AS BIGINT)}}) FROM jj WHERE jj.network = h.network + 1 AND jaccard > 0.02 AND NOT list_contains(CASE WHEN h.b IS NULL THEN h.taken ELSE list_append(h.taken, h.b.m) END, module)) FROM g h WHERE network < 9)
+      SELECT b.m AS module, CAST(network AS BIGINT) AS network, round(-b.j, 6) + 0.0 AS jaccard FROM g WHERE b IS NOT NULL""",
+    "template_second_pass": f""", {_ETA}, w1 AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY eta2 DESC, template) AS k FROM et WHERE template NOT IN (4, 6)),
+      u AS (SELECT node, template, sum(pow(a - (a + b) / 2, 2) + pow(b - (a + b) / 2, 2)) AS within, avg((a + b) / 2) AS grand, sum(a * a + b * b) AS squares, count(*) AS n FROM tr JOIN tt USING (target) WHERE b > 0 AND template IN (1, 2) GROUP BY ALL),
+      w2 AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY eta2 DESC, template) AS k FROM (SELECT node, template, 1 - within / (squares - 2 * n * grand * grand) AS eta2 FROM u))
+      SELECT node, template, round(eta2, 6) + 0.0 AS eta2 FROM w1 WHERE k = 1 AND template NOT IN (1, 2) UNION ALL SELECT node, template, round(eta2, 6) + 0.0 FROM w2 WHERE k = 1 AND node IN (SELECT node FROM w1 WHERE k = 1 AND template IN (1, 2))""",
     "border_nodes": f", {_ME}, cl AS (SELECT p_partkey AS node FROM part WHERE p_size < 5), en AS (SELECT i, j FROM me UNION ALL SELECT j, i FROM me) SELECT DISTINCT j AS node FROM en WHERE i IN (SELECT node FROM cl) AND j NOT IN (SELECT node FROM cl)",
     "nearest_centroid": ", c AS (SELECT hemi, label, avg(g1) AS c1, avg(g2) AS c2, avg(g3) AS c3 FROM gd GROUP BY ALL), p AS (SELECT node, gd.hemi, c.label, sqrt(pow(g1 - c1, 2) + pow(g2 - c.c2, 2) + pow(g3 - c3, 2)) AS d FROM gd JOIN c ON c.hemi = gd.hemi), q AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY d, label) AS k FROM p) SELECT hemi, node, label, round(d, 6) + 0.0 AS distance FROM q WHERE k = 1",
     "patch_centroids": "SELECT label, round(avg(g1), 6) + 0.0 AS x, round(avg(g2), 6) + 0.0 AS y, round(avg(g3), 6) + 0.0 AS z FROM gd GROUP BY label",

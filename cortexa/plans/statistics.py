@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import distributions
 from ..operators import aggregates as agg, stats
-from .tables import CTE, events, gradients, groups, read, rounded
+from .tables import CTE, events, gradients, groups, p_of_t, read, rounded
 
 A, B = "BUILDING", "MACHINERY"
 
@@ -78,7 +78,8 @@ def regression_residuals(spark, d):
 
 def ols_covariates(spark, d):
     """Price on quantity, discount and tax."""
-    return rounded(stats.ols(read(spark, d, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"]))
+    out = stats.ols(read(spark, d, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"])
+    return out.select("term", *(F.round(c, 3).alias(c) for c in ("coef", "se", "t")), "df", F.round("p", 6).alias("p"))
 
 
 def ols_single(spark, d):
@@ -163,7 +164,25 @@ def _dispersion(axes: list[str], mid: str, value: str) -> str:
 
 _CENTRES = "SELECT hemi, label, median(g1) AS g1, median(g2) AS g2 FROM gd GROUP BY ALL"
 
-SQL = {name: f"WITH {CTE.strip()}{body if body.startswith(',') else ' ' + body}" for name, body in {
+SQL = {name: f"WITH RECURSIVE {CTE.strip()}{body if body.startswith(',') else ' ' + body}" for name, body in {
+    "group_compare_corrected": f""", s AS (SELECT subject, label, sum(value) AS size FROM ev GROUP BY ALL), m AS (SELECT label, {_sides('grp', 'size', A, B)} FROM s JOIN gr USING (subject) WHERE grp IN ('{A}', '{B}') GROUP BY label),
+      t AS (SELECT label, (m_a - m_b) / sqrt(v_a / n_a + v_b / n_b) AS t, pow(v_a / n_a + v_b / n_b, 2) / (pow(v_a / n_a, 2) / (n_a - 1) + pow(v_b / n_b, 2) / (n_b - 1)) AS df FROM m),
+      p AS (SELECT label, t, df, {p_of_t('t', 'df')} AS p FROM t), r AS (SELECT *, row_number() OVER (ORDER BY p, label) AS r, count(*) OVER () AS n FROM p)
+      SELECT label, round(t, 6) + 0.0 AS t, round(df, 6) + 0.0 AS df, round(p, 6) + 0.0 AS p, round(least(1.0, p * n), 6) + 0.0 AS p_bonferroni, round(least(1.0, min(p * n / r) OVER (ORDER BY r DESC ROWS UNBOUNDED PRECEDING)), 6) + 0.0 AS p_fdr FROM r""",
+    "quantile_grid": """, s AS (SELECT label, avg(CASE WHEN k > 50 THEN 1.0 WHEN k <= 50 THEN 0.0 END) AS a, avg(CASE WHEN k > 80 THEN 1.0 WHEN k <= 80 THEN 0.0 END) AS b FROM ev GROUP BY label),
+      q AS (SELECT label, 'a' AS which, CAST(a AS DOUBLE) AS p, CAST(0 AS DOUBLE) AS x, 0 AS step FROM s UNION ALL SELECT label, 'b', b, 0.0, 0 FROM s),
+      w AS (SELECT * FROM q UNION ALL SELECT label, which, p, x - (0.5 + x / 3000 / sqrt(2 * pi()) * list_sum(list_transform(range(1001), lambda i: (CASE WHEN i IN (0, 1000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-pow(x * i / 1000, 2) / 2))) - p) * sqrt(2 * pi()) * exp(x * x / 2), step + 1 FROM w WHERE step < 40),
+      e AS (SELECT label, max(x) FILTER (which = 'a') AS a, max(x) FILTER (which = 'b') AS b FROM w WHERE step = 40 GROUP BY label) SELECT label, round(a, 6) + 0.0 AS at_50, round(b, 6) + 0.0 AS at_80, round((b - a) / 30, 6) + 0.0 AS slope FROM e""",
+    "ols_covariates": f""", m AS (SELECT avg(l_extendedprice) AS y, avg(l_quantity) AS a, avg(l_discount) AS b, avg(l_tax) AS c, CAST(count(*) AS DOUBLE) AS n FROM lineitem),
+      d AS (SELECT l_extendedprice - m.y AS y, l_quantity - m.a AS a, l_discount - m.b AS b, l_tax - m.c AS c FROM lineitem, m),
+      s AS (SELECT sum(a * a) AS aa, sum(a * b) AS ab, sum(a * c) AS ac, sum(b * b) AS bb, sum(b * c) AS bc, sum(c * c) AS cc, sum(a * y) AS ay, sum(b * y) AS yb, sum(c * y) AS cy, sum(y * y) AS yy FROM d),
+      i AS (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM s),
+      j AS (SELECT (bb * cc - bc * bc) / det AS iaa, (ac * bc - ab * cc) / det AS iab, (ab * bc - ac * bb) / det AS iac, (aa * cc - ac * ac) / det AS ibb, (ab * ac - aa * bc) / det AS ibc, (aa * bb - ab * ab) / det AS icc, * FROM i),
+      k AS (SELECT iaa * ay + iab * yb + iac * cy AS ka, iab * ay + ibb * yb + ibc * cy AS kb, iac * ay + ibc * yb + icc * cy AS kc, * FROM j),
+      v AS (SELECT k.*, m.*, (yy - ka * ay - kb * yb - kc * cy) / (n - 4) AS s2 FROM k, m),
+      o AS (SELECT 'intercept' AS term, y - ka * a - kb * b - kc * c AS coef, sqrt(s2 * (1 / n + a * a * iaa + b * b * ibb + c * c * icc + 2 * (a * b * iab + a * c * iac + b * c * ibc))) AS se, n - 4 AS df FROM v
+        UNION ALL SELECT 'l_quantity', ka, sqrt(s2 * iaa), n - 4 FROM v UNION ALL SELECT 'l_discount', kb, sqrt(s2 * ibb), n - 4 FROM v UNION ALL SELECT 'l_tax', kc, sqrt(s2 * icc), n - 4 FROM v)
+      SELECT term, round(coef, 3) AS coef, round(se, 3) AS se, round(coef / se, 3) AS t, df, CASE WHEN abs(coef / se) > 30 THEN 0.0 ELSE round({p_of_t('coef / se', 'df')}, 6) END AS p FROM o""",
     "group_compare_network_size": f", s AS (SELECT subject, label, sum(value) AS size FROM ev GROUP BY ALL), m AS (SELECT label, {_sides('grp', 'size', A, B)} FROM s JOIN gr USING (subject) WHERE grp IN ('{A}', '{B}') GROUP BY label) SELECT label, n_a, n_b, round(m_a, 6) + 0.0 AS mean_a, round(m_b, 6) + 0.0 AS mean_b, {_WELCH} FROM m",
     "pooled_t_by_label": f", m AS (SELECT label, {_sides('grp', 'value', A, B)} FROM ev JOIN gr USING (subject) WHERE grp IN ('{A}', '{B}') GROUP BY label) SELECT label, n_a, n_b, {_POOLED} FROM m",
     "welch_mass_univariate": f", m AS (SELECT l_partkey, {_sides('l_returnflag', 'l_quantity', 'A', 'N')} FROM lineitem WHERE l_returnflag IN ('A', 'N') GROUP BY l_partkey) SELECT l_partkey, n_a, n_b, CASE WHEN n_a > 1 AND n_b > 1 THEN t END AS t, CASE WHEN n_a > 1 AND n_b > 1 THEN df END AS df FROM (SELECT l_partkey, n_a, n_b, {_WELCH} FROM m)",
