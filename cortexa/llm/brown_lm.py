@@ -201,8 +201,12 @@ def neighbour_counts(docs: DataFrame, words: dict[bytes, int], found: np.ndarray
 
         def passed():
             keys, n = merged()
-            column = pa.array(list(names), pa.binary()).take(pa.array(keys // (2 * k + 1)))
-            out = pa.RecordBatch.from_arrays([column, pa.array((keys % (2 * k + 1)).astype(np.int32)), pa.array(n)], ["word", "key", "n"])
+            word = keys // (2 * k + 1)
+            first = np.nonzero(np.append(-1, word[:-1]) != word)[0] if len(word) else word
+            ends = pa.array(np.append(first, len(keys)).astype(np.int32))
+            column = pa.array(list(names), pa.binary()).take(pa.array(word[first]))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in ((keys % (2 * k + 1)).astype(np.int16), n.astype(np.int32))]
+            out = pa.RecordBatch.from_arrays([column, *lists], ["word", "keys", "counts"])
             names.clear()
             held.clear()
             counts.clear()
@@ -228,7 +232,9 @@ def neighbour_counts(docs: DataFrame, words: dict[bytes, int], found: np.ndarray
         if held:
             yield passed()
 
-    rows = doc_text(docs).mapInArrow(of, "word binary, key int, n long").repartition("word")
+    # A row for each word of a task goes through the shuffle; its counts are apart only behind it.
+    rows = doc_text(docs).mapInArrow(of, "word binary, keys array<short>, counts array<int>").repartition("word")
+    rows = rows.select("word", F.inline(F.arrays_zip("keys", "counts"))).select("word", F.col("keys").cast("int").alias("key"), F.col("counts").alias("n"))
     return rows.groupBy("word", "key").agg(F.sum("n").alias("n")).groupBy("word").agg(F.collect_list(F.struct("key", "n")).alias("near"))
 
 
