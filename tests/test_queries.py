@@ -15,7 +15,7 @@ def test_query_matches_sql(name, spark, duck):
 def test_query_runs(name, spark):
     df = registry.QUERIES[name](spark, DATA)
     assert df.columns
-    assert df.count() >= 0
+    assert df.count() > 0
 
 
 def test_entry(spark):
