@@ -17,6 +17,7 @@ training text has the class of its shape.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -34,8 +35,8 @@ SWEEPS = 10
 #: Added to each count of a class after another.
 SMOOTH = 0.1
 
-#: Counts that a task holds before it passes them on.
-HELD = 500_000
+#: Counts that a task holds before it passes them on, and items of lists that one step of it works on.
+HELD, STEP = 500_000, 400_000
 
 SHAPES = 24
 
@@ -43,7 +44,7 @@ SHAPES = 24
 def shape(word: bytes) -> int:
     """Group of a rarer word: by its length, its last character, and whether it has digits or characters above ASCII."""
     size = 0 if len(word) <= 6 else 1 if len(word) <= 12 else 2
-    return ((size * 2 + any(48 <= c <= 57 for c in word)) * 2 + (not word.isascii())) * 2 + (word[-1] < 48 or 58 <= word[-1] <= 64)
+    return ((size * 2 + (len(word.translate(None, b"0123456789")) < len(word))) * 2 + (not word.isascii())) * 2 + (word[-1] < 48 or 58 <= word[-1] <= 64)
 
 
 def held_out():
@@ -104,6 +105,43 @@ class Items(dict):
         return item
 
 
+class Numbers(dict):
+    """Numbers of words: the given ones, then those in ``names`` as they come; ``kinds`` has a kind for each, shapes for new ones."""
+
+    def __init__(self, words: dict[bytes, int], kinds: np.ndarray, shapes: np.ndarray):
+        super().__init__(words)
+        self.names: list[bytes] = []
+        self.kinds, self.shapes, self.own = kinds, shapes, len(words)
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        self.names.append(word)
+        return n
+
+    def line(self, texts: list[bytes], ends: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the words of all texts, with -1 before the first and behind each if ``ends``; and the texts' numbers of words."""
+        line, size = [-1] if ends else [], []
+        for text in texts:
+            before = len(line)
+            line += map(self.__getitem__, words_of(text))
+            size.append(len(line) - before)
+            if ends:
+                line.append(-1)
+        new = self.names[len(self.kinds) - self.own :]
+        self.kinds = np.append(self.kinds, self.shapes[np.fromiter(map(shape, new), np.int64, len(new))])
+        return np.array(line, np.int64), np.array(size, np.int64)
+
+
+def list_slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose lists in ``column`` have at most ``STEP`` items (a longer list goes alone)."""
+    ends = np.append(0, np.cumsum(batch.column(column).value_lengths().fill_null(0).to_numpy().astype(np.int64) + 1))
+    start = 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + STEP, "right")) - 1)
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def bigrams(docs: DataFrame, words: dict[bytes, int]) -> np.ndarray:
     """Counts of item after item over all texts; each text starts and ends with the last item."""
     size = len(words) + SHAPES + 1
@@ -117,8 +155,7 @@ def bigrams(docs: DataFrame, words: dict[bytes, int]) -> np.ndarray:
                 line += map(items.__getitem__, words_of(text))
                 line.append(size - 1)
             line = np.array(line, np.int64)
-            pair, n = np.unique(line[:-1] * size + line[1:], return_counts=True)
-            total[pair] += n
+            total += np.bincount(line[:-1] * size + line[1:], minlength=size * size)
         pair = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(total[pair])], ["pair", "n"])
 
@@ -188,46 +225,45 @@ def neighbour_counts(docs: DataFrame, words: dict[bytes, int], found: np.ndarray
 
     def of(batches):
         own, classes = shared.value
-        items = Items(own)
-        names: dict[bytes, int] = {}
+        end = int(classes[-1])
+        kinds, shapes = classes[: len(own)], classes[len(own) : len(own) + SHAPES]
+        numbers = Numbers(own, kinds, shapes)
         held: list[np.ndarray] = []
         counts: list[np.ndarray] = []
 
         def merged():
-            keys, back = np.unique(np.concatenate(held), return_inverse=True)
-            n = np.bincount(back, np.concatenate(counts)).astype(np.int64)
-            held[:], counts[:] = [keys], [n]
-            return keys, n
+            keys = np.concatenate(held)
+            order = np.argsort(keys)
+            keys = keys[order]
+            first = np.nonzero(np.append(True, keys[1:] != keys[:-1]))[0] if len(keys) else order
+            held[:] = [keys[first]]
+            counts[:] = [np.add.reduceat(np.concatenate(counts)[order], first) if len(keys) else order]
+            return held[0], counts[0]
 
         def passed():
+            nonlocal numbers
             keys, n = merged()
             word = keys // (2 * k + 1)
             first = np.nonzero(np.append(-1, word[:-1]) != word)[0] if len(word) else word
             ends = pa.array(np.append(first, len(keys)).astype(np.int32))
-            column = pa.array(list(names), pa.binary()).take(pa.array(word[first]))
+            column = pa.array(numbers.names, pa.binary()).take(pa.array(word[first]))
             lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in ((keys % (2 * k + 1)).astype(np.int16), n.astype(np.int32))]
             out = pa.RecordBatch.from_arrays([column, *lists], ["word", "keys", "counts"])
-            names.clear()
+            numbers = Numbers(own, kinds, shapes)
             held.clear()
             counts.clear()
             return out
 
         for _, texts in text_chunks(batches):
-            line, ids = [len(classes) - 1], [-1]
-            for text in texts:
-                for w in words_of(text):
-                    line.append(items[w])
-                    ids.append(-1 if w in own else names.setdefault(w, len(names)))
-                line.append(len(classes) - 1)
-                ids.append(-1)
-            kinds, ids = classes[np.array(line, np.int64)], np.array(ids, np.int64)
+            line, _ = numbers.line(texts, ends=True)
+            near, ids = np.append(numbers.kinds, end)[line], np.where(line < len(own), -1, line - len(own))
             same = (ids[:-1] == ids[1:]) & (ids[1:] >= 0)
             before, after = ids[:-1] >= 0, (ids[1:] >= 0) & ~same
-            keys = np.concatenate([ids[:-1][before] * (2 * k + 1) + np.where(same, 2 * k, kinds[1:])[before], ids[1:][after] * (2 * k + 1) + k + kinds[:-1][after]])
+            keys = np.concatenate([ids[:-1][before] * (2 * k + 1) + np.where(same, 2 * k, near[1:])[before], ids[1:][after] * (2 * k + 1) + k + near[:-1][after]])
             keys, n = np.unique(keys, return_counts=True)
             held.append(keys)
-            counts.append(n)
-            if sum(map(len, held)) > 4 * HELD and len(merged()[0]) > 2 * HELD:
+            counts.append(n.astype(np.int32))
+            if len(numbers.names) > HELD or sum(map(len, held)) > 4 * HELD and len(merged()[0]) > 2 * HELD:
                 yield passed()
         if held:
             yield passed()
@@ -282,7 +318,7 @@ def classed_words(docs: DataFrame, clustered: int, classes: int) -> tuple[DataFr
     table, shapes = member.T @ pairs @ member, found[len(own) : len(own) + SHAPES]
 
     def of(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in list_slices(whole, 1)):
             near = batch.column(1)
             word = np.repeat(np.arange(len(near)), near.value_lengths().to_numpy())
             key, n = (near.flatten().field(x).to_numpy() for x in ("key", "n"))
@@ -307,23 +343,28 @@ def kinds_of(docs: DataFrame, classed: DataFrame, shapes: np.ndarray, classes: i
 
     def of(batches):
         words, log_counts, known = shared.value
-        items, own = Items(words), len(words)
+        own = len(words)
+        numbers = Numbers(words, known[:own], known[own:])
         for batch, texts in text_chunks(batches):
-            split = [words_of(x) for x in texts]
-            flat = [w for x in split for w in x]
-            ends = np.append(0, np.cumsum([len(x) for x in split]))
-            line = np.fromiter(map(items.__getitem__, flat), np.int64, len(flat))
+            if len(numbers.names) > HELD // 2:
+                numbers = Numbers(words, known[:own], known[own:])
+            line, size = numbers.line(texts, ends=False)
+            ends = np.append(0, np.cumsum(size))
             is_held = line < own
-            doc = np.repeat(np.arange(len(split)), np.diff(ends))
-            log_held = np.bincount(doc[is_held], log_counts[line[is_held]], len(split)).astype(float)
-            places: dict = {}
-            for k in np.nonzero(~is_held)[0].tolist():
-                places.setdefault((int(doc[k]), flat[k]), []).append(int(k - ends[doc[k]]))
-            stops = np.append(0, np.cumsum(np.bincount(np.array([d for d, _ in places], np.int64), minlength=len(split))))
-            pairs = pa.StructArray.from_arrays([pa.array([w for _, w in places], pa.binary()), pa.array(list(places.values()), pa.list_(pa.int32()))], ["word", "at"])
-            kinds = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(known[line].astype(np.int16)))
+            doc = np.repeat(np.arange(len(size)), size)
+            log_held = np.bincount(doc[is_held], log_counts[line[is_held]], len(size)).astype(float)
+            # The other words of each text, each with all its places there.
+            at = np.nonzero(~is_held)[0]
+            key = doc[at] * len(numbers) + line[at]
+            order = np.argsort(key, kind="stable")
+            at, key = at[order], key[order]
+            first = np.nonzero(np.append(True, key[1:] != key[:-1]))[0] if len(key) else order
+            stops = np.append(0, np.cumsum(np.bincount(doc[at[first]], minlength=len(size))))
+            places = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)), pa.int32()), pa.array(at - ends[doc[at]], pa.int32()))
+            pairs = pa.StructArray.from_arrays([pa.array([numbers.names[w - own] for w in line[at[first]].tolist()], pa.binary()), places], ["word", "at"])
+            kinds = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(numbers.kinds[line].astype(np.int16)))
             rest = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pairs)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), kinds, pa.array(np.bincount(doc[is_held], minlength=len(split))), pa.array(log_held), rest], ["doc_id", "held_out", "kinds", "n_held", "log_held", "rest"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), kinds, pa.array(np.bincount(doc[is_held], minlength=len(size))), pa.array(log_held), rest], ["doc_id", "held_out", "kinds", "n_held", "log_held", "rest"])
 
     rows = doc_text(docs, held_out().alias("held_out")).mapInArrow(of, "doc_id long, held_out boolean, kinds array<short>, n_held long, log_held double, rest array<struct<word:binary,at:array<int>>>")
     rows = stored(rows.withColumn("row", F.monotonically_increasing_id()))
@@ -333,7 +374,7 @@ def kinds_of(docs: DataFrame, classed: DataFrame, shapes: np.ndarray, classes: i
     whole = whole.select("doc_id", "held_out", "kinds", (F.col("n_held") + F.col("n_rest")).alias("n_known"), (F.col("log_held") + F.col("log_rest")).alias("log_counts"), "met")
 
     def filled(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in list_slices(whole, 2)):
             lists, met = batch.column(2), batch.column(5)
             kinds = lists.flatten().to_numpy().copy()
             size = lists.value_lengths().to_numpy()
@@ -367,7 +408,7 @@ def transitions(kinds: DataFrame, classes: int) -> np.ndarray:
 
     def of(batches):
         total = np.zeros(k * k, np.int64)
-        for batch in batches:
+        for batch in (part for whole in batches for part in list_slices(whole, 0)):
             line, _ = _line(batch.column(0), classes)
             total += np.bincount(np.append(classes, line[:-1]) * k + line, minlength=k * k) if len(line) else 0
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(k * k)), pa.array(total)], ["pair", "n"])
@@ -411,7 +452,7 @@ def lm_scores(docs: DataFrame, clustered: int = CLUSTERED, classes: int = CLASSE
     moves, sizes = model.log_moves, model.log_sizes
 
     def of(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in list_slices(whole, 2)):
             line, n = _line(batch.column(2), classes)
             previous = np.append(classes, line[:-1])
             model_sum = np.add.reduceat(moves[previous, line] - sizes[line], starts_of(n)) if len(n) else np.zeros(0)

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from checks import DATA
 
@@ -389,3 +390,22 @@ def test_packing_query_wastes_little(spark):
     got = queries.QUERIES["op9_best_fit_packing"](spark, DATA).toPandas()
     bins = got.groupby("bin_id").agg(n=("n_words", "sum"), size=("bin_size", "first"))
     assert bins.n.sum() >= 0.97 * bins["size"].sum()
+
+
+def test_steps_of_lists_are_whole_and_bounded(monkeypatch):
+    monkeypatch.setattr(brown_lm, "STEP", 10)
+    lists = [[1] * n for n in (0, 3, 25, 4, 4, 0, 9, 10, 0)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.int16()))], ["v"])
+    parts = list(brown_lm.list_slices(batch, 0))
+    assert [v for p in parts for v in p.column(0).to_pylist()] == lists
+    assert all(p.num_rows == 1 or sum(len(v or []) + 1 for v in p.column(0).to_pylist()) <= 10 for p in parts)
+
+
+def test_numbers_give_new_words_the_kind_of_their_shape():
+    shapes = np.arange(100, 100 + brown_lm.SHAPES)
+    numbers = brown_lm.Numbers({b"a": 0, b"b": 1}, np.array([7, 8]), shapes)
+    line, size = numbers.line([b"b C9 a", b"", b"c9 d"], ends=True)
+    assert line.tolist() == [-1, 1, 2, 0, -1, -1, 2, 3, -1] and size.tolist() == [3, 0, 2]
+    assert numbers.names == [b"c9", b"d"]
+    assert numbers.kinds.tolist() == [7, 8, shapes[brown_lm.shape(b"c9")], shapes[brown_lm.shape(b"d")]]
+    assert numbers.line([], ends=False)[0].tolist() == []
