@@ -22,6 +22,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .common import doc_text, most_common, starts_of, stored, text_chunks
@@ -38,6 +39,9 @@ SMOOTH = 0.1
 #: Counts that a task holds before it passes them on, and items of lists that one step of it works on.
 HELD, STEP = 500_000, 400_000
 
+#: Neighbours whose words are given classes in one step; each word has some rows of as many numbers as there are classes.
+CLASS_STEP = 30_000
+
 SHAPES = 24
 
 
@@ -132,12 +136,13 @@ class Numbers(dict):
         return np.array(line, np.int64), np.array(size, np.int64)
 
 
-def list_slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch whose lists in ``column`` have at most ``STEP`` items (a longer list goes alone)."""
+def list_slices(batch: pa.RecordBatch, column: int, step: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose lists in ``column`` have at most ``step`` items, ``STEP`` if none is given (a longer list goes alone)."""
+    step = step or STEP
     ends = np.append(0, np.cumsum(batch.column(column).value_lengths().fill_null(0).to_numpy().astype(np.int64) + 1))
     start = 0
     while start < batch.num_rows:
-        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + STEP, "right")) - 1)
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + step, "right")) - 1)
         yield batch.slice(start, stop - start)
         start = stop
 
@@ -219,7 +224,10 @@ def exchange(counts: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndarr
 
 
 def neighbour_counts(docs: DataFrame, words: dict[bytes, int], found: np.ndarray) -> DataFrame:
-    """word, near (key, n): how often each word without a number of its own stands before (key c), and after (key K + c), class c of K, and (key 2 K) next to itself."""
+    """word, keys, counts: how often each word without a number of its own stands before (key c), and after (key K + c), class c of K, and (key 2 K) next to itself.
+
+    A word has a row for each task that saw it, one behind the other in one partition.
+    """
     k = int(found[-1]) + 1
     shared = docs.sparkSession.sparkContext.broadcast((words, found))
 
@@ -268,14 +276,45 @@ def neighbour_counts(docs: DataFrame, words: dict[bytes, int], found: np.ndarray
         if held:
             yield passed()
 
-    # A row for each word of a task goes through the shuffle; its counts are apart only behind it.
-    rows = doc_text(docs).mapInArrow(of, "word binary, keys array<short>, counts array<int>").repartition("word")
-    rows = rows.select("word", F.inline(F.arrays_zip("keys", "counts"))).select("word", F.col("keys").cast("int").alias("key"), F.col("counts").alias("n"))
-    return rows.groupBy("word", "key").agg(F.sum("n").alias("n")).groupBy("word").agg(F.collect_list(F.struct("key", "n")).alias("near"))
+    # A row for each word of a task goes through the shuffle; its rows are summed as they are read in order.
+    return doc_text(docs).mapInArrow(of, "word binary, keys array<short>, counts array<int>").repartition("word").sortWithinPartitions("word")
+
+
+def whole_words(batches: Iterator[pa.RecordBatch], wide: int) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
+    """Words, and the number of each one's word, key and count, from batches of word, keys (under ``wide``), counts in order of words, which may repeat."""
+    name, keys, counts = None, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for batch in (part for whole in batches for part in list_slices(whole, 1, CLASS_STEP)):
+        names = batch.column(0)
+        new = np.append(True, pc.not_equal(names[1:], names[:-1]).to_numpy(zero_copy_only=False))
+        found, word = names.filter(pa.array(new)).to_pylist(), np.cumsum(new) - 1
+        if name is not None and name != found[0]:
+            found.insert(0, name)
+            word += 1
+        pair = np.append(keys, np.repeat(word, batch.column(1).value_lengths().to_numpy()) * wide + batch.column(1).flatten().to_numpy())
+        order = np.argsort(pair, kind="stable")
+        pair = pair[order]
+        first = np.nonzero(np.append(True, pair[1:] != pair[:-1]))[0]
+        n = np.add.reduceat(np.append(counts, batch.column(2).flatten().to_numpy())[order], first)
+        word, key = pair[first] // wide, pair[first] % wide
+        last = int(np.searchsorted(word, len(found) - 1))
+        name, keys, counts = found[-1], key[last:], n[last:]  # more of it may come
+        if last:
+            yield found[:-1], word[:last], key[:last], n[:last]
+    if name is not None:
+        yield [name], np.zeros(len(keys), np.int64), keys, counts
+
+
+def _added(base: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """What counts ``x`` add to the sum of n log n over ``base``."""
+    return _xlogx(base + x) - _xlogx(base)
 
 
 def best_classes(table: np.ndarray, own: np.ndarray, word: np.ndarray, key: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Class of each word with the largest exchange gain, one by one on the same ``table`` of class after class, which has it in ``own``."""
+    """Class of each word with the largest exchange gain, one by one on the same ``table`` of class after class, which has it in ``own``.
+
+    Most words have few neighbours and small counts, so what a count adds to
+    each class is worked out once for each count and neighbours' class.
+    """
     k, many = len(table), len(own)
     n = n.astype(float)
     rows = np.arange(many)
@@ -286,24 +325,31 @@ def best_classes(table: np.ndarray, own: np.ndarray, word: np.ndarray, key: np.n
     s[word[key == 2 * k]] = n[key == 2 * k]
     gain = np.zeros((many, k))
     for side, whole, other in ((is_after, table.T, before), (is_before, table, after)):
-        w, c, x = word[side], key[side] % k, n[side][:, None]
-        base = whole[c]  # between each class and the neighbours' one
-        at = np.arange(len(w))
-        base[at, own[w]] -= x[:, 0]
-        mine = c == own[w]
-        base[mine] -= other[w[mine]]
-        grown = _xlogx(base + x) - _xlogx(base)
-        grown[at, c] = 0  # within a class: below
+        w, c, x = word[side], key[side].astype(np.int64) % k, n[side]
+        mine = c == own[w]  # neighbours in the word's own class, whose counts have the word's other side in them
+        v = w[mine]
+        grown = _added(whole[own[v]] - other[v], x[mine][:, None])
+        grown[np.arange(len(v)), own[v]] = 0  # within a class: below
+        gain[v] += grown
+        w, c, x = w[~mine], c[~mine], x[~mine]
+        kinds, kind = np.unique(x * k + c, return_inverse=True)
+        sizes, at = kinds // k, (kinds % k).astype(np.int64)
+        grown = _added(whole[at], sizes[:, None])
+        grown[np.arange(len(at)), at] = 0
         for b in range(k):
-            gain[:, b] += np.bincount(w, grown[:, b], many)
-    diagonal = np.tile(np.diagonal(table), (many, 1))
-    diagonal[rows, own] -= after[rows, own] + before[rows, own] + s
-    gain += _xlogx(diagonal + after + before + s[:, None]) - _xlogx(diagonal)
+            gain[:, b] += np.bincount(w, grown[kind, b], many)
+        present = whole[c, own[w]]  # the own class has the counts already
+        gain[rows, own] += np.bincount(w, _added(present - x, x) - grown[kind, own[w]], many)
+    inside = after + before + s[:, None]
+    w, b = np.nonzero(inside)
+    x = inside[w, b]
+    gain[w, b] += _added(np.diagonal(table)[b] - np.where(b == own[w], x, 0), x)
     for own_side, sums in ((after, table.sum(axis=1)), (before, table.sum(axis=0))):
         total = own_side.sum(axis=1) + s
-        left = np.tile(sums, (many, 1))
-        left[rows, own] -= total
-        gain -= _xlogx(left + total[:, None]) - _xlogx(left)
+        sizes, kind = np.unique(total, return_inverse=True)
+        grown = _added(sums, sizes[:, None])
+        gain -= grown[kind]
+        gain[rows, own] -= _added(sums[own] - total, total) - grown[kind, own]
     best = gain[:, : k - 1].argmax(axis=1)
     return np.where(gain[rows, best] > gain[rows, own] + 1e-9, best, own)
 
@@ -318,15 +364,12 @@ def classed_words(docs: DataFrame, clustered: int, classes: int) -> tuple[DataFr
     table, shapes = member.T @ pairs @ member, found[len(own) : len(own) + SHAPES]
 
     def of(batches):
-        for batch in (part for whole in batches for part in list_slices(whole, 1)):
-            near = batch.column(1)
-            word = np.repeat(np.arange(len(near)), near.value_lengths().to_numpy())
-            key, n = (near.flatten().field(x).to_numpy() for x in ("key", "n"))
-            mine = np.array([shapes[shape(w)] for w in batch.column(0).to_pylist()], np.int64)
+        for words, word, key, n in whole_words(batches, 2 * (classes + 1) + 1):
+            mine = np.array([shapes[shape(w)] for w in words], np.int64)
             best = best_classes(table, mine, word, key, n)
             follows = (key <= classes) | (key == 2 * (classes + 1))  # each word is followed by something once
-            total = np.bincount(word[follows], n[follows], len(near)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total), pa.array(best.astype(np.int32))], ["word", "n", "class"])
+            total = np.bincount(word[follows], n[follows], len(words)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(total), pa.array(best.astype(np.int32))], ["word", "n", "class"])
 
     rest = stored(neighbour_counts(docs, own, found).mapInArrow(of, "word binary, n long, class int"))
     first = docs.sparkSession.createDataFrame([(bytearray(r["word"]), r["n"], int(found[i])) for i, r in enumerate(top)], "word binary, n long, class int")

@@ -392,6 +392,41 @@ def test_packing_query_wastes_little(spark):
     assert bins.n.sum() >= 0.97 * bins["size"].sum()
 
 
+def test_best_classes_of_many_words_are_those_of_each():
+    rng = np.random.default_rng(5)
+    k, many = 7, 300
+    pair = np.unique(rng.integers(0, many * (2 * k + 1), 4_000))
+    word, key, n = pair // (2 * k + 1), pair % (2 * k + 1), rng.integers(1, 6, len(pair))
+    own = rng.integers(0, k - 1, many)
+    table = rng.integers(0, 30, (k, k)).astype(float)
+    for w, c, x in zip(word, key, n, strict=True):
+        table[(own[w], c) if c < k else (c - k, own[w]) if c < 2 * k else (own[w], own[w])] += x
+    got = brown_lm.best_classes(table, own, word, key, n)
+    for w in range(many):
+        mine = word == w
+        assert got[w] == brown_lm.best_classes(table, own[[w]], np.zeros(mine.sum(), np.int64), key[mine], n[mine])[0]
+
+
+@pytest.mark.parametrize("step", [3, 20, 10_000])
+def test_rows_of_a_word_are_summed_across_batches(monkeypatch, step):
+    monkeypatch.setattr(brown_lm, "CLASS_STEP", step)
+    rng = random.Random(step)
+    rows, want = [], Counter()
+    for w in sorted({bytes(rng.choices(b"ab", k=rng.randint(0, 3))) for _ in range(30)}):
+        for _ in range(rng.choice([1, 1, 2, 9])):
+            keys = sorted(rng.sample(range(9), rng.randint(1, 5)))
+            counts = [rng.randint(1, 4) for _ in keys]
+            rows.append((w, keys, counts))
+            want.update({(w, c): 0 for c in keys})
+            for c, n in zip(keys, counts, strict=True):
+                want[w, c] += n
+    kinds = (pa.binary(), pa.list_(pa.int16()), pa.list_(pa.int32()))
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[at : at + 7]], kind) for i, kind in enumerate(kinds)], ["word", "keys", "counts"]) for at in range(0, len(rows), 7)]
+    got = [((words[w], c), n) for words, word, key, counts in brown_lm.whole_words(iter(batches), 9) for w, c, n in zip(word.tolist(), key.tolist(), counts.tolist(), strict=True)]
+    assert len(got) == len(want) and dict(got) == dict(want)
+    assert list(brown_lm.whole_words(iter([]), 9)) == []
+
+
 def test_steps_of_lists_are_whole_and_bounded(monkeypatch):
     monkeypatch.setattr(brown_lm, "STEP", 10)
     lists = [[1] * n for n in (0, 3, 25, 4, 4, 0, 9, 10, 0)] + [None]
