@@ -240,12 +240,14 @@ def neighbour_counts(docs: DataFrame, words: dict[bytes, int], found: np.ndarray
         counts: list[np.ndarray] = []
 
         def merged():
-            keys = np.concatenate(held)
+            keys, n = np.concatenate(held), np.concatenate(counts)
+            held.clear()
+            counts.clear()
             order = np.argsort(keys)
-            keys = keys[order]
+            keys, n = keys[order], n[order]
             first = np.nonzero(np.append(True, keys[1:] != keys[:-1]))[0] if len(keys) else order
-            held[:] = [keys[first]]
-            counts[:] = [np.add.reduceat(np.concatenate(counts)[order], first) if len(keys) else order]
+            held.append(keys[first])
+            counts.append(np.add.reduceat(n, first) if len(keys) else n)
             return held[0], counts[0]
 
         def passed():
@@ -271,7 +273,7 @@ def neighbour_counts(docs: DataFrame, words: dict[bytes, int], found: np.ndarray
             keys, n = np.unique(keys, return_counts=True)
             held.append(keys)
             counts.append(n.astype(np.int32))
-            if len(numbers.names) > HELD or sum(map(len, held)) > 4 * HELD and len(merged()[0]) > 2 * HELD:
+            if len(numbers.names) > HELD // 2 or sum(map(len, held)) > 2 * HELD and len(merged()[0]) > HELD:
                 yield passed()
         if held:
             yield passed()
