@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import brown_lm, decontaminate, exact_dedup, language_id, license_scan, merkle, packing, periodic_runs, simhash, substring_dedup, toxicity
+from . import brown_lm, decontaminate, exact_dedup, language_id, license_scan, line_dedup, merkle, packing, periodic_runs, resampling, simhash, substring_dedup, toxicity
 from .common import documents
 
 
@@ -23,7 +23,9 @@ QUERIES = {
     "op8_merkle_fixity": lambda spark, sf_dir: merkle.fixity_audit(_read(spark, sf_dir, "pages")),
     "op9_best_fit_packing": lambda spark, sf_dir: packing.best_fit(documents(spark, sf_dir)),
     "op10_decontamination": lambda spark, sf_dir: decontaminate.contained(documents(spark, sf_dir), _read(spark, sf_dir, "benchmark")),
+    "op11_line_dedup": lambda spark, sf_dir: line_dedup.line_dedup(documents(spark, sf_dir), texts=False),
     "op12_periodic_runs": lambda spark, sf_dir: periodic_runs.run_digests(periodic_runs.periodic_runs(periodic_runs.planted(documents(spark, sf_dir)))),
+    "op13_importance_resampling": lambda spark, sf_dir: resampling.resample(documents(spark, sf_dir), _read(spark, sf_dir, "benchmark")),
 }
 
 SQL = {
@@ -32,4 +34,6 @@ SQL = {
     "op7_substring_dedup": substring_dedup.SQL,
     "op8_merkle_fixity": merkle.SQL,
     "op10_decontamination": decontaminate.SQL,
+    "op11_line_dedup": line_dedup.SQL,
+    "op13_importance_resampling": resampling.SQL,
 }
