@@ -29,15 +29,15 @@ from .common import doc_text, plain_words, text_chunks
 POSITIVES, UNLABELLED = 4_000, 12_000
 #: The standard errors by which the odds of a term must stand out, and the prior where no training row is labelled clean.
 EVIDENCE, PRIOR = 4.0, 0.1
-#: Hashes of terms, and so a bound on their number.
-TABLE = 1 << 24
+#: UTF-8 bytes of the positives' texts in all, whose terms the driver sees.
+POSITIVE_BYTES = 32 << 20
 FOLDS = 5
 
 
 class Model(NamedTuple):
-    """Weights of the terms (by hash) and what a text without any of them has."""
+    """Weights of the terms and what a text without any of them has."""
 
-    weights: dict[int, float]
+    weights: dict[bytes, float]
     bias: float
 
 
@@ -45,19 +45,26 @@ def words_of(text: bytes) -> list[bytes]:
     return plain_words(text.decode("utf-8", "replace").lower().encode())
 
 
-def terms(word: bytes) -> tuple[int, ...]:
-    """Hashes of a word and, if it is longer, of its beginning."""
-    own = xxhash.xxh32_intdigest(word) % TABLE
-    return (own, xxhash.xxh32_intdigest(word[:5], 1) % TABLE) if len(word) > 5 else (own,)
+def terms(word: bytes) -> tuple[bytes, ...]:
+    """A word and, if it is longer, its beginning, which a star (no word has one) tells from a word."""
+    return (word, word[:5] + b"*") if len(word) > 5 else (word,)
 
 
-class TermCache(dict):
+class Places(dict):
+    """Where a word's terms stand among the chosen ones, remembered up to a bound."""
+
+    def __init__(self, names: list[bytes]):
+        self.names = {x: i for i, x in enumerate(names)}
+
     def __missing__(self, word: bytes) -> tuple[int, ...]:
         if len(self) >= 300_000:
             self.clear()
-        self[word] = value = terms(word)
+        self[word] = value = tuple(self.names[t] for t in terms(word) if t in self.names)
         return value
 
+    def of(self, text: bytes) -> set[int]:
+        return {i for w in set(words_of(text)) for i in self[w]}
+
 
 def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(FOLDS)) == 0, F.lit(False))
@@ -69,35 +76,41 @@ def _share(part: int, whole: int):
     return F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30))
 
 
-def _sets(rows: DataFrame, most: int, known: np.ndarray | None = None) -> list[np.ndarray]:
-    """Sorted terms (all, or the ``known`` ones) of the rows, at most ``most`` of them, the first by a hash of their ids."""
-    shared = None if known is None else rows.sparkSession.sparkContext.broadcast(known)
+def _documents_with(rows: DataFrame) -> dict[bytes, int]:
+    """The terms that more than one of the rows has, and how many have them."""
+
+    def of(batches):
+        for _, texts in text_chunks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([t for x in texts for t in {t for w in set(words_of(x)) for t in terms(w)}], pa.binary())], ["term"])
+
+    found = rows.select("doc_id", "text").mapInArrow(of, "term binary").groupBy("term").count().where("count > 1")
+    return {bytes(r["term"]): r["count"] for r in found.collect()}
+
+
+def _sets(rows: DataFrame, most: int, names: list[bytes]) -> list[np.ndarray]:
+    """Sorted places in ``names`` of the rows' terms, at most ``most`` rows, the first by a hash of their ids."""
+    shared = rows.sparkSession.sparkContext.broadcast(names)
 
     def of(batches):
-        cache = TermCache()
+        places = Places(shared.value)
         for batch, texts in text_chunks(batches):
-            found = [np.array(sorted({t for w in set(words_of(x)) for t in cache[w]}), np.int32) for x in texts]
-            if shared is not None:
-                found = [np.intersect1d(x, shared.value, assume_unique=True) for x in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in found], pa.binary())], ["doc_id", "terms"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.array(sorted(places.of(x)), np.int32).tobytes() for x in texts], pa.binary())], ["doc_id", "terms"])
 
     found = rows.select("doc_id", "text").mapInArrow(of, "doc_id long, terms binary")
     found = found.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id", "terms").limit(most)
     return [np.frombuffer(r["terms"], np.int32) for r in found.collect()]
 
 
-def _counted(rows: DataFrame, names: np.ndarray) -> np.ndarray:
+def _counted(rows: DataFrame, names: list[bytes]) -> np.ndarray:
     """In how many of all rows each of the terms is."""
     shared = rows.sparkSession.sparkContext.broadcast(names)
 
     def of(batches):
-        names, cache = shared.value, TermCache()
-        total = np.zeros(len(names), np.int64)
+        places = Places(shared.value)
+        total = np.zeros(len(places.names), np.int64)
         for _, texts in text_chunks(batches):
-            found = [{t for w in set(words_of(x)) for t in cache[w]} for x in texts]
-            flat = np.fromiter(chain.from_iterable(found), np.int32, sum(map(len, found)))
-            at = np.minimum(np.searchsorted(names, flat), len(names) - 1)
-            total += np.bincount(at[names[at] == flat], minlength=len(names))
+            found = [places.of(x) for x in texts]
+            total += np.bincount(np.fromiter(chain.from_iterable(found), np.int64, sum(map(len, found))), minlength=len(total))
         at = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
 
@@ -107,6 +120,16 @@ def _counted(rows: DataFrame, names: np.ndarray) -> np.ndarray:
     return out
 
 
+def _within(rows: list, most_bytes: int) -> list[int]:
+    """The ids of (id, bytes) rows, in order, that still fit."""
+    chosen, held = [], 0
+    for doc_id, size in rows:
+        if held + size <= most_bytes:
+            chosen.append(doc_id)
+            held += size
+    return chosen
+
+
 def standing_out(positive: np.ndarray, n_positive: int, every: np.ndarray, n_every: int) -> np.ndarray:
     """Which terms have odds that differ from those in all text, from the numbers of documents that have them."""
     p, u = positive + 0.5, every + 0.5
@@ -114,12 +137,13 @@ def standing_out(positive: np.ndarray, n_positive: int, every: np.ndarray, n_eve
     return np.abs(odds) / np.sqrt(1 / p + 1 / u) >= EVIDENCE
 
 
-def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
+def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, positive_bytes: int = POSITIVE_BYTES) -> Model:
     """Fit on about ``positives`` and ``unlabelled`` documents of the training fold, at most twice as many, drawn by hashes of their ids.
 
-    The terms, of the positives, are chosen by counts over all training
-    documents. Of several labels of a document the largest holds; rows that
-    repeat an id are documents of their own with one label.
+    Of the positives drawn, those that still fit into ``positive_bytes`` in all
+    are used. The terms, of the positives, are chosen by counts over all
+    training documents. Of several labels of a document the largest holds; rows
+    that repeat an id are documents of their own with one label.
     """
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     marks = marks.where("doc_id is not null and toxic is not null").where(~held_out())
@@ -130,26 +154,29 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     if not toxic or not total:
         return Model({}, -20.0)
     prior = toxic / labelled if toxic < labelled else PRIOR
-    # The limit bounds the broadcast; the share before it draws about half as many.
-    chosen = marks.where("toxic = 1").where(_share(positives, toxic)).select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(5))).limit(2 * positives)
-    confirmed = _sets(text.join(F.broadcast(chosen), "doc_id"), 2 * positives)
+    # The limits bound what is sent to the tasks; the share before them draws about half as many.
+    by_hash = F.xxhash64("doc_id", F.lit(5))
+    chosen = marks.where("toxic = 1").where(_share(positives, toxic)).select("doc_id").orderBy(by_hash).limit(2 * positives)
+    sizes = text.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("size"))
+    ids = [(x,) for x in _within([tuple(r) for r in sizes.orderBy(by_hash).collect()], positive_bytes)]
+    confirmed = text.join(F.broadcast(docs.sparkSession.createDataFrame(ids, "doc_id long")), "doc_id")
     # Terms of fewer than two positives cannot stand out; without them the rest is small.
-    names, seen = np.unique(np.concatenate([np.zeros(0, np.int32), *confirmed]), return_counts=True)
-    names, seen = names[seen > 1], seen[seen > 1]
-    if not len(names):
+    seen = _documents_with(confirmed)
+    names = sorted(seen)
+    if not names:
         return Model({}, -20.0)
-    names = names[standing_out(seen, len(confirmed), _counted(text, names), total)]
-    drawn = _sets(text.where(_share(unlabelled, total)), 2 * unlabelled, names)
-    sets = [np.intersect1d(x, names, assume_unique=True) for x in confirmed]
+    out = standing_out(np.array([seen[x] for x in names]), confirmed.count(), _counted(text, names), total)
+    names = [x for x, stays in zip(names, out.tolist(), strict=True) if stays]
+    sets, drawn = _sets(confirmed, 2 * positives, names), _sets(text.where(_share(unlabelled, total)), 2 * unlabelled, names)
     return fit(names, [*sets, *drawn], np.arange(len(sets) + len(drawn)) < len(sets), prior)
 
 
-def fit(names: np.ndarray, sets: list[np.ndarray], positive: np.ndarray, prior: float, steps: int = 250, rate: float = 0.1, decay: float = 3e-4) -> Model:
-    """Minimise the non-negative risk over documents given as sets of the terms ``names`` (sorted), by full-batch Adam."""
-    if not positive.any() or positive.all() or not len(names):
+def fit(names: list[bytes], sets: list[np.ndarray], positive: np.ndarray, prior: float, steps: int = 250, rate: float = 0.1, decay: float = 3e-4) -> Model:
+    """Minimise the non-negative risk over documents given as sets of places in the terms ``names``, by full-batch Adam."""
+    if not positive.any() or positive.all() or not names:
         return Model({}, -20.0)
     n_pos, n_unl = int(positive.sum()), int((~positive).sum())
-    flat = np.searchsorted(names, np.concatenate(sets))
+    flat = np.concatenate(sets)
     doc = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     w, b = np.zeros(len(names)), 0.0
     first, second = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
@@ -171,7 +198,7 @@ def fit(names: np.ndarray, sets: list[np.ndarray], positive: np.ndarray, prior:
         second = 0.999 * second + 0.001 * grad**2
         step = rate * first / (1 - 0.9**t) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
-    return Model(dict(zip(names.tolist(), w.tolist(), strict=True)), float(b))
+    return Model(dict(zip(names, w.tolist(), strict=True)), float(b))
 
 
 def _scores(texts: list[bytes], model: Model, cache: dict) -> np.ndarray:

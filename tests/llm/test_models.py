@@ -220,7 +220,7 @@ def test_toxicity_on_planted_rows(spark, docs_of):
 
 
 def toxicity_by_brute_force(rows, labels):
-    """Scores by strings instead of hashes, document by document and term by term."""
+    """Scores document by document and term by term."""
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 0
     marks = {}
     for i, toxic in labels:
@@ -285,8 +285,26 @@ def test_toxicity_matches_brute_force(spark, docs_of):
 
 def test_drawn_rows_have_a_bound(docs_of):
     docs = docs_of([(k % 7, f"word{k}") for k in range(50)]).select("doc_id", "text")
-    assert len(toxicity._sets(docs, 20)) == 20
-    assert [x.tolist() for x in toxicity._sets(docs.repartition(5), 20)] == [x.tolist() for x in toxicity._sets(docs, 20)]
+    names = [f"word{k}".encode() for k in range(50)]
+    assert len(toxicity._sets(docs, 20, names)) == 20
+    assert [x.tolist() for x in toxicity._sets(docs.repartition(5), 20, names)] == [x.tolist() for x in toxicity._sets(docs, 20, names)]
+    assert toxicity._within([(1, 5), (2, 8), (3, 4), (4, 1)], 10) == [1, 3, 4]
+
+
+def test_words_that_share_a_hash_are_told_apart(docs_of):
+    import xxhash
+
+    seen, pair = {}, None
+    for k in range(200_000):  # two words whose hashes are alike in 24 bits
+        word = b"v%d" % k
+        if (other := seen.setdefault(xxhash.xxh32_intdigest(word) & 0xFFFFFF, word)) != word:
+            pair = other.decode(), word.decode()
+            break
+    rows = [(k, pair[k % 2] + " plain") for k in range(40)]
+    names = [pair[0].encode(), b"plain"]
+    assert toxicity._counted(docs_of(rows), names).tolist() == [20, 40]
+    model = toxicity.Model({pair[0].encode(): 9.0}, -5.0)
+    assert {r.doc_id % 2: r.predicted for r in toxicity.score(docs_of(rows), model).collect()} == {0: 1, 1: 0}
 
 
 def test_toxicity_without_labels(spark, docs_of):
@@ -298,9 +316,9 @@ def test_toxicity_without_labels(spark, docs_of):
 def test_negative_risk_is_corrected():
     rng = np.random.default_rng(0)
     sets = [np.unique(np.append(rng.integers(10, 40, 8), [1] if k < 60 or 60 <= k < 90 else [])).astype(np.int32) for k in range(400)]
-    model = toxicity.fit(np.unique(np.concatenate(sets)), sets, np.arange(400) < 60, prior=30 / 340, steps=200)
-    assert model.weights[1] > 1 and model.bias < 0
-    assert model.bias + model.weights[1] > 0
+    model = toxicity.fit([b"%d" % k for k in range(40)], sets, np.arange(400) < 60, prior=30 / 340, steps=200)
+    assert model.weights[b"1"] > 1 and model.bias < 0
+    assert model.bias + model.weights[b"1"] > 0
 
 
 def naive_pack(lengths, capacities):
