@@ -59,45 +59,116 @@ def test_template_of_ones_own(docs_of):
 
 
 #: Notices as projects print them, typed from the licenses and not from the templates, with the labels that they must get.
-NOTICES = [
-    ("mit", """Copyright (c) 2019 Jane Doe
+WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE"""
+
+MIT_TEXT = f"""Copyright (c) 2019 Jane Doe
 
 Permission is hereby granted, free of charge, to any person obtaining a copy
 of this software and associated documentation files (the "Software"), to deal
 in the Software without restriction, including without limitation the rights
 to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
 copies of the Software, and to permit persons to whom the Software is
-furnished to do so, subject to the following conditions:"""),
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+{WARRANTY} AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+
+BSD_2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+"""
+
+BSD_3 = """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+"""
+
+BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
+NOTICES = [
+    ("mit", MIT_TEXT),
+    ("mit", MIT_TEXT.replace("the Software", "the Materials").replace("THE SOFTWARE OR", "THE MATERIALS OR").replace("IN THE\nSOFTWARE", "IN THE\nMATERIALS")),
+    ("", MIT_TEXT.replace("without restriction,", "without restriction except for commercial use,")),
+    ("", MIT_TEXT[:400]),
     ("mit", "// SPDX-License-Identifier: MIT"),
     ("apache-2", """Licensed under the Apache License, Version 2.0 (the "License");
-you may not use this file except in compliance with the License."""),
-    ("bsd,bsd-3-clause", """Redistribution and use in source and binary forms, with or without
-modification, are permitted provided that the following conditions are met:
-1. Redistributions of source code must retain the above copyright notice.
-3. Neither the name of the copyright holder nor the names of its contributors
-   may be used to endorse or promote products derived from this software
-   without specific prior written permission."""),
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""),
+    ("bsd-2-clause", BSD_2 + BSD_END),
+    ("bsd-3-clause", BSD_2 + BSD_3 + BSD_END),
+    ("bsd-3-clause", (BSD_2 + BSD_3 + BSD_END).replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* ").replace("the copyright holder nor", "Acme Widgets, Inc. nor")),
+    ("", BSD_2 + BSD_3),
+    ("bsd-2-clause", "This project is under the BSD 2-Clause License."),
+    ("bsd-3-clause", 'The BSD 3-Clause "New" or "Revised" License'),
     ("isc", """Permission to use, copy, modify, and/or distribute this software for any
 purpose with or without fee is hereby granted, provided that the above
-copyright notice and this permission notice appear in all copies."""),
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM
+LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR
+OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+PERFORMANCE OF THIS SOFTWARE."""),
     ("gpl-2", """This program is free software; you can redistribute it and/or modify it under the terms of the
 GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or
 (at your option) any later version."""),
     ("gpl-2", "This file may be used under the terms of the GNU General Public License version 2 only."),
+    ("gpl-2", "licensed under the GPLv2"),
+    ("", "GNU General Public License, version 2.1"),
     ("gpl-3", """you can redistribute it and/or modify it under the terms of the GNU General Public License as published by
 the Free Software Foundation, either version 3 of the License, or (at your option) any later version."""),
     ("gpl-3", "Released under the GNU General Public License v3.0"),
     ("gpl-3", "SPDX-License-Identifier: GPL-3.0-or-later"),
     ("gpl-3", "GNU General Public License (GPL) version 3"),
+    ("gpl-3", "GNU GPL version 3"),
+    ("lgpl-2", """it under the terms of the GNU Library General Public License version 2 as
+published by the Free Software Foundation"""),
     ("lgpl-2.1", """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public
 License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."""),
+    ("lgpl-2.1", "GNU LGPL v2.1"),
     ("lgpl-3", "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License"),
     ("agpl-3", "the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"),
     ("mpl-2", """This Source Code Form is subject to the terms of the Mozilla Public
 License, v. 2.0. If a copy of the MPL was not distributed with this
 file, You can obtain one at https://mozilla.org/MPL/2.0/."""),
     ("mpl-2", "Mozilla Public License Version 2.0"),
-    ("epl-2", "which accompanies this distribution, and is made available under the terms of the Eclipse Public License v2.0".replace("v2", "v 2")),
+    ("mpl-2", "Mozilla Public License v2.0"),
+    ("epl-2", "which accompanies this distribution, and is made available under the terms of the Eclipse Public License v2.0"),
     ("epl-2", "made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("cc-by", "This work is licensed under CC BY 4.0. To view a copy, visit https://creativecommons.org/licenses/by/4.0/"),
@@ -106,18 +177,76 @@ file, You can obtain one at https://mozilla.org/MPL/2.0/."""),
     ("cc-by-sa", "Text is available under the Creative Commons Attribution-ShareAlike 4.0 International Public License; additional terms may apply."),
     ("cc-by-sa", "Creative Commons Attribution ShareAlike International License"),
     ("cc-by-nd", "Attribution-NoDerivatives 4.0 International"),
+    ("cc-by-nd", "Creative Commons Attribution-NoDerivs 2.5 Generic License"),
     ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
     ("cc-by-nc-sa", "Attribution-NonCommercial-ShareAlike 4.0 International"),
     ("cc-by-nc,cc-by-nc-sa", "released under CC BY-NC-SA 4.0"),
     ("cc-by-nc-nd", "http://creativecommons.org/licenses/by-nc-nd/3.0/"),
+    ("cc-by-nc-nd", "Attribution-NonCommercial-NoDerivs 3.0 Unported"),
     ("cc0", "CC0 1.0 Universal (CC0 1.0) Public Domain Dedication"),
     ("cc0", "https://creativecommons.org/publicdomain/zero/1.0/"),
-    ("unlicense", "This is free and unencumbered software released into the public domain."),
+    ("unlicense", f"""This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.
+
+In jurisdictions that recognize copyright laws, the author or authors
+of this software dedicate any and all copyright interest in the
+software to the public domain. We make this dedication for the benefit
+of the public at large and to the detriment of our heirs and
+successors. We intend this dedication to be an overt act of
+relinquishment in perpetuity of all present and future rights to this
+software under copyright law.
+
+{WARRANTY} AND NONINFRINGEMENT.
+IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR
+OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR
+OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <http://unlicense.org/>"""),
     ("zlib", """This software is provided 'as-is', without any express or implied
 warranty. In no event will the authors be held liable for any damages
-arising from the use of this software."""),
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not
+   claim that you wrote the original software. If you use this software
+   in a product, an acknowledgment in the product documentation would be
+   appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be
+   misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""),
     ("boost", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt)"),
+    ("boost", f"""Permission is hereby granted, free of charge, to any person or organization
+obtaining a copy of the software and accompanying documentation covered by
+this license (the "Software") to use, reproduce, display, distribute,
+execute, and transmit the Software, and to prepare derivative works of the
+Software, and to permit third-parties to whom the Software is furnished to
+do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including
+the above license grant, this restriction and the following disclaimer,
+must be included in all copies of the Software, in whole or in part, and
+all derivative works of the Software, unless such copies or derivative
+works are solely in the form of machine-executable object code generated by
+a source language processor.
+
+{WARRANTY}, TITLE AND NON-INFRINGEMENT. IN NO EVENT
+SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE
+FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE,
+ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER
+DEALINGS IN THE SOFTWARE."""),
+    ("wtfpl", """DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE
+TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION
+
+ 0. You just DO WHAT THE FUCK YOU WANT TO."""),
     ("proprietary", "All rights reserved. No part of this publication may be reproduced without the prior written permission of the publisher."),
     ("", "The general public was licensed to enter; creative commons are attributed to no one."),
     ("", "GNU General Public License texts number 7. Version 2 of this page is out."),
