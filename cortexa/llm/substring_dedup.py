@@ -1,25 +1,29 @@
 """Substring deduplication by relative Lempel-Ziv parsing against the whole corpus.
 
-The corpus is its own reference. It is cut into overlapping reference blocks at
-places that the words themselves choose: a window of 20 words is anchored at
-its six-word phrase with the smallest hash, and consecutive windows with one
-anchor make a block (34 words at most). Equal passages are cut alike wherever
-they stand, so a block looks up the one index entry that can match it.
-
-1. Index. Every block is looked up among all blocks, and gets the place of its
-   first copy. Where blocks share an anchor but differ, a match ends somewhere
-   inside: the windows of these blocks are looked up one by one.
-2. Parse. Each document is read from its start. At a place that has a copy, the
-   match is extended word by word for as long as the reference goes on in the
-   same way there; the factor is emitted, and the parse goes on behind it. A
-   place without a copy is one literal word.
-3. Factors of 20 words or more are duplicate spans. Windows across a factor's
-   boundary belong to no factor, so each is checked on its own, and what a copied
-   one covers goes as well.
-
-Words are hashed to 128 bits. Blocks and windows are compared by two 64-bit
-hashes that are made from different halves of these, so they are independent;
-texts themselves are not shuffled for comparison.
+The corpus is its own reference. It is cut into overlapping blocks at places
+that the words themselves choose: a window of 20 words is anchored at its
+six-word phrase with the smallest hash, and consecutive windows with one anchor
+make a block (34 words at most). Equal passages are cut alike wherever they
+stand. The reference index has each distinct block once, where it stands first.
+
+1. Whole blocks. Every block is looked up in the index; one that is there
+   already is copied as a whole.
+2. Extension. Any other block whose anchor is known reads that anchor's reference
+   block, the first of them all, and is compared with it word by word, from the
+   anchor to the right and to the left, as far as both go on alike. 20 words or
+   more are copied.
+3. Boundaries. A window of the block beyond that cannot be in the reference
+   block, but in another one with the anchor. These windows, and no others, are
+   looked up one by one.
+4. Parse. Each document is read from its start. At a place that has a copy, the
+   factor goes on through whole and extended blocks for as long as their copies
+   stand one behind the other in one document; the parse goes on behind it. A
+   place without a copy is one literal word. Factors, 20 words or more, are
+   duplicate spans; a copied window across a factor's boundary is in no factor
+   and goes as well.
+
+Reference blocks are compared as words; whole blocks by two 64-bit hashes made
+from different halves of the words' 128-bit hashes, windows by 128-bit digests.
 """
 
 from __future__ import annotations
@@ -69,7 +73,7 @@ class Blocks:
         of_doc = np.repeat(np.arange(len(words)), self.windows)
         self.at = np.arange(len(of_doc)) - starts_of(self.windows)[of_doc] + self.starts[of_doc]  # each window's first word
         if not len(of_doc):
-            self.doc = self.start = self.size = np.zeros(0, np.int64)
+            self.doc = self.start = self.size = self.lead = np.zeros(0, np.int64)
             self.run = np.zeros(0, np.int64)
             self.anchor = self.block = self.first = self.second = np.zeros(0, np.uint64)
             return
@@ -79,7 +83,7 @@ class Blocks:
         run = np.nonzero(new)[0]
         self.doc, self.start = of_doc[run], self.at[run] - self.starts[of_doc[run]]
         self.size = np.diff(np.append(run, len(of_doc)))
-        self.anchor = phrases[place[run]]
+        self.anchor, self.lead = phrases[place[run]], place[run] - self.at[run]
         self.first, self.second = rolling(values, window, BASE_A)[self.at], mixed(rolling(others, window, BASE_B))[self.at]
         # A block's words are those of its windows: their hashes in turn tell it from others.
         terms = self.second * (2 * np.arange(len(of_doc), dtype=np.uint64) - 2 * np.repeat(run, self.size).astype(np.uint64) + np.uint64(1))
@@ -136,23 +140,55 @@ def _blocks(docs: DataFrame) -> DataFrame:
 
 
 def _listed(rows: DataFrame) -> DataFrame:
-    """first, second, doc_id, start of every window of the blocks that start at ``places``, and KNOWN."""
+    """anchor, doc_id, start, lead (words before the anchor), leads and words of the blocks that start at ``places``."""
 
     def of(batches):
         hashes = WordDigests()
         for batch, texts in text_chunks(batches, limit=SLICE):
             b, ids = Blocks(texts, hashes), batch.column(0).to_numpy()
-            keys = np.concatenate([b.starts[d] + np.array(x, np.int64) for d, x in enumerate(batch.column(2).to_pylist())])
-            pick = np.repeat(np.isin(b.starts[b.doc] + b.start, keys), b.size)
-            doc, at, first, second = np.repeat(b.doc, b.size)[pick], b.at[pick], b.first[pick], b.second[pick]
-            own = ids[doc]
-            order = np.lexsort((at, doc, own, second))
-            again, ref = _repeats(order, (first, second), own, doc)
-            own, start = own[order], (at - b.starts[doc])[order].astype(np.int32)
-            out = [signed(_alone(first[order], again, at[order])), signed(second)[order], own, start, again, own[ref], start[ref]]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["first", "second", "doc_id", "start", "again", "ref_id", "ref_start"])
+            wanted = {(d, x["start"]): x["leads"] for d, places in enumerate(batch.column(2).to_pylist()) for x in places}
+            split, of_doc, out = [], -1, []
+            for k, (d, start) in enumerate(zip(b.doc.tolist(), b.start.tolist(), strict=True)):
+                if (d, start) in wanted:
+                    if d != of_doc:
+                        split, of_doc = texts[d].split(), d
+                    words = b" ".join(split[start : start + int(b.size[k]) + WINDOW - 1])
+                    out.append((int(signed(b.anchor[k : k + 1])[0]), int(ids[d]), start, int(b.lead[k]), wanted[d, start], words))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+            arrays = [pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays(arrays, ["anchor", "doc_id", "start", "lead", "leads", "words"])
 
-    return rows.mapInArrow(of, f"first long, second long, doc_id long, start int, {KNOWN}")
+    return rows.mapInArrow(of, "anchor long, doc_id long, start int, lead int, leads boolean, words binary")
+
+
+def extent(words: list[bytes], lead: int, other: list[bytes], other_lead: int) -> tuple[int, int]:
+    """How many words before and from the anchor on two blocks have in common."""
+    left, right = min(lead, other_lead), min(len(words) - lead, len(other) - other_lead)
+    before = next((i for i in range(left) if words[lead - 1 - i] != other[other_lead - 1 - i]), left)
+    behind = next((i for i in range(right) if words[lead + i] != other[other_lead + i]), right)
+    return (before, behind) if behind >= PHRASE else (0, 0)  # else another phrase with the anchor's hash
+
+
+def _extended(pairs: DataFrame) -> DataFrame:
+    """doc_id, start, size, ref_id, ref_start of the windows that a block shares with its reference block (null: none), and the block's other windows."""
+
+    def of(batches):
+        for batch in batches:
+            rows, out = [x.to_pylist() for x in batch.columns], []
+            for doc_id, start, lead, words, ref_id, ref_start, ref_lead, ref_words in zip(*rows, strict=True):
+                words = words.split(b" ")
+                before, behind = extent(words, lead, ref_words.split(b" "), ref_lead)
+                size = max(0, before + behind - WINDOW + 1)
+                first = lead - before
+                others = [i for i in range(len(words) - WINDOW + 1) if not first <= i < first + size]
+                digests = [np.frombuffer(xxhash.xxh3_128_digest(b" ".join(words[i : i + WINDOW])), np.int64).tolist() for i in others]
+                rest = [{"first": x, "second": y, "start": start + i} for i, (x, y) in zip(others, digests, strict=True)]
+                out.append((doc_id, *((start + first, size, ref_id, ref_start + ref_lead - before) if size else (None,) * 4), rest))
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.struct([("first", pa.int64()), ("second", pa.int64()), ("start", pa.int32())])))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], names)
+
+    names = ["doc_id", "start", "size", "ref_id", "ref_start", "rest"]
+    return pairs.mapInArrow(of, "doc_id long, start int, size int, ref_id long, ref_start int, rest array<struct<first: long, second: long, start: int>>")
 
 
 def _looked_up(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -167,19 +203,28 @@ def duplicate_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A slice of the table looks up its own blocks first. What is decided there
     is dealt out evenly, so of a passage that a third of all documents share
-    one row a slice goes by its hash.
+    one row a slice goes by its hash. Blocks meet their reference in a join with
+    one row for each anchor, whose other side Spark can split.
     """
-    n = partitions(docs.sparkSession)
     text = doc_text(docs).where("doc_id is not null")
-    dealt = text.repartition(n, "doc_id")
+    dealt = text.repartition(partitions(docs.sparkSession), "doc_id")
     anchored = Window.partitionBy("anchor")
-    rows = _looked_up(_blocks(text).repartition(n, "anchor"), ["anchor", "block"])
+    rows = _looked_up(_blocks(text).repartition(partitions(docs.sparkSession), "anchor"), ["anchor", "block"])
     rows = rows.withColumn("differs", F.min("block").over(anchored) < F.max("block").over(anchored))
-    met = stored(rows.where("copied or differs").select("doc_id", "start", "size", "copied", "ref_id", "ref_start"))
-    places = met.where("not copied").groupBy("doc_id").agg(F.collect_list("start").alias("places"))
-    windows = _looked_up(_listed(dealt.join(places, "doc_id")).repartition(n, "first"), ["first", "second"])
-    single = windows.where("copied").select("doc_id", "start", F.lit(1).alias("size"), "ref_id", "ref_start")
-    return dealt, met.where("copied").select("doc_id", "start", "size", "ref_id", "ref_start").union(single)
+    rows = rows.withColumn("leads", F.struct("doc_id", "start") == F.min(F.struct("doc_id", "start")).over(anchored))
+    met = stored(rows.where("copied or differs").select("doc_id", "start", "size", "copied", "leads", "ref_id", "ref_start"))
+    places = met.where("not copied").groupBy("doc_id").agg(F.collect_list(F.struct("start", "leads")).alias("places"))
+    listed = stored(_listed(dealt.join(places, "doc_id")))
+    references = listed.where("leads").dropDuplicates(["anchor"])  # rows that share an id list theirs twice
+    references = references.select("anchor", F.col("doc_id").alias("ref_id"), F.col("start").alias("ref_start"), F.col("lead").alias("ref_lead"), F.col("words").alias("ref_words"))
+    pairs = listed.where("not leads").join(references, "anchor").select("doc_id", "start", "lead", "words", "ref_id", "ref_start", "ref_lead", "ref_words")
+    compared = stored(_extended(pairs))
+    windows = compared.select("doc_id", F.inline("rest"))
+    firsts = windows.groupBy("first", "second").agg(F.min(F.struct("doc_id", "start")).alias("best"), F.count("*").alias("n")).where("n > 1").drop("n")
+    single = windows.join(firsts, ["first", "second"]).where("best < struct(doc_id, start)")
+    single = single.select("doc_id", "start", F.lit(1).alias("size"), F.col("best.doc_id").alias("ref_id"), F.col("best.start").alias("ref_start"))
+    spans = met.where("copied").select("doc_id", "start", "size", "ref_id", "ref_start")
+    return dealt, spans.union(compared.where("size is not null").drop("rest")).union(single)
 
 
 def parsed(found: np.ndarray, ref_id: np.ndarray, ref_start: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:

@@ -183,6 +183,47 @@ def test_substring_dedup_matches_sql(spark, duck):
     same_rows(queries.QUERIES["op7_substring_dedup"](spark, DATA), queries.SQL["op7_substring_dedup"], duck)
 
 
+def passages(rng):
+    """Documents that share passages cut off at different words, so that blocks agree in part."""
+    words = [f"{rng.choice('abcdef')}{rng.randrange(400)}" for _ in range(120)]
+    out = []
+    for k in range(40):
+        a = rng.randrange(60)
+        own = [f"own{k}-{i}" for i in range(30)]
+        out.append((k, " ".join(own[:15] + words[a : a + rng.randrange(20, 60)] + own[15:])))
+    return out
+
+
+def test_extension_decides_what_goes(docs_of, monkeypatch):
+    pairs = passages(random.Random(6))
+    found = lambda: rows(substring_dedup.substring_dedup(docs_of(pairs)).select("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"))
+    assert found() == brute_substring(pairs)
+    for wrong in (lambda *a: (0, 0), lambda w, a, o, b: (a, len(w) - a)):  # ends at once; never ends within a block
+        wrong.__module__ = "__main__"  # sent to the tasks by value
+        monkeypatch.setattr(substring_dedup, "extent", wrong)
+        assert found() != brute_substring(pairs)
+
+
+def test_extent():
+    a, b = "p q r a1 a2 a3 a4 a5 a6 s t".split(), "q r a1 a2 a3 a4 a5 a6 s u v".split()
+    assert substring_dedup.extent(a, 3, b, 2) == (2, 7)
+    assert substring_dedup.extent(a, 3, ["z"] * 2 + b[2:], 2) == (0, 7)
+    assert substring_dedup.extent(a, 3, b[:5] + ["z"] + b[6:], 2) == (0, 0)
+
+
+def test_few_windows_are_looked_up(spark, docs_of):
+    """Boundary windows are those that a reference block does not have."""
+    pairs = passages(random.Random(7))
+    dealt, spans = substring_dedup.duplicate_spans(docs_of(pairs))
+    some = spans.collect()
+    assert sum(r.size for r in some if r.size > 1) > 3 * sum(r.size == 1 for r in some)
+    words = {k: t.split() for k, t in pairs}
+    for r in some:
+        assert (r.ref_id, r.ref_start) < (r.doc_id, r.start)
+        n = r.size + substring_dedup.WINDOW - 1
+        assert words[r.doc_id][r.start : r.start + n] == words[r.ref_id][r.ref_start : r.ref_start + n]
+
+
 def test_parse_is_greedy():
     ref = np.array([7, 8, 9, 0, 4, 5, 30, 31, 32, 33, 0, 0, 60])
     found = np.array([1, 1, 1, 0, 1, 1, 1, 1, 1, 1, 0, 0, 1], bool)
