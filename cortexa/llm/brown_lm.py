@@ -31,7 +31,9 @@ FOLDS, FOLD = 7, 2
 
 #: Words that are clustered one by one, their classes, and words whose counts every task holds.
 CLUSTERED, CLASSES, HELD_WORDS = 1_000, 48, 150_000
-SWEEPS = 10
+
+#: Sweeps of the exchange after which it is an error that words still move; each move makes the likelihood larger, so it does end.
+SWEEPS_AT_MOST = 1_000
 
 #: Added to each count of a class after another.
 SMOOTH = 0.1
@@ -174,8 +176,13 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def exchange(counts: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndarray:
-    """Class of each item from their bigram counts; the last item (the end) alone has the last class."""
+def exchange(counts: np.ndarray, classes: int) -> np.ndarray:
+    """Class of each item from their bigram counts, when no item gains by moving alone; the last item (the end) alone has the last class.
+
+    Items move in the order of their counts, equal ones in their own order, to
+    the class of the largest gain, of equal gains the first; a gain must be above
+    rounding errors.
+    """
     m = len(counts) - 1
     order = np.argsort(-counts[:m].sum(axis=1), kind="stable")
     own = np.empty(m + 1, np.int64)
@@ -187,7 +194,7 @@ def exchange(counts: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndarr
         after[:, c] = counts[:, own == c].sum(axis=1)
         before[:, c] = counts[own == c].sum(axis=0)
     table = np.array([after[own == c].sum(axis=0) for c in range(classes + 1)])
-    for _ in range(sweeps):
+    for _ in range(SWEEPS_AT_MOST):
         moved = 0
         for w in order.tolist():
             a, r, c, s = own[w], after[w].copy(), before[w].copy(), counts[w, w]
@@ -219,8 +226,8 @@ def exchange(counts: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndarr
                 before[:, a] -= counts[w]
                 before[:, b] += counts[w]
         if not moved:
-            break
-    return own
+            return own
+    raise RuntimeError(f"words still move after {SWEEPS_AT_MOST} sweeps")
 
 
 def neighbour_counts(docs: DataFrame, words: dict[bytes, int], found: np.ndarray) -> DataFrame:
