@@ -217,6 +217,7 @@ def duplicate_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     listed = stored(_listed(dealt.join(places, "doc_id")))
     references = listed.where("leads").dropDuplicates(["anchor"])  # rows that share an id list theirs twice
     references = references.select("anchor", F.col("doc_id").alias("ref_id"), F.col("start").alias("ref_start"), F.col("lead").alias("ref_lead"), F.col("words").alias("ref_words"))
+    references = stored(references)  # so that nothing but a shuffle lies below the join, which Spark can then split
     pairs = listed.where("not leads").join(references, "anchor").select("doc_id", "start", "lead", "words", "ref_id", "ref_start", "ref_lead", "ref_words")
     compared = stored(_extended(pairs))
     windows = compared.select("doc_id", F.inline("rest"))
