@@ -180,9 +180,10 @@ def exchange(counts: np.ndarray, classes: int) -> np.ndarray:
     """Class of each item from their bigram counts, when no item gains by moving alone; the last item (the end) alone has the last class.
 
     Items move in the order of their counts, equal ones in their own order, to
-    the class of the largest gain, of equal gains the first; a gain must be above
-    rounding errors.
+    the class of the largest gain, of equal gains the first. A gain must be above
+    the rounding errors of the likelihood's terms, a trillionth of the largest.
     """
+    least = 1e-12 * max(1.0, float(_xlogx(counts.sum())))
     m = len(counts) - 1
     order = np.argsort(-counts[:m].sum(axis=1), kind="stable")
     own = np.empty(m + 1, np.int64)
@@ -213,7 +214,7 @@ def exchange(counts: np.ndarray, classes: int) -> np.ndarray:
             gain += _xlogx(diagonal + r + c + s) - _xlogx(diagonal)
             gain -= _xlogx(left + r.sum() + s) - _xlogx(left) + _xlogx(right + c.sum() + s) - _xlogx(right)
             b = int(np.argmax(gain[:classes]))
-            if gain[b] <= gain[a] + 1e-9:
+            if gain[b] <= gain[a] + least:
                 b = a
             table[b] += r
             table[:, b] += c
