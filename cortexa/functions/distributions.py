@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
 from math import lgamma
 
 import numpy as np
@@ -98,3 +99,37 @@ def normal_quantile(p: Column) -> Column:
         return _where_known(lambda v: np.array([NormalDist().inv_cdf(x) if 0 < x < 1 else np.nan for x in v]), p)
 
     return q(p.cast("double"))
+
+
+@lru_cache(maxsize=256)
+def rank_sum_tail(n1: int, n2: int) -> np.ndarray:
+    """The share of all orders of n1 and n2 different values in which U is at least 0, 1, ... n1 * n2.
+
+    The numbers of orders are the coefficients of a Gaussian binomial; they are
+    found by multiplying with (1 - q^(n2 + k)) / (1 - q^k) for k up to n1, as
+    shares, so that no number grows too large.
+    """
+    small, large = sorted((n1, n2))
+    counts = np.zeros(n1 * n2 + 1)
+    counts[0] = 1.0
+    for k in range(1, small + 1):
+        step = large + k
+        if step < len(counts):
+            counts[step:] -= counts[:-step].copy()
+        for first in range(min(k, len(counts))):  # divided by 1 - q^k: sums over every k-th number
+            counts[first::k] = np.cumsum(counts[first::k])
+        counts *= k / (large + k)
+    half = counts[: len(counts) // 2 + 1]  # the other half is its mirror image, and free of rounding errors only so
+    counts = np.concatenate([half, half[: len(counts) - len(half)][::-1]])
+    return np.minimum(1.0, np.cumsum(counts[::-1])[::-1] / counts.sum())
+
+
+def exact_u_pvalue(u: Column, n1: Column, n2: Column) -> Column:
+    """Two-sided exact p of the larger U of two groups without ties; keys with the same sizes share one distribution."""
+
+    @F.pandas_udf("double")
+    def p(u: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
+        values = [None if pd.isna(x) or not (a > 0 and b > 0) else min(1.0, 2 * rank_sum_tail(int(a), int(b))[int(np.ceil(x))]) for x, a, b in zip(u, n1, n2, strict=True)]
+        return pd.Series(values, dtype=float)
+
+    return p(u.cast("double"), n1.cast("double"), n2.cast("double"))

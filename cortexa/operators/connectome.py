@@ -5,15 +5,18 @@ A graph is a table of edges (i, j, w); an undirected one has i < j only.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalar import distance, finite_or_zero, to_z
 from ..sources.shared import stored
+from .windows import sum_below
 
-#: Nodes of a block of the correlation kernel: two blocks of a thousand series and their product fit in a few MB.
-BLOCK = 1024
+#: Nodes of a block of the correlation kernel, where all pairs are asked for and where few are: a product has 32 or 128 MB.
+BLOCK, SPARSE_BLOCK = 2048, 4096
 
 
 def standardised(series: DataFrame, node: str = "node", x: str = "x") -> DataFrame:
@@ -34,44 +37,57 @@ def varying(series: DataFrame, x: str = "x", least: float = 1e-6) -> DataFrame:
     return series.where(F.sqrt(F.greatest(F.lit(0.0), total(F.transform(xs, lambda v: v * v)) / F.size(xs) - mean * mean)) > least)
 
 
-def correlation_edges(series: DataFrame, keys: list[str] = (), node: str = "node", x: str = "x", above: float | None = None, coords: list[str] = (), hemi: str | None = None, local_mm: float = 0.0, block: int = BLOCK, nodes: int | None = None) -> DataFrame:
+def correlation_edges(series: DataFrame, keys: list[str] = (), node: str = "node", x: str = "x", above: float | None = None, coords: list[str] = (), hemi: str | None = None, local_mm: float = 0.0, block: int | None = None, nodes: int | None = None) -> DataFrame:
     """keys, i, j, w for i < j: correlations of all pairs of nodes, or those above a bound.
 
-    Nodes are dealt into blocks of about ``block``, and each pair of blocks is
-    one product of matrices in one task, which passes on only the edges asked
-    for. With ``coords`` and ``local_mm``, pairs nearer than that within a
-    hemisphere (both cortical: hemi 0 or 1) are left out. The number of nodes
-    is counted unless it is given.
+    Nodes are dealt into blocks, and a block's series packed into one row. Each
+    pair of blocks, of the upper triangle alone, is one product of matrices in
+    one task, which passes on only the edges asked for; so a series is sent as
+    often as there are blocks. With ``coords`` and ``local_mm``, pairs nearer
+    than that within a hemisphere (both cortical: hemi 0 or 1) are left out. The
+    number of nodes is counted unless it is given.
     """
+    block = block or (BLOCK if above is None else SPARSE_BLOCK)
     rows = standardised(series, node, x)
     extra = [*coords, *([hemi] if hemi else [])]
     blocks = max(1, -(-(series.select(F.countDistinct(node)).first()[0] if nodes is None else nodes) // block))
     own = F.pmod(F.xxhash64(node), F.lit(blocks)).cast("int")
-    rows = rows.select(*keys, F.col(node).cast("long").alias("node"), x, *extra, own.alias("own"))
-    pairs = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = rows.select(*keys, F.col(node).cast("long").alias("node"), x, *(F.col(c).cast("double").alias(c) for c in extra), own.alias("own"))
+    kinds = dict(rows.dtypes)
+    given = "".join(f"`{k}` {kinds[k]}, " for k in keys)
+
+    def pack(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("node")
+        packed = [group["node"].to_numpy(np.int64), np.stack(group[x].to_numpy()).astype(float), group[extra].to_numpy(float)]
+        return pd.DataFrame({**{k: group[k].iloc[:1] for k in keys}, "own": group["own"].iloc[:1], "width": [packed[1].shape[1]], **{name: [v.tobytes()] for name, v in zip("nxe", packed, strict=True)}})
+
+    sent = rows.groupBy(*keys, "own").applyInPandas(pack, f"{given}own int, width int, n binary, x binary, e binary")
+    pairs = sent.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     pairs = pairs.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other"))
 
+    def unpack(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = np.frombuffer(row.n, np.int64)
+        return n, np.frombuffer(row.x, float).reshape(len(n), -1), np.frombuffer(row.e, float).reshape(len(n), len(extra))
+
     def product(group: pd.DataFrame) -> pd.DataFrame:
         p, q = group["p"].iloc[0], group["q"].iloc[0]
-        a = group[group["own"] == p].sort_values("node")
-        b = group[group["own"] == q].sort_values("node")
-        if a.empty or b.empty:
+        ends = [unpack(r) for side in (p, q) for r in group[group["own"] == side].itertuples()]
+        if p != q and len(ends) < 2:
             return pd.DataFrame({**{k: group[k].iloc[:0] for k in keys}, "i": [], "j": [], "w": []})
-        w = np.clip(np.stack(a[x].to_numpy()) @ np.stack(b[x].to_numpy()).T, -1, 1)
+        (na, xa, ea), (nb, xb, eb) = ends[0], ends[-1]
+        w = np.clip(xa @ xb.T, -1, 1)
         keep = np.ones(w.shape, bool) if above is None else w > above
         if p == q:
-            keep &= a["node"].to_numpy()[:, None] < b["node"].to_numpy()[None, :]
+            keep &= na[:, None] < nb[None, :]
         if local_mm > 0:
-            gap = np.sqrt(sum((a[c].to_numpy()[:, None] - b[c].to_numpy()[None, :]) ** 2 for c in coords))
-            ha, hb = a[hemi].to_numpy()[:, None], b[hemi].to_numpy()[None, :]
+            gap = np.sqrt(sum((ea[:, c][:, None] - eb[:, c][None, :]) ** 2 for c in range(len(coords))))
+            ha, hb = ea[:, -1][:, None], eb[:, -1][None, :]
             keep &= ~((gap < local_mm) & (ha == hb) & (ha < 2) & (hb < 2))
-        r, s = np.nonzero(keep)
-        u, v = a["node"].to_numpy()[r], b["node"].to_numpy()[s]
-        return pd.DataFrame({**{k: group[k].iloc[0] for k in keys}, "i": np.minimum(u, v), "j": np.maximum(u, v), "w": w[r, s]})
+        r, c = np.nonzero(keep)
+        u, v = na[r], nb[c]
+        return pd.DataFrame({**{k: group[k].iloc[0] for k in keys}, "i": np.minimum(u, v), "j": np.maximum(u, v), "w": w[r, c]})
 
-    kinds = dict(rows.dtypes)
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "i long", "j long", "w double"])
-    return pairs.groupBy(*keys, "p", "q").applyInPandas(product, schema)
+    return pairs.groupBy(*keys, "p", "q").applyInPandas(product, f"{given}i long, j long, w double")
 
 
 def pairwise_correlations(long: DataFrame, keys: list[str], node: str, t: str, value: str) -> DataFrame:
@@ -96,25 +112,51 @@ def fisher(edges: DataFrame, kind: str = "atanh") -> DataFrame:
     return edges.withColumn("w", finite_or_zero(to_z(F.col("w"), kind)))
 
 
-#: Steps of the quantile sketch that brackets an exact limit.
-ACCURACY = 10_000
+#: Steps of the quantile sketch that brackets an exact limit, and distinct values that are put in order in the end.
+ACCURACY, ORDERED = 10_000, 20_000
 
 
-def exact_quantile(rows: DataFrame, share: float, keys: list[str], value: str = "w") -> DataFrame:
+def exact_quantile(rows: DataFrame, share: float, keys: list[str], value: str = "w", ordered: int = ORDERED) -> DataFrame:
     """keys, __limit: the interpolated quantile of a stored table's values, without all of them in one place.
 
-    A mergeable sketch gives a bracket around it, and only the values inside
-    (about a two-thousandth of all) are put in order.
+    The two values that it lies between are bracketed by mergeable sketches until
+    the bracket has at most ``ordered`` distinct values; only these, with their
+    counts, are put in order, so ties take no room. A bracket that misses either
+    value is an error. Null and NaN values are left out; a key without others
+    has no row.
     """
-    near = [max(0.0, share - 2.5 / ACCURACY), min(1.0, share + 2.5 / ACCURACY)]
-    bracket = rows.groupBy(*keys).agg(F.count("*").alias("__n"), F.percentile_approx(value, near, ACCURACY).alias("__b"))
-    inside = rows.join(F.broadcast(bracket), keys) if keys else rows.crossJoin(F.broadcast(bracket))
-    w, low, high = F.col(value), F.col("__b")[0], F.col("__b")[1]
-    found = inside.groupBy(*keys).agg(F.max("__n").alias("__n"), F.count_if(w < low).alias("__below"), F.array_sort(F.collect_list(F.when((w >= low) & (w <= high), w))).alias("__v"))
-    at = (F.col("__n") - 1) * F.lit(share) - F.col("__below")
-    one = lambda k: F.get("__v", F.greatest(F.lit(0), F.least(F.size("__v") - 1, k.cast("int"))))
-    first, second = one(F.floor(at)), one(F.ceil(at))
-    return found.select(*keys, (first + (second - first) * (at - F.floor(at))).alias("__limit"))
+    w = F.col(value).cast("double")
+    known = rows.select(*keys, w.alias("__w")).where(w.isNotNull() & ~F.isnan(w))
+    kept = [*keys, "__n", "__r", "__s", "__low", "__high"]
+    at = (F.col("__n") - 1) * F.lit(float(share))
+
+    def beside(state: DataFrame) -> DataFrame:  # one row a key, as the limits that come of it
+        return known.join(F.broadcast(state), keys) if keys else known.crossJoin(F.broadcast(state))
+
+    inside = F.col("__w").between(F.col("__low"), F.col("__high"))
+    whole = known.groupBy(*keys).agg(F.count("*").alias("__n"), F.min("__w").alias("__low"), F.max("__w").alias("__high"), F.approx_count_distinct("__w").alias("__distinct")).where("__n > 0")
+    state = stored(whole.select(*keys, "__n", F.floor(at).alias("__r"), F.ceil(at).alias("__s"), "__low", "__high", F.lit(0).cast("long").alias("__below"), F.col("__n").alias("__upto"), "__distinct"))
+    points = [k / ACCURACY for k in range(0, ACCURACY + 1, 5)]
+    while not (wide := state.where(F.col("__distinct") > ordered)).isEmpty():
+        n = F.col("__upto") - F.col("__below")
+        near = lambda rank, slack: ((rank - F.col("__below")) / n + slack / ACCURACY) * (len(points) - 1)
+        places = [F.greatest(F.lit(0), F.floor(near(F.col("__r"), -2.5))), F.least(F.lit(len(points) - 1), F.ceil(near(F.col("__s") + 1, 2.5)))]
+        sketches = beside(wide.select(*kept, *(x.cast("int").alias(f"__p{k}") for k, x in enumerate(places)))).where(inside)
+        sketches = sketches.groupBy(*kept, "__p0", "__p1").agg(F.percentile_approx("__w", points, ACCURACY).alias("__q"))
+        closer = sketches.select(*keys, "__n", "__r", "__s", F.get("__q", F.col("__p0")).alias("__low"), F.get("__q", F.col("__p1")).alias("__high"))
+        counts = [F.count_if(F.col("__w") < F.col("__low")), F.count_if(F.col("__w") <= F.col("__high")), F.approx_count_distinct(F.when(inside, F.col("__w")))]
+        found = stored(beside(stored(closer)).groupBy(*kept).agg(*(c.alias(x) for c, x in zip(counts, ("__below", "__upto", "__distinct"), strict=True))))
+        before = wide.select(*keys, F.col("__low").alias("__l"), F.col("__high").alias("__h"))
+        same = (found.join(before, keys) if keys else found.crossJoin(F.broadcast(before))).where("__low = __l AND __high = __h")
+        if not found.where("__below > __r OR __upto <= __s").isEmpty() or not same.isEmpty():
+            raise ArithmeticError("the bracket of a quantile misses it or cannot be narrowed")
+        state = stored(state.where(F.col("__distinct") <= ordered).unionByName(found))
+    counts = beside(state).where(inside).groupBy(*kept, "__below", "__w").agg(F.count("*").alias("__k"))
+    # At most ``ordered`` rows a key, about.
+    upto = F.col("__below") + F.sum("__k").over(Window.partitionBy(*kept, "__below").orderBy("__w"))
+    ends = [F.min(F.when(F.col("__to") > F.col(rank), F.col("__w"))).alias(name) for rank, name in (("__r", "__first"), ("__s", "__second"))]
+    found = counts.withColumn("__to", upto).groupBy(*kept).agg(*ends)
+    return found.select(*keys, (F.col("__first") + (F.col("__second") - F.col("__first")) * (at - F.col("__r"))).alias("__limit"))
 
 
 def proportional_threshold(edges: DataFrame, share: float, *keys: str) -> DataFrame:
@@ -247,6 +289,34 @@ def matrix_correlations(a: DataFrame, b: DataFrame, parts: tuple[str, ...]) -> D
     return both.agg(F.array(*cells).alias("c")).select(F.inline("c"))
 
 
+def consensus_graph(edges: DataFrame, lengths: DataFrame, subject: str = "subject", kind: str = "kind") -> DataFrame:
+    """i, j, w, n, kind: a group's graph that keeps the lengths of its subjects' edges.
+
+    ``edges`` has each subject's edges (i < j, w), ``lengths`` each pair's
+    distance and kind, such as within or between hemispheres. For each kind, the
+    lengths of all subjects' positive edges are cut into as many quantile bins as
+    a subject has edges on average; of each bin's pairs the one stays that most
+    subjects (n) have, of equals that of the largest mean weight among them, then
+    the smallest (i, j). Pairs without a length are left out.
+    """
+    subjects = edges.select(F.countDistinct(subject).alias("__subjects"))
+    pairs = edges.where("w > 0").groupBy("i", "j").agg(F.count("*").alias("n"), F.avg("w").alias("w"))
+    pairs = stored(pairs.join(lengths.select("i", "j", "distance", kind), ["i", "j"]))
+    sizes = pairs.groupBy(kind).agg(F.sum("n").alias("__all")).crossJoin(F.broadcast(subjects))  # one row a kind, one row
+    sizes = stored(sizes.select(kind, "__all", (F.col("__all") / F.col("__subjects")).alias("__edges")))
+    steps = []
+    for row in sizes.collect():
+        own = pairs.where(F.col(kind).eqNullSafe(F.lit(row[kind]))).groupBy("distance").agg(F.sum("n").cast("double").alias("__n"))
+        share = (F.col("__below") + F.col("__n")) / row["__all"]
+        steps.append(sum_below(own, [], "distance", "__n", "__below").select("distance", F.lit(row[kind]).alias(kind), F.bround(share * row["__edges"]).cast("long").alias("bin"), F.floor(F.lit(row["__edges"])).cast("long").alias("__last")))
+    if not steps:
+        return pairs.select("i", "j", "w", "n", kind)
+    bins = reduce(DataFrame.union, steps).where("bin BETWEEN 1 AND __last")
+    order = F.struct("n", "w", (-F.col("i")).alias("i"), (-F.col("j")).alias("j"))
+    best = pairs.join(bins, ["distance", kind]).groupBy(kind, "bin").agg(F.max(order).alias("b"))
+    return best.select((-F.col("b.i")).alias("i"), (-F.col("b.j")).alias("j"), F.col("b.w").alias("w"), F.col("b.n").alias("n"), kind)
+
+
 def node_means(edges: DataFrame, value: str) -> DataFrame:
     """Mean of an edge statistic over each node's edges, nulls left out."""
     return both_ways(edges.select("i", "j", F.col(value).alias("w"))).groupBy(F.col("i").alias("node")).agg(F.avg("w").alias("mean"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..sources.shared import stored
+
 
 def overlaps(subject: DataFrame, target: DataFrame, keys: list[str] = (), node: str = "node") -> DataFrame:
     """module, network, common, jaccard: contingency of two labellings; module -1 and networks below 1 do not count."""
@@ -44,23 +48,53 @@ def informative_thresholds(labels: DataFrame, least: int = 5, above: float = 0.0
     return labels.join(F.broadcast(kept.select("threshold")), "threshold", "left_semi")
 
 
-def eta_squared(rows: DataFrame, templates: DataFrame, least: float | None = None, skipped: tuple[int, ...] = ()) -> DataFrame:
+#: Template values up to which every task holds all of them.
+TEMPLATE_VALUES = 2_000_000
+
+
+def eta_squared(rows: DataFrame, templates: DataFrame, least: float | None = None, skipped: tuple[int, ...] = (), held: int = TEMPLATE_VALUES) -> DataFrame:
     """node, template, eta2: likeness of each node's map (node, target, w) to each template (template, target, w).
 
-    Template values at or below ``least`` are left out, as are skipped templates.
+    Template values at or below ``least`` are left out, as are skipped templates
+    and null values. Of both maps over the targets that they share only the sums
+    of a, a², b, b² and a·b are needed. A node's map is compared with all
+    templates at once, as a product with their matrix, where that is small
+    enough for every task; else template by template in a join.
     """
     t = templates.where(~F.col("template").isin(*skipped)) if skipped else templates
     t = t if least is None else t.where(F.col("w") > least)
-    both = rows.select("node", "target", F.col("w").alias("a")).join(t.select("template", "target", F.col("w").alias("b")), "target")
-    mean = (F.col("a") + F.col("b")) / 2
-    s = both.groupBy("node", "template").agg(
-        F.count("*").alias("n"),
-        F.sum((F.col("a") - mean) * (F.col("a") - mean) + (F.col("b") - mean) * (F.col("b") - mean)).alias("within"),
-        F.avg(mean).alias("grand"),
-        F.sum(F.col("a") * F.col("a") + F.col("b") * F.col("b")).alias("squares"),
-    )
-    total = F.col("squares") - 2 * F.col("n") * F.col("grand") * F.col("grand")
-    return s.select("node", "template", (1 - F.try_divide(F.col("within"), total)).alias("eta2"))
+    t = stored(t.select("template", F.col("target").cast("long").alias("target"), F.col("w").cast("double").alias("w")).where("w is not null and target is not null").groupBy("template", "target").agg(F.avg("w").alias("w")))
+    maps = rows.select("node", F.col("target").cast("long").alias("target"), F.col("w").cast("double").alias("w")).where("w is not null")
+    if t.count() > held:
+        both = maps.withColumnRenamed("w", "a").join(t.withColumnRenamed("w", "b"), "target")
+        products = {"sa": F.col("a"), "sb": F.col("b"), "aa": F.col("a") * F.col("a"), "bb": F.col("b") * F.col("b"), "ab": F.col("a") * F.col("b")}
+        s = both.groupBy("node", "template").agg(F.count("*").alias("n"), *(F.sum(v).alias(k) for k, v in products.items()))
+        squares, grand = F.col("aa") + F.col("bb"), (F.col("sa") + F.col("sb")) / 2 / F.col("n")
+        return s.select("node", "template", (1 - F.try_divide(squares / 2 - F.col("ab"), squares - 2 * F.col("n") * grand * grand)).alias("eta2"))
+    kinds = dict(rows.dtypes) | {"template": dict(t.dtypes)["template"]}
+    table = t.toPandas()  # at most ``held`` values
+    names, targets = sorted(table["template"].unique()), np.sort(table["target"].unique())
+    matrix = np.full((len(targets), len(names)), np.nan)
+    matrix[np.searchsorted(targets, table["target"]), np.searchsorted(names, table["template"])] = table["w"]
+    shared = rows.sparkSession.sparkContext.broadcast((names, targets, matrix))
+
+    def compared(group: pd.DataFrame) -> pd.DataFrame:
+        names, targets, matrix = shared.value
+        target, a = group["target"].to_numpy(), group["w"].to_numpy(float)
+        known = np.isin(target, targets)
+        a, b = a[known], matrix[np.searchsorted(targets, target[known])]
+        there = ~np.isnan(b)
+        b = np.where(there, b, 0)
+        n, sa, aa = there.sum(axis=0), a @ there, (a * a) @ there
+        squares, grand = aa + (b * b).sum(axis=0), (sa + b.sum(axis=0)) / 2 / np.maximum(1, n)
+        total = squares - 2 * n * grand * grand
+        with np.errstate(divide="ignore", invalid="ignore"):
+            eta = np.where(total != 0, 1 - (squares / 2 - a @ b) / total, np.nan)
+        shares = np.flatnonzero(n)
+        return pd.DataFrame({"node": group["node"].iloc[0], "template": [names[k] for k in shares], "eta2": eta[shares]})
+
+    found = maps.groupBy("node").applyInPandas(compared, f"node {kinds['node']}, template {kinds['template']}, eta2 double")
+    return found.withColumn("eta2", F.nanvl("eta2", F.lit(None)))
 
 
 def winner(eta: DataFrame) -> DataFrame:

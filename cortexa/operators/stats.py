@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.distributions import f_pvalue, normal_pvalue, t_pvalue
+from ..functions.distributions import exact_u_pvalue, f_pvalue, normal_pvalue, t_pvalue
 from .windows import by_part, ranged, sum_below
 
 
@@ -45,9 +45,12 @@ def average_rank(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return known.join(ranks, [*keys, value])
 
 
-def mann_whitney(df: DataFrame, keys: list[str], group: str, value: str, a, b, p: bool = True) -> DataFrame:
+def mann_whitney(df: DataFrame, keys: list[str], group: str, value: str, a, b, p: bool = True, exact_up_to: int = 8) -> DataFrame:
     """u_a, u_b and the tie-corrected z with continuity correction (and p) per key.
 
+    p is exact where no values are tied and the smaller group has up to
+    ``exact_up_to`` of them, else that of the normal z.
+
     Values are counted first, so that the ranking windows hold a row for each
     distinct value of a key and not one for each observation.
     """
@@ -59,8 +62,12 @@ def mann_whitney(df: DataFrame, keys: list[str], group: str, value: str, a, b, p
     n1, n2 = F.col("n_a").cast("double"), F.col("n_b").cast("double")
     n, u = n1 + n2, F.col("__r_a") - n1 * (n1 + 1) / 2
     sd = F.sqrt(n1 * n2 / 12 * (n + 1 - F.try_divide(F.col("__ties"), n * (n - 1))))
-    out = s.select(*keys, "n_a", "n_b", u.alias("u_a"), (n1 * n2 - u).alias("u_b"), F.try_divide(F.greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5, sd).alias("z"))
-    return out.withColumn("p", F.least(F.lit(1.0), normal_pvalue(F.col("z")))) if p else out
+    out = s.select(*keys, "n_a", "n_b", u.alias("u_a"), (n1 * n2 - u).alias("u_b"), F.try_divide(F.greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5, sd).alias("z"), "__ties")
+    if not p:
+        return out.drop("__ties")
+    few = (F.col("__ties") == 0) & (F.least("n_a", "n_b") > 0) & (F.least("n_a", "n_b") <= exact_up_to)
+    exact = exact_u_pvalue(F.when(few, F.greatest("u_a", "u_b")), F.col("n_a"), F.col("n_b"))
+    return out.withColumn("p", F.coalesce(exact, F.when(F.col("z") <= 0, 1.0).otherwise(normal_pvalue(F.col("z"))))).drop("__ties")
 
 
 def normality(df: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from math import lgamma
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,13 @@ def confound_columns(global_signal: bool = True) -> list[str]:
     return [f"{c}{e}" for c in base for e in EXPANSIONS]
 
 
+def expanded_confounds(df: DataFrame, keys: list[str], t: str, columns: list[str]) -> DataFrame:
+    """Each base column with its change from the frame before (null in the first), its square and the change's square: the columns of ``confound_columns``."""
+    change = {f"{c}_derivative1": F.col(c) - F.lag(c).over(Window.partitionBy(*keys).orderBy(t)) for c in columns}
+    df = df.withColumns(change)
+    return df.withColumns({f"{c}_power2": F.col(c) * F.col(c) for c in [*columns, *change]})
+
+
 def friston(df: DataFrame, keys: list[str], t: str, columns: list[str]) -> DataFrame:
     """Each motion column with its lag (0 at first), its square and the lag's square."""
     w = Window.partitionBy(*keys).orderBy(t)
@@ -201,6 +209,87 @@ def response_kernel(tr: float, length: float = 32.0) -> list[float]:
     return (h / h.sum()).tolist()
 
 
+#: Seconds that a response lasts, and the steps by which its derivatives in time and in width are taken.
+RESPONSE_LENGTH, TIME_STEP, WIDTH_STEP = 32.0, 0.1, 0.01
+
+
+def response(t: Column, width: float = 1.0) -> Column:
+    """The double-gamma response ``t`` seconds after an impulse, 0 before it and after its length; its first gamma wider by ``width``."""
+    shape = 6 / width
+    first = F.exp((shape - 1) * F.log(t / width) - t / width - lgamma(shape)) / width
+    second = F.exp(15 * F.log(t) - t - lgamma(16.0))
+    return F.when((t > 0) & (t <= RESPONSE_LENGTH), first - second / 6).otherwise(0.0)
+
+
+def responses(t: Column) -> dict[str, Column]:
+    """The response, its derivative in time (an earlier response minus a later one), and that in width."""
+    return {
+        "response": response(t),
+        "derivative": (response(t) - response(t - TIME_STEP)) / TIME_STEP,
+        "dispersion": (response(t) - response(t, 1 + WIDTH_STEP)) / WIDTH_STEP,
+    }
+
+
+def centred_modulation(events: DataFrame, keys: list[str], kind: str, modulation: str) -> DataFrame:
+    """The modulation minus its mean over the events of a kind in a run; a missing one counts as the mean."""
+    means = events.groupBy(*keys, kind).agg(F.avg(modulation).alias("__mean"))
+    value = F.coalesce(F.col(modulation) - F.col("__mean"), F.lit(0.0))
+    return events.join(means, [*keys, kind]).withColumn(modulation, value).drop("__mean")
+
+
+def response_columns(events: DataFrame, keys: list[str], kind: str, onset: str, tr: float, n_frames: int, duration: str | None = None, modulation: str | None = None, oversampling: int = 10, frame_at: float = 0.5) -> DataFrame:
+    """keys, kind, frame, response, derivative, dispersion (and each with ``_mod``): what events of a kind evoke in each frame that any reaches.
+
+    Events lie on a grid of ``oversampling`` steps a frame: at the nearest step,
+    or with a duration (seconds) at all steps from there until its end, each
+    weighing its part of a second; an event without one is an impulse. A frame is
+    measured ``frame_at`` of its length after its start, and the responses are
+    evaluated at the true lag from each step and summed. With ``modulation``
+    each event weighs, besides, its modulation centred over the run's events of
+    its kind. Events without an onset are left out; frames before 0 and from
+    ``n_frames`` on as well.
+    """
+    step = tr / oversampling
+    rows = events.where(F.col(onset).isNotNull())
+    if modulation:
+        rows = centred_modulation(rows, keys, kind, modulation)
+    first = F.round(F.col(onset) / step).cast("long")
+    if duration is None:
+        rows = rows.withColumn("__at", first * F.lit(step)).withColumn("__w", F.lit(1.0))
+    else:
+        steps = F.greatest(F.lit(1), F.round(F.coalesce(F.col(duration), F.lit(0.0)) / step).cast("int"))
+        rows = rows.withColumn("__w", F.when(F.coalesce(F.col(duration), F.lit(0.0)) > 0, F.lit(step)).otherwise(1.0))
+        rows = rows.withColumn("__at", F.explode(F.sequence(first, first + steps - 1))).withColumn("__at", F.col("__at") * F.lit(step))
+    low = F.greatest(F.lit(0), F.ceil(F.col("__at") / tr - frame_at)).cast("long")
+    high = F.least(F.lit(n_frames - 1), F.floor((F.col("__at") + RESPONSE_LENGTH + TIME_STEP) / tr - frame_at)).cast("long")
+    rows = rows.withColumn("frame", F.explode(F.when(low <= high, F.sequence(low, high))))
+    lag = (F.col("frame") + frame_at) * tr - F.col("__at")
+    made = {name: column * F.col("__w") for name, column in responses(lag).items()}
+    if modulation:
+        made |= {f"{name}_mod": column * F.col(modulation) for name, column in dict(made).items()}
+    return rows.groupBy(*keys, kind, "frame").agg(*(F.sum(column).alias(name) for name, column in made.items()))
+
+
+def orthogonalised(columns: DataFrame, keys: list[str], column: str, to: str) -> DataFrame:
+    """``column`` without what ``to`` explains of it within keys, over the frames that are listed (others are 0 in both)."""
+    fit = columns.groupBy(*keys).agg(F.try_divide(F.sum(F.col(column) * F.col(to)), F.sum(F.col(to) * F.col(to))).alias("__b"))
+    return columns.join(fit, keys).withColumn(column, F.col(column) - F.coalesce("__b", F.lit(0.0)) * F.col(to)).drop("__b")
+
+
+def filled_design(columns: DataFrame, keys: list[str], kind: str, kinds: list[str], names: list[str], n_frames: int, scale: bool = False) -> DataFrame:
+    """A row for each frame of each run, and a column ``<kind>_<name>`` for each kind and response, 0 where nothing is listed; with ``scale`` each divided by its largest value of the run."""
+    cells = columns.groupBy(*keys, "frame").pivot(kind, kinds).agg(*(F.first(n).alias(n) for n in names))
+    if len(names) == 1:
+        cells = cells.select(*keys, "frame", *(F.col(k).alias(f"{k}_{names[0]}") for k in kinds))
+    wide = [f"{k}_{n}" for k in kinds for n in names]
+    grid = columns.select(*keys).distinct().withColumn("frame", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_frames - 1).cast("long"))))
+    out = grid.join(cells, [*keys, "frame"], "left").fillna(0.0, wide)
+    if not scale:
+        return out
+    top = out.groupBy(*keys).agg(*(F.max(c).alias(f"__{c}") for c in wide))
+    return out.join(top, keys).select(*keys, "frame", *(F.coalesce(F.try_divide(F.col(c), F.col(f"__{c}")), F.lit(0.0)).alias(c) for c in wide))
+
+
 def convolved(design: DataFrame, keys: list[str], columns: list[str], kernel: list[float]) -> DataFrame:
     """Columns of a design matrix convolved with a kernel, in frame order."""
     w = Window.partitionBy(*keys).orderBy("frame")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..operators import connectome as cm, gradients as grad, stats, timeseries as ts
-from ..sources import files
+from ..sources import files, ranged
 from ..sources.shared import scratch_folder
 from .tables import CTE, events, p_of_t, read, rounded, series
 
@@ -37,6 +37,28 @@ def matrix_file(spark, d):
     return files.read_matrix(spark, path).select("i", "j", "w")
 
 
+def matrix_splits(spark, d):
+    """A matrix with a row for each order, in one file that several tasks read."""
+    line = F.concat_ws(",", "o_orderkey", "o_custkey", F.lit(0.5), F.month("o_orderdate"))
+    read(spark, d, "orders").select("o_orderkey", line.alias("value")).coalesce(1).sortWithinPartitions("o_orderkey").select("value").write.text(path := _place(spark))
+    return rounded(files.read_matrix(spark, path).select("i", "j", "w"))
+
+
+def array_rows(spark, d):
+    """Vectors in .npz files, every value read again from ranges of them."""
+    ranged.write_rows(series(spark, d), path := _place(spark), range_bytes=64 << 10)
+    rows = ranged.read_rows(spark, path, index="node", range_bytes=16 << 10)
+    return rounded(rows.select("node", F.posexplode("x").alias("t", "value")))
+
+
+def array_rows_compressed(spark, d):
+    """The same through compressed archives: each vector's sum and scalar product with its places."""
+    ranged.write_rows(series(spark, d), path := _place(spark), compressed=True, range_bytes=64 << 10)
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+    rows = ranged.read_rows(spark, path, index="node")
+    return rounded(rows.select("node", F.size("x").alias("n"), total("x").alias("total"), total(F.transform("x", lambda v, k: v * k)).alias("by_place")))
+
+
 def scalar_file(spark, d):
     """A file with one number: the mean balance."""
     read(spark, d, "customer").agg(F.round(F.avg("c_acctbal"), 4).cast("string").alias("value")).write.text(path := _place(spark))
@@ -141,7 +163,7 @@ def resampled_map(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    csv_table, tsv_columns, matrix_file, scalar_file, spaced_table, array_files, edges_by_density, appended_table, upserted_file, stacked_series, subject_similarity,
+    csv_table, tsv_columns, matrix_file, matrix_splits, array_rows, array_rows_compressed, scalar_file, spaced_table, array_files, edges_by_density, appended_table, upserted_file, stacked_series, subject_similarity,
     confound_names, snapped_events, voxel_coordinates, affinity_cosine, affinity_angle, significant_parts, resampled_map,
 )}
 
@@ -154,6 +176,9 @@ SQL = {name: f"WITH {CTE.strip()}{body if body.startswith(',') else ' ' + body}"
     "csv_table": "SELECT c_custkey, c_nationkey, round(CASE WHEN c_acctbal > 0 THEN c_acctbal END, 6) + 0.0 AS balance FROM customer",
     "tsv_columns": "SELECT s_suppkey, s_nationkey FROM supplier",
     "matrix_file": ", n AS (SELECT CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS INTEGER) AS i, [CAST(n_nationkey AS DOUBLE), n_regionkey, n_nationkey * 0.5] AS w FROM nation) SELECT i, CAST(unnest(range(3)) AS INTEGER) AS j, unnest(w) AS w FROM n",
+    "matrix_splits": ", o AS (SELECT CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS INTEGER) AS i, [CAST(o_orderkey AS DOUBLE), o_custkey, 0.5, month(o_orderdate)] AS w FROM orders) SELECT i, CAST(unnest(range(4)) AS INTEGER) AS j, unnest(w) AS w FROM o",
+    "array_rows": "SELECT vec_id AS node, CAST(unnest(range(len(embedding))) AS INTEGER) AS t, round(CAST(unnest(embedding) AS DOUBLE), 6) + 0.0 AS value FROM embeddings",
+    "array_rows_compressed": "SELECT vec_id AS node, CAST(len(embedding) AS INTEGER) AS n, round(list_sum(CAST(embedding AS DOUBLE[])), 6) + 0.0 AS total, round(list_sum(list_transform(range(len(embedding)), lambda k: k * CAST(embedding[k + 1] AS DOUBLE))), 6) + 0.0 AS by_place FROM embeddings",
     "scalar_file": "SELECT round(avg(c_acctbal), 4) AS value FROM customer",
     "spaced_table": "SELECT r_regionkey AS region, CAST(length(r_name) AS INTEGER) AS letters FROM region",
     "array_files": "SELECT vec_id AS node, CAST(len(embedding) AS INTEGER) AS n, round(list_sum(CAST(embedding AS DOUBLE[])), 6) + 0.0 AS total FROM embeddings",

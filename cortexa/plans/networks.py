@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..operators import aggregates as agg, connectome as cm, gradients as grad, graph, labels as lab, timeseries as ts
+from ..operators import aggregates as agg, connectome as cm, gradients as grad, graph, labels as lab, mapequation, timeseries as ts
+from ..sources.shared import stored
 from .tables import CTE, events, gradients, module, read, rounded, series
 
 SHARE = 0.1
@@ -176,6 +177,40 @@ def label_propagation(spark, d):
     return graph.label_propagation(cm.proportional_threshold(_edges(spark, d), SHARE))
 
 
+#: Densities of the graphs whose modules are looked for.
+DENSITIES = (0.02, 0.05)
+
+
+def thresholded(spark, d, density: float) -> DataFrame:
+    return cm.proportional_threshold(_edges(spark, d), density)
+
+
+def map_communities(spark, d):
+    """Modules by the map equation of the correlation graph at two densities; those of fewer than three nodes keep their name."""
+    edges = [thresholded(spark, d, x).withColumn("density", F.lit(x)) for x in DENSITIES]
+    return rounded(mapequation.map_communities(edges[0].union(edges[1]), "density"))
+
+
+def map_code_lengths(spark, d):
+    """How well labels, and modules by the first axis, tell a walk on the thresholded graph."""
+    edges = stored(thresholded(spark, d, SHARE))
+    kinds = [gradients(spark, d).select("node", F.col("label").cast("int").alias("module")), _modules(spark, d)]
+    keyed = lambda df, k: df.withColumn("kind", F.lit(("label", "axis")[k]))
+    found = mapequation.code_length(keyed(edges, 0).union(keyed(edges, 1)), keyed(kinds[0], 0).union(keyed(kinds[1], 1)), "kind")
+    return rounded(found)
+
+
+def consensus_graph(spark, d):
+    """A group's graph over twelve subjects that keeps the lengths of their edges, within hemispheres and between them."""
+    nodes = gradients(spark, d).where("node < 120")
+    rows = read(spark, d, "lineitem").select(F.pmod("l_suppkey", F.lit(12)).alias("subject"), F.pmod("l_partkey", F.lit(120)).alias("a"), F.pmod("l_orderkey", F.lit(120)).alias("b"), "l_quantity")
+    edges = rows.where("a <> b").groupBy("subject", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j")).agg((F.sum("l_quantity") - 20).alias("w"))
+    at = lambda end: nodes.select(F.col("node").alias(end), *(F.col(c).alias(f"{c}{end}") for c in ("g1", "g2", "g3", "hemi")))
+    gap = F.sqrt(F.pow(F.col("g1i") - F.col("g1j"), 2) + F.pow(F.col("g2i") - F.col("g2j"), 2) + F.pow(F.col("g3i") - F.col("g3j"), 2))
+    lengths = edges.select("i", "j").distinct().join(at("i"), "i").join(at("j"), "j").select("i", "j", F.round(gap, 3).alias("distance"), (F.col("hemii") == F.col("hemij")).alias("kind"))
+    return rounded(cm.consensus_graph(edges, lengths).withColumnRenamed("kind", "within"))
+
+
 def nearest_centroid(spark, d):
     g = gradients(spark, d)
     centres = agg.centroids(g, ["hemi", "label"], ["g1", "g2", "g3"], "mean")
@@ -261,6 +296,23 @@ def procrustes(spark, d):
     return rounded(grad.gradient_correlations(turned, part(1), 3))
 
 
+def _confounds(spark, d):
+    """run, t and the base confounds: the mean vectors of nine classes of a run's nodes."""
+    base = [*ts.MOTION, *ts.PHYSIOLOGY, ts.GLOBAL]
+    name = F.element_at(F.array(*(F.lit(c) for c in base)), (F.pmod("node", F.lit(9)) + 1).cast("int"))
+    entries = series(spark, d).select(F.pmod("node", F.lit(4)).alias("run"), name.alias("name"), F.posexplode("x").alias("t", "v"))
+    return entries.groupBy("run", "t").pivot("name", base).agg(F.avg("v"))
+
+
+def confound_regression(spark, d):
+    """Vectors as series, cleaned of all 36 confounds and a trend by a fit to the kept frames, with and without the global signal."""
+    confounds = ts.expanded_confounds(_confounds(spark, d), ["run"], "t", [*ts.MOTION, *ts.PHYSIOLOGY, ts.GLOBAL]).withColumn("keep", F.expr("t % 9 <> 4"))
+    x = series(spark, d).select(F.pmod("node", F.lit(4)).alias("run"), "node", "x")
+    energy = F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)
+    parts = [ts.cleaned(x, confounds, ["run"], ts.confound_columns(whole)).select("run", "node", F.lit(whole).alias("with_global"), energy.alias("energy")) for whole in (True, False)]
+    return rounded(parts[0].union(parts[1]))
+
+
 def nuisance_regression(spark, d):
     """Vectors as series, cleaned of the mean vector of all and a trend, band-passed over kept frames."""
     x = series(spark, d).select(F.pmod("node", F.lit(4)).alias("run"), "node", "x")
@@ -309,9 +361,9 @@ QUERIES = {f.__name__: f for f in (
     excluded_neighbours, mesh_geodesics, noisy_nodes, affinity_rows, pearson_pairs, correlation_above, cm_threshold_density, density_of_all_pairs, fisher_edges, block_mean_connectivity, node_strength, participation_coefficient,
     participation_by_network, degree_top_k, seed_pattern, submatrix_reordered, structural_matrix, matrix_correlation, node_mean_statistic, extreme_edges,
     near_neighbours, parcel_series, connected_components, largest_component, label_patches, mesh_edges, vertex_areas, small_patches_dropped, small_patches_merged,
-    border_nodes, label_propagation, nearest_centroid, patch_centroids, knee_of_sizes, plurality_label, consensus_label, informative_thresholds, suppress_small,
+    border_nodes, label_propagation, map_communities, map_code_lengths, consensus_graph, nearest_centroid, patch_centroids, knee_of_sizes, plurality_label, consensus_label, informative_thresholds, suppress_small,
     jaccard_assignment, greedy_assignment, template_match, template_second_pass, overlapping_networks, restricted_map, diffusion_gradients, procrustes,
-    nuisance_regression, event_series,
+    nuisance_regression, confound_regression, event_series,
 )}
 
 _TH = "th AS (SELECT i, j, w FROM ce WHERE w > 0 AND w >= (SELECT quantile_cont(w, 0.9) FROM ce WHERE w > 0))"
@@ -383,6 +435,19 @@ SQL = {name: f"WITH RECURSIVE {CTE.strip()}{body if body.startswith(',') else '
       w2 AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY eta2 DESC, template) AS k FROM (SELECT node, template, 1 - within / (squares - 2 * n * grand * grand) AS eta2 FROM u))
       SELECT node, template, round(eta2, 6) + 0.0 AS eta2 FROM w1 WHERE k = 1 AND template NOT IN (1, 2) UNION ALL SELECT node, template, round(eta2, 6) + 0.0 FROM w2 WHERE k = 1 AND node IN (SELECT node FROM w1 WHERE k = 1 AND template IN (1, 2))""",
     "border_nodes": f", {_ME}, cl AS (SELECT p_partkey AS node FROM part WHERE p_size < 5), en AS (SELECT i, j FROM me UNION ALL SELECT j, i FROM me) SELECT DISTINCT j AS node FROM en WHERE i IN (SELECT node FROM cl) AND j NOT IN (SELECT node FROM cl)",
+    "map_code_lengths": f""", {_TH}, e AS (SELECT i, j, w FROM th UNION ALL SELECT j, i, w FROM th), n AS (SELECT i AS node, sum(w) / (SELECT sum(w) FROM e) AS p FROM e GROUP BY i),
+      k AS (SELECT 'label' AS kind, node, label AS module FROM gd UNION ALL SELECT 'axis', node, module FROM md),
+      q AS (SELECT a.kind, a.module, sum(w) / (SELECT sum(w) FROM e) AS q FROM e JOIN k a ON a.node = i JOIN k b ON b.node = j AND b.kind = a.kind WHERE a.module <> b.module GROUP BY ALL),
+      f AS (SELECT kind, module, sum(p) AS p, coalesce(any_value(q), 0) AS q FROM n JOIN k USING (node) LEFT JOIN q USING (kind, module) GROUP BY ALL),
+      s AS (SELECT kind, count(*) AS modules, sum(q) * log2(sum(q)) AS a, sum(q * log2(nullif(q, 0))) AS b, sum((p + q) * log2(p + q)) AS c FROM f GROUP BY kind)
+      SELECT kind, modules, round(a - b, 6) + 0.0 AS index_length, round(a - 2 * b + c - (SELECT sum(p * log2(p)) FROM n), 6) + 0.0 AS code_length FROM s""",
+    "consensus_graph": """, r AS (SELECT l_suppkey % 12 AS subject, least(l_partkey % 120, l_orderkey % 120) AS i, greatest(l_partkey % 120, l_orderkey % 120) AS j, sum(l_quantity) - 20 AS w FROM lineitem WHERE l_partkey % 120 <> l_orderkey % 120 GROUP BY ALL),
+      p AS (SELECT i, j, count(*) AS n, avg(w) AS w FROM r WHERE w > 0 GROUP BY ALL),
+      q AS (SELECT p.*, round(sqrt(pow(a.g1 - b.g1, 2) + pow(a.g2 - b.g2, 2) + pow(a.g3 - b.g3, 2)), 3) AS distance, a.hemi = b.hemi AS within FROM p JOIN gd a ON a.node = i JOIN gd b ON b.node = j),
+      e AS (SELECT within, distance, sum(n) AS n FROM q GROUP BY ALL), k AS (SELECT *, sum(n) OVER (PARTITION BY within ORDER BY distance) AS upto, sum(n) OVER (PARTITION BY within) AS total, (SELECT count(DISTINCT subject) FROM r) AS subjects FROM e),
+      b AS (SELECT within, distance, CAST(round_even(upto / total * (total / subjects), 0) AS BIGINT) AS bin, floor(total / subjects) AS last FROM k),
+      s AS (SELECT i, j, w, n, within, row_number() OVER (PARTITION BY within, bin ORDER BY n DESC, w DESC, i, j) AS k FROM q JOIN b USING (within, distance) WHERE bin BETWEEN 1 AND last)
+      SELECT i, j, round(w, 6) + 0.0 AS w, n, within FROM s WHERE k = 1""",
     "nearest_centroid": ", c AS (SELECT hemi, label, avg(g1) AS c1, avg(g2) AS c2, avg(g3) AS c3 FROM gd GROUP BY ALL), p AS (SELECT node, gd.hemi, c.label, sqrt(pow(g1 - c1, 2) + pow(g2 - c.c2, 2) + pow(g3 - c3, 2)) AS d FROM gd JOIN c ON c.hemi = gd.hemi), q AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY d, label) AS k FROM p) SELECT hemi, node, label, round(d, 6) + 0.0 AS distance FROM q WHERE k = 1",
     "patch_centroids": "SELECT label, round(avg(g1), 6) + 0.0 AS x, round(avg(g2), 6) + 0.0 AS y, round(avg(g3), 6) + 0.0 AS z FROM gd GROUP BY label",
     "plurality_label": ", v AS (SELECT module, label, count(*) AS n FROM md WHERE label > 0 GROUP BY ALL), w AS (SELECT *, row_number() OVER (PARTITION BY module ORDER BY n DESC, label) AS k FROM v) SELECT m.module, coalesce(label, 0) AS winner, coalesce(n, 0) AS votes FROM (SELECT DISTINCT module FROM md) m LEFT JOIN (SELECT * FROM w WHERE k = 1) w USING (module)",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..functions import scalar
 from ..operators import aggregates as agg, timeseries as ts, windows as win
@@ -218,6 +218,12 @@ def concatenated_runs(spark, d):
     return win.split_runs(events(spark, d), ["subject"], ["label", "event_id"]).select("event_id", F.col("frame").cast("long").alias("frame"))
 
 
+def rank_matched_ranks(spark, d):
+    """The rank that each event's draw has among its subject's draws."""
+    rank = F.row_number().over(Window.partitionBy("subject").orderBy("resampled", "event_id"))
+    return rank_matched_weights(spark, d).select("event_id", "subject", rank.alias("rank"))
+
+
 def rank_matched_weights(spark, d):
     return win.rank_matched(events(spark, d), ["subject"], "value", "event_id", seed=7).select("event_id", "subject", "value", "resampled")
 
@@ -258,7 +264,7 @@ QUERIES = {f.__name__: f for f in (
     network_sizes, network_counts_wide, sizes_in_roi, describe_by_group, range_by_subject, complete_subjects, run_retention, subjects_with_enough_data,
     without_largest, assigned_share, transformed_mean_r, lookup_chain, outer_sums, key_grid, missing_outputs, upsert_metrics, set_operations, ragged_union,
     pivot_sizes, unpivot, scalar_functions, parsed_names, json_keys, trial_counter, next_values, filled_frames, scrub_and_interpolate, friston_expansion,
-    top_per_subject, stimulus_intervals, unique_names, prefix_sweep, concatenated_runs, rank_matched_weights, event_frames, remaining_frames, design_matrix, response_design,
+    top_per_subject, stimulus_intervals, unique_names, prefix_sweep, concatenated_runs, rank_matched_weights, rank_matched_ranks, event_frames, remaining_frames, design_matrix, response_design,
     event_conditions, snr,
 )}
 
@@ -322,6 +328,7 @@ SQL = {name: f"WITH {CTE.strip()}\n{body}" for name, body in {
       c AS (SELECT DISTINCT subject, unnest(range(n, 0, -20)) AS n_first FROM a)
       SELECT subject, CAST(n_first AS INTEGER) AS n_first, round(avg(value), 6) + 0.0 AS mean, count(*) AS n FROM c JOIN a USING (subject) WHERE t <= n_first GROUP BY ALL""",
     "concatenated_runs": "SELECT event_id, row_number() OVER (PARTITION BY subject ORDER BY label, event_id) - 1 AS frame FROM ev",
+    "rank_matched_ranks": "SELECT event_id, subject, CAST(row_number() OVER (PARTITION BY subject ORDER BY value NULLS FIRST, event_id) AS INTEGER) AS rank FROM ev",
     "event_frames": "SELECT subject, day, label, unnest(range(CAST(ceil(onset / 2.3) AS BIGINT), CAST(floor(ceil(onset / 2.3) + 3.0 / 2.3 + 1) AS BIGINT))) AS frame FROM ev",
     "remaining_frames": """, f AS (SELECT DISTINCT subject, day, unnest(range(CAST(floor(onset / 2.3) AS BIGINT) - 2, CAST(floor(onset / 2.3) AS BIGINT) + 3)) AS frame FROM ev),
       t AS (SELECT subject, day, unnest(range(CAST(ceil(onset / 2.3) AS BIGINT), CAST(floor(ceil(onset / 2.3) + 3.0 / 2.3 + 1) AS BIGINT))) AS frame FROM ev)

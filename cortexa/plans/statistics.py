@@ -198,6 +198,20 @@ SQL = {name: f"WITH RECURSIVE {CTE.strip()}{body if body.startswith(',') else '
       e AS (SELECT label, n, x2, sqrt(2 * (beta2 - 1)) - 1 AS w2, y, 6 + 8 / root * (2 / root + sqrt(1 + 4 / (root * root))) AS a FROM c),
       f AS (SELECT label, n, asinh(y / sqrt(2 / (w2 - 1))) / sqrt(0.5 * ln(w2)) AS z1, (1 - 2 / (9 * a) - cbrt((1 - 2 / a) / (1 + x2 * sqrt(2 / (a - 4))))) / sqrt(2 / (9 * a)) AS z2 FROM e)
       SELECT label, CAST(n AS BIGINT) AS n, round(z1 * z1 + z2 * z2, 6) + 0.0 AS k2, round(exp(-(z1 * z1 + z2 * z2) / 2), 6) + 0.0 AS p FROM f""",
+    "adaptive_test": f""", v AS (SELECT label, grp, k FROM ev JOIN gr USING (subject) WHERE grp IN ('{A}', '{B}') AND k IS NOT NULL),
+      a AS (SELECT label, avg(k) AS m FROM v GROUP BY label), b AS (SELECT label, CAST(count(k) AS DOUBLE) AS n, avg(pow(k - m, 2)) AS m2, avg(pow(k - m, 3)) AS m3, avg(pow(k - m, 4)) AS m4 FROM v JOIN a USING (label) GROUP BY label),
+      c AS (SELECT label, n, m3 / pow(m2, 1.5) * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) AS y, 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) AS beta2,
+        (m4 / (m2 * m2) - 3 * (n - 1) / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))) AS x2, 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS root FROM b WHERE n >= 8 AND m2 > 0),
+      e AS (SELECT label, x2, sqrt(2 * (beta2 - 1)) - 1 AS w2, y, 6 + 8 / root * (2 / root + sqrt(1 + 4 / (root * root))) AS a FROM c),
+      f AS (SELECT label, exp(-(pow(asinh(y / sqrt(2 / (w2 - 1))) / sqrt(0.5 * ln(w2)), 2) + pow((1 - 2 / (9 * a) - cbrt((1 - 2 / a) / (1 + x2 * sqrt(2 / (a - 4))))) / sqrt(2 / (9 * a)), 2)) / 2) > 0.05 AS normal FROM e),
+      r AS (SELECT *, rank() OVER (PARTITION BY label ORDER BY k) + (count(*) OVER (PARTITION BY label, k) - 1) / 2 AS rk FROM v),
+      h AS (SELECT label, sum(CAST(n AS DOUBLE) * n * n - n) AS ties FROM (SELECT label, k, count(*) AS n FROM v GROUP BY ALL) GROUP BY label),
+      s AS (SELECT label, count(*) FILTER (grp = '{A}') AS n_a, count(*) FILTER (grp = '{B}') AS n_b, sum(rk) FILTER (grp = '{A}') AS ra, avg(k) FILTER (grp = '{A}') AS m_a, avg(k) FILTER (grp = '{B}') AS m_b, var_samp(k) FILTER (grp = '{A}') AS v_a, var_samp(k) FILTER (grp = '{B}') AS v_b FROM r GROUP BY label),
+      u AS (SELECT *, ra - n_a * (n_a + 1) / 2 AS ua, CAST(n_a AS DOUBLE) * n_b AS nn, CAST(n_a + n_b AS DOUBLE) AS n, n_a + n_b - 2 AS df, (m_a - m_b) / sqrt(((n_a - 1) * v_a + (n_b - 1) * v_b) / (n_a + n_b - 2) * (1 / n_a + 1 / n_b)) AS t, coalesce(normal, false) AS is_normal FROM s JOIN h USING (label) LEFT JOIN f USING (label)),
+      z AS (SELECT *, (greatest(ua, nn - ua) - nn / 2 - 0.5) / sqrt(nn / 12 * (n + 1 - ties / (n * (n - 1)))) AS z FROM u)
+      SELECT label, is_normal AS normal, round(CASE WHEN is_normal THEN t ELSE ua END, 6) + 0.0 AS statistic,
+        round(CASE WHEN is_normal THEN {p_of_t('t', 'df')} WHEN z <= 0 THEN 1 ELSE greatest(0, 1 - z / 1500 * list_sum(list_transform(range(1001), lambda i: (CASE WHEN i IN (0, 1000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-pow(z * i / 1000, 2) / 2))) / sqrt(2 * pi())) END, 6) + 0.0 AS p,
+        CASE WHEN is_normal THEN 't(' || df || ')' ELSE 'U(' || n_a || ', ' || n_b || ')' END AS test FROM z""",
     "pearson_by_label": ", a AS (SELECT label, count(*) AS n, corr(value, k) AS r FROM ev WHERE value IS NOT NULL AND k IS NOT NULL GROUP BY label) SELECT label, n, round(r, 6) + 0.0 AS r, round(r * sqrt((n - 2) / (1 - r * r)), 6) + 0.0 AS t FROM a",
     "spearman_by_label": """, b AS (SELECT label, rank() OVER (PARTITION BY label ORDER BY value) + (count(*) OVER (PARTITION BY label, value) - 1) / 2 AS x, rank() OVER (PARTITION BY label ORDER BY k) + (count(*) OVER (PARTITION BY label, k) - 1) / 2 AS y FROM ev WHERE value IS NOT NULL AND k IS NOT NULL),
       a AS (SELECT label, count(*) AS n, corr(x, y) AS r FROM b GROUP BY label) SELECT label, n, round(r, 6) + 0.0 AS r, round(r * sqrt((n - 2) / (1 - r * r)), 6) + 0.0 AS t FROM a""",

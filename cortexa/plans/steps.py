@@ -1,13 +1,14 @@
-"""Steps of an analysis whose outputs are tables: done ones are skipped, failures stop what depends on them."""
+"""Steps of an analysis whose outputs are tables, or the partitions of one: done ones are skipped, failures stop only what depends on them."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..sources.shared import present
+from ..sources.shared import present, stored
 
 
 class Step(NamedTuple):
@@ -41,3 +42,47 @@ def run_steps(spark: SparkSession, folder: str, steps: list[Step], again: bool =
             made[step.name] = spark.read.parquet(path)
             report.append((step.name, "done", made[step.name].count(), None))
     return spark.createDataFrame(report, "step string, status string, rows long, error string")
+
+
+ERROR = "__error"
+
+
+def by_subject(rows: DataFrame, key: str, function: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """What ``function`` makes of each subject's rows (its schema has the key), and the error, for one that fails, in a row of its own."""
+
+    def guarded(group: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return function(group).assign(**{ERROR: None})
+        except Exception as e:  # told in the report; other subjects go on
+            return pd.DataFrame({key: group[key].iloc[:1], ERROR: [f"{type(e).__name__}: {e}".splitlines()[0][:200]]}).reindex(columns=[*names, ERROR])
+
+    names = spark_names(rows.sparkSession, schema)
+    return rows.groupBy(key).applyInPandas(guarded, f"{schema}, {ERROR} string")
+
+
+def spark_names(spark: SparkSession, schema: str) -> list[str]:
+    return spark.createDataFrame([], schema).columns
+
+
+def run_subjects(spark: SparkSession, path: str, key: str, wanted: DataFrame, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Make the partitions of a table, one a subject, that are missing; key, status (skipped, done, failed), error.
+
+    ``wanted`` has the subjects' keys. ``make`` gets those that have no mark yet
+    and returns their rows, as ``by_subject`` does. Good rows replace the
+    partitions of their subjects and no others; marks are added behind them, so a
+    run that ends in between does these subjects again. A subject without any row
+    is done, too.
+    """
+    marks = f"{path}.marks"
+    wanted = wanted.select(key).distinct()
+    done = spark.read.parquet(marks).select(key).distinct() if present(spark, f"{marks}/_SUCCESS") else wanted.where("false")
+    missing = stored(wanted.join(done, key, "left_anti"))
+    made = stored(make(missing))
+    failed = stored(made.where(F.col(ERROR).isNotNull()).groupBy(key).agg(F.min(ERROR).alias("error")))
+    good = made.where(F.col(ERROR).isNull()).join(failed, key, "left_anti").drop(ERROR)
+    good.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+    new = stored(missing.join(failed, key, "left_anti").select(key))
+    new.write.mode("append").parquet(marks)
+    skipped = wanted.join(missing, key, "left_anti").select(key, F.lit("skipped").alias("status"), F.lit(None).cast("string").alias("error"))
+    report = new.select(key, F.lit("done").alias("status"), F.lit(None).cast("string").alias("error"))
+    return stored(skipped.union(report).union(failed.select(key, F.lit("failed").alias("status"), "error")))

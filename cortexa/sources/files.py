@@ -22,15 +22,23 @@ def existing(df: DataFrame, wanted: list[str]) -> DataFrame:
     return df.select(*(c for c in wanted if c in df.columns))
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """path, line (from 0), value: numbered within each whole file, whatever the splits."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
-    return whole.select("path", F.posexplode(F.split(F.regexp_replace("value", r"\s+$", ""), r"\r?\n")).alias("line", "value"))
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """path, line (from 0 in each file), value, in splits: a line's number is its place in its split, and the lines of the splits before.
+
+    A first pass counts the lines of each split; both passes plan the same ones.
+    """
+    at = F.col("_metadata")
+    rows = spark.read.text(path).select(at["file_path"].alias("path"), at["file_block_start"].alias("__split"), F.monotonically_increasing_id().alias("__id"), "value")
+    splits = rows.groupBy("path", "__split").agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("path").orderBy("__split").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = splits.select("path", "__split", (F.coalesce(before, F.lit(0)) - F.col("__first")).alias("__offset"))
+    return rows.join(offsets, ["path", "__split"]).select("path", (F.col("__id") + F.col("__offset")).alias("line"), "value")
 
 
 def read_matrix(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """path, i, j, w of headerless numeric matrices."""
-    cells = _lines(spark, path).select("path", F.col("line").alias("i"), F.posexplode(F.split("value", sep)).alias("j", "w"))
+    rows = read_lines(spark, path).where(F.trim("value") != "")
+    cells = rows.select("path", F.col("line").cast("int").alias("i"), F.posexplode(F.split("value", sep)).alias("j", "w"))
     return cells.withColumn("w", F.expr("try_cast(trim(w) AS double)"))
 
 
@@ -42,7 +50,7 @@ def read_scalar(spark: SparkSession, path: str) -> DataFrame:
 
 def read_spaced(spark: SparkSession, path: str, skip: int, columns: dict[str, tuple[int, str]]) -> DataFrame:
     """A table with blanks between its columns: name -> (position, type); the first ``skip`` lines are left out."""
-    rows = _lines(spark, path).where(F.col("line") >= skip).where(F.trim("value") != "").select("path", "line", F.split(F.trim("value"), r"\s+").alias("v"))
+    rows = read_lines(spark, path).where(F.col("line") >= skip).where(F.trim("value") != "").select("path", "line", F.split(F.trim("value"), r"\s+").alias("v"))
     return rows.select("path", "line", *(F.get("v", F.lit(k)).cast(kind).alias(name) for name, (k, kind) in columns.items()))
 
 

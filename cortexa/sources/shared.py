@@ -65,3 +65,26 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{scratch_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+class Scratch:
+    """Parquet tables of an iteration, which are deleted as soon as nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def stored(self, df: DataFrame) -> DataFrame:
+        path = f"{scratch_folder(self.spark)}/table-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = out, path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            discard(self.spark, self.paths.pop(id(table))[1])
+
+    def drop_others(self, *kept: DataFrame) -> None:
+        """Delete all tables but these."""
+        names = {id(x) for x in kept}
+        self.drop(*(table for key, (table, _) in list(self.paths.items()) if key not in names))

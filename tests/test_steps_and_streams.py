@@ -35,3 +35,31 @@ def test_retention_follows_new_files(spark, tmp_path):
     arrive((1, "2024-01-01 12:00:00", 0.2), (1, "2024-01-02 10:00:00", 0.2))
     got = sorted((r.subject, r.start.day, r.n_frames, r.n_kept) for r in spark.read.parquet(table).collect())
     assert got == [(1, 1, 3, 2), (1, 2, 1, 1), (2, 1, 1, 0)]
+
+
+def test_subjects_are_made_once_and_fail_alone(spark, tmp_path):
+    import pandas as pd
+
+    from cortexa.plans import steps
+
+    path, broken = str(tmp_path / "out"), {"c"}
+    rows = spark.createDataFrame([(s, float(k)) for s in "abcd" for k in range(5)], "subject string, v double")
+
+    def make(missing, bad):
+        def mean(group):
+            if group.subject.iloc[0] in bad:
+                raise ValueError("no signal")
+            return pd.DataFrame({"subject": group.subject.iloc[:1], "mean": [group.v.mean()]})
+
+        return steps.by_subject(rows.join(missing, "subject"), "subject", mean, "subject string, mean double")
+
+    run = lambda wanted, bad: {r.subject: (r.status, r.error) for r in steps.run_subjects(spark, path, "subject", wanted, lambda m: make(m, bad)).collect()}
+    three = rows.where("subject < 'd'")
+    assert run(three, broken) == {"a": ("done", None), "b": ("done", None), "c": ("failed", "ValueError: no signal")}
+    first = {p: p.stat().st_mtime_ns for p in (tmp_path / "out").rglob("*.parquet")}
+    assert {p.parent.name for p in first} == {"subject=a", "subject=b"}
+    assert run(rows, set()) == {"a": ("skipped", None), "b": ("skipped", None), "c": ("done", None), "d": ("done", None)}
+    after = {p: p.stat().st_mtime_ns for p in (tmp_path / "out").rglob("*.parquet")}
+    assert first.items() <= after.items() and {p.parent.name for p in after.keys() - first.keys()} == {"subject=c", "subject=d"}
+    assert sorted((r.subject, r["mean"]) for r in spark.read.parquet(path).collect()) == [(s, 2.0) for s in "abcd"]
+    assert {s for s, _ in run(rows, set()).values()} == {"skipped"}
