@@ -206,7 +206,8 @@ def exchange(counts: np.ndarray, classes: int) -> np.ndarray:
             table[a] -= r
             table[:, a] -= c
             table[a, a] -= s
-            left, right = table.sum(axis=1), table.sum(axis=0)
+            # How often the classes stand first and second, the item's neighbours among them, whatever its own class is.
+            left, right = table.sum(axis=1) + c, table.sum(axis=0) + r
             gain_r = _xlogx(table + r) - _xlogx(table)
             gain_c = _xlogx(table + c[:, None]) - _xlogx(table)
             diagonal = np.diagonal(table)

@@ -66,7 +66,9 @@ def contained(docs: DataFrame, items: DataFrame, containment: Fraction = CONTAIN
     A-Z lower-cased. Items without a word or an id match nothing, nor do null
     or empty documents; an item of one to four words has one shingle. Rows that
     repeat a doc_id are documents of their own, of which the best match is
-    given; items that repeat an id likewise. Other columns are ignored.
+    given; items that repeat an id likewise. All words of texts of any length
+    count. Without documents or items there are no rows; other columns are
+    ignored.
     """
     n = F.least(F.lit(SHINGLE), F.regexp_count("text", F.lit(WORDS)))
     items = _usable(items)

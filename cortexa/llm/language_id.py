@@ -239,7 +239,9 @@ def language_id(docs: DataFrame, held_words: int = WORDS, held_grams: int = GRAM
     all if no language was learned. Of languages with equal scores the first in
     order of name is taken; the score is the softmax of the summed scores over
     the root of the text's words. Rows without an id are trained on if they
-    have a language, and are not held out. Other columns are ignored.
+    have a language, and are not held out. Rows that repeat an id or a text
+    count and are scored each; all words of a text of any length count. An empty
+    table gives none; other columns are ignored.
     """
     langs = sorted(r[0] for r in docs.where(~held_out()).select(F.col("lang").cast("string")).where("lang is not null").distinct().collect())
     if not langs:

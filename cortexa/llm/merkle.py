@@ -170,7 +170,11 @@ def damaged(pages: DataFrame) -> DataFrame:
 
 
 def fixity_audit(pages: DataFrame, per_file: int = PER_FILE) -> DataFrame:
-    """Audit the records of ``pages`` against a replica with known damage."""
+    """Audit the records of ``pages`` against a replica with known damage.
+
+    Null and repeated ids, null urls and texts, long records and empty tables
+    are as in ``manifest``; columns besides page_id, url and html are ignored.
+    """
     return audit(manifest(pages, per_file), manifest(damaged(pages), per_file))
 
 

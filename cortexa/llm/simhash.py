@@ -134,6 +134,7 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, bucket: int = BUC
     Null and empty texts have fingerprint zero and link like any other. Rows
     that repeat an id or a text each give a row. A row without an id belongs
     to its group, which is named by the smallest id there is (null if none).
+    All words of a text of any length count; a bit set in exactly half is not.
     Columns besides doc_id and text are ignored; an empty table gives none.
     """
     marked = checkpoint(fingerprints(docs))

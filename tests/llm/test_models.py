@@ -52,6 +52,27 @@ def test_emissions_of_a_class_sum_to_one_with_one_unseen_word(docs_of):
     assert np.allclose((10**model.log_moves).sum(axis=1), 1)
 
 
+def test_exchange_ends_when_no_move_makes_the_text_likelier():
+    def likelihood(counts, own):
+        member = np.eye(own.max() + 1)[own]
+        table = member.T @ counts @ member
+        part = lambda x: (x * np.log(np.maximum(x, 1))).sum()
+        return part(table) - part(table.sum(axis=0)) - part(table.sum(axis=1))
+
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        counts = rng.poisson(rng.gamma(0.4, 8, (14, 14))).astype(float)
+        counts[rng.integers(14)] *= 30
+        np.fill_diagonal(counts, counts.diagonal() * rng.integers(1, 40))  # words that often stand next to themselves
+        own = brown_lm.exchange(counts, 3)
+        best = likelihood(counts, own)
+        for w in range(13):
+            for c in range(3):
+                moved = own.copy()
+                moved[w] = c
+                assert moved.max() < 3 or likelihood(counts, moved) <= best + 1e-6
+
+
 def test_exchange_finds_classes():
     rng = np.random.default_rng(0)
     counts = np.zeros((21, 21))
