@@ -50,6 +50,8 @@ SHAPES = 24
 def shape(word: bytes) -> int:
     """Group of a rarer word: by its length, its last character, and whether it has digits or characters above ASCII."""
     size = 0 if len(word) <= 6 else 1 if len(word) <= 12 else 2
+    if word.isalpha():  # ASCII letters alone
+        return size * 8
     return ((size * 2 + (len(word.translate(None, b"0123456789")) < len(word))) * 2 + (not word.isascii())) * 2 + (word[-1] < 48 or 58 <= word[-1] <= 64)
 
 
@@ -156,13 +158,19 @@ def bigrams(docs: DataFrame, words: dict[bytes, int]) -> np.ndarray:
 
     def of(batches):
         items, total = Items(shared.value), np.zeros(size * size, np.int64)
+        held, many = [], 0
         for _, texts in text_chunks(batches):
             line = [size - 1]
             for text in texts:
                 line += map(items.__getitem__, words_of(text))
                 line.append(size - 1)
             line = np.array(line, np.int64)
-            total += np.bincount(line[:-1] * size + line[1:], minlength=size * size)
+            held.append((line[:-1] * size + line[1:]).astype(np.int32))
+            many += len(line)
+            if many > 4 * STEP:
+                total += np.bincount(np.concatenate(held), minlength=size * size)
+                held, many = [], 0
+        total += np.bincount(np.concatenate([*held, np.zeros(0, np.int32)]), minlength=size * size)
         pair = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(total[pair])], ["pair", "n"])
 
