@@ -210,3 +210,16 @@ def test_confound_regression_matches_numpy(spark):
     got = {(r.run, r.node, r.with_global): r.energy for r in registry.QUERIES["confound_regression"](spark, DATA).collect()}
     assert set(got) == set(want)
     assert all(v == pytest.approx(want[k], abs=1e-5) for k, v in got.items())
+
+
+def test_a_single_tile_is_applied_many_times(spark):
+    rng = np.random.default_rng(7)
+    dense, x = rng.normal(size=(5, 5)) / 3, rng.normal(size=(5, 2))
+    edges = spark.createDataFrame([(i, j, float(dense[i, j])) for i in range(5) for j in range(5)], "i long, j long, w double")
+    places = blocks.placed(spark.createDataFrame([(i,) for i in range(5)], "node long"), side=8)
+    matrix = blocks.SparseBlocks(spark, edges, places)
+    rows = places.join(spark.createDataFrame([(i, x[i].tolist()) for i in range(5)], "node long, x array<double>"), "node")
+    got = {r.node: r.v for r in blocks.unpacked(matrix.times(blocks.packed(rows, matrix.side, 2), 2, power=4), places, 2).collect()}
+    want = np.linalg.matrix_power(dense, 4) @ x
+    assert all(got[i] == pytest.approx(want[i].tolist()) for i in range(5))
+    matrix.close()
