@@ -167,7 +167,7 @@ def bigrams(docs: DataFrame, words: dict[bytes, int]) -> np.ndarray:
             line = np.array(line, np.int64)
             held.append((line[:-1] * size + line[1:]).astype(np.int32))
             many += len(line)
-            if many > 4 * STEP:
+            if many > STEP:
                 total += np.bincount(np.concatenate(held), minlength=size * size)
                 held, many = [], 0
         total += np.bincount(np.concatenate([*held, np.zeros(0, np.int32)]), minlength=size * size)
