@@ -22,22 +22,26 @@ def existing(df: DataFrame, wanted: list[str]) -> DataFrame:
     return df.select(*(c for c in wanted if c in df.columns))
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str, parts: bool = False) -> DataFrame:
     """path, line (from 0 in each file), value, in splits: a line's number is its place in its split, and the lines of the splits before.
 
+    With ``parts`` the files are parts of one, in order of their names: lines are numbered through all of them.
+
     A first pass counts the lines of each split; both passes plan the same ones.
     """
     at = F.col("_metadata")
     rows = spark.read.text(path).select(at["file_path"].alias("path"), at["file_block_start"].alias("__split"), F.monotonically_increasing_id().alias("__id"), "value")
     splits = rows.groupBy("path", "__split").agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.partitionBy("path").orderBy("__split").rowsBetween(Window.unboundedPreceding, -1))
+    # A row for each split; of all parts they are put in order in one task.
+    order = Window.orderBy("path", "__split") if parts else Window.partitionBy("path").orderBy("__split")
+    before = F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, -1))
     offsets = splits.select("path", "__split", (F.coalesce(before, F.lit(0)) - F.col("__first")).alias("__offset"))
-    return rows.join(offsets, ["path", "__split"]).select("path", (F.col("__id") + F.col("__offset")).alias("line"), "value")
+    return rows.join(F.broadcast(offsets), ["path", "__split"]).select("path", (F.col("__id") + F.col("__offset")).alias("line"), "value")
 
 
-def read_matrix(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """path, i, j, w of headerless numeric matrices."""
-    rows = read_lines(spark, path).where(F.trim("value") != "")
+def read_matrix(spark: SparkSession, path: str, sep: str = ",", parts: bool = False) -> DataFrame:
+    """path, i, j, w of headerless numeric matrices, or of one in ``parts``."""
+    rows = read_lines(spark, path, parts).where(F.trim("value") != "")
     cells = rows.select("path", F.col("line").cast("int").alias("i"), F.posexplode(F.split("value", sep)).alias("j", "w"))
     return cells.withColumn("w", F.expr("try_cast(trim(w) AS double)"))
 

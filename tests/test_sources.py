@@ -68,3 +68,29 @@ def test_edges_by_density(spark, tmp_path):
     df = spark.createDataFrame([(0, 1, 0.5, 0.01), (0, 2, 0.4, 0.02)], "i long, j long, w double, density double")
     files.write_edges(df, str(tmp_path / "e"))
     assert rows(spark.read.parquet(str(tmp_path / "e")).where("density = 0.02"), "i", "j", "w") == [(0, 2, 0.4)]
+
+
+def test_matrix_in_parts(spark, tmp_path):
+    """Rows are numbered through all parts, whatever the splits; without ``parts`` in each file."""
+    (tmp_path / "m").mkdir()
+    for k, text in enumerate(("1,2\n3,4\n", "", "5,6\n", "7,8\n9,10\n")):
+        (tmp_path / "m" / f"part-{k:05d}.txt").write_text(text)
+    got = files.read_matrix(spark, str(tmp_path / "m"), parts=True)
+    assert sorted((r.i, r.j, r.w) for r in got.collect()) == [(k // 2, k % 2, k + 1.0) for k in range(10)]
+    assert files.read_matrix(spark, str(tmp_path / "m")).agg({"i": "max"}).first()[0] == 1
+
+
+def test_matrix_of_the_query_is_in_several_parts(spark, monkeypatch):
+    """No task writes the whole matrix."""
+    from checks import DATA
+
+    from cortexa.plans import filed
+
+    seen = []
+    monkeypatch.setattr(filed, "_place", lambda s, place=filed._place: seen.append(place(s)) or seen[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would be one part
+    try:
+        filed.matrix_splits(spark, DATA)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert spark.read.text(seen[0]).select("_metadata.file_path").distinct().count() > 1
