@@ -9,6 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..sources.shared import stored
+
 #: The base columns of the confound table.
 MOTION = ("trans_x", "trans_y", "trans_z", "rot_x", "rot_y", "rot_z")
 PHYSIOLOGY = ("csf", "white_matter")
@@ -237,6 +239,10 @@ def centred_modulation(events: DataFrame, keys: list[str], kind: str, modulation
     return events.join(means, [*keys, kind]).withColumn(modulation, value).drop("__mean")
 
 
+#: Events whose frames are listed and summed in one task; a run of one kind is never split.
+DEALT = 40_000
+
+
 def response_columns(events: DataFrame, keys: list[str], kind: str, onset: str, tr: float, n_frames: int, duration: str | None = None, modulation: str | None = None, oversampling: int = 10, frame_at: float = 0.5) -> DataFrame:
     """keys, kind, frame, response, derivative, dispersion (and each with ``_mod``): what events of a kind evoke in each frame that any reaches.
 
@@ -255,25 +261,32 @@ def response_columns(events: DataFrame, keys: list[str], kind: str, onset: str,
         rows = centred_modulation(rows, keys, kind, modulation)
     first = F.round(F.col(onset) / step).cast("long")
     if duration is None:
-        rows = rows.withColumn("__at", first * F.lit(step)).withColumn("__w", F.lit(1.0))
+        steps, weight = F.lit(1), F.lit(1.0)
     else:
         steps = F.greatest(F.lit(1), F.round(F.coalesce(F.col(duration), F.lit(0.0)) / step).cast("int"))
-        rows = rows.withColumn("__w", F.when(F.coalesce(F.col(duration), F.lit(0.0)) > 0, F.lit(step)).otherwise(1.0))
-        rows = rows.withColumn("__at", F.explode(F.sequence(first, first + steps - 1))).withColumn("__at", F.col("__at") * F.lit(step))
+        weight = F.when(F.coalesce(F.col(duration), F.lit(0.0)) > 0, F.lit(step)).otherwise(1.0)
+    # What begins at one step and lasts as long is one event of their summed weight, so that no key has more of them than there are steps.
+    sums = [F.sum(weight).alias("__w"), *([F.sum(weight * F.col(modulation)).alias("__m")] if modulation else [])]
+    rows = stored(rows.withColumn("__first", first).withColumn("__steps", steps).groupBy(*keys, kind, "__first", "__steps").agg(*sums))
+    # Dealt by run and kind before the frames are listed, so that these are summed where they are.
+    rows = rows.repartition(max(1, -(-rows.count() // DEALT)), *keys, kind)
+    rows = rows.withColumn("__at", F.explode(F.sequence("__first", F.col("__first") + F.col("__steps") - 1))).withColumn("__at", F.col("__at") * F.lit(step))
     low = F.greatest(F.lit(0), F.ceil(F.col("__at") / tr - frame_at)).cast("long")
     high = F.least(F.lit(n_frames - 1), F.floor((F.col("__at") + RESPONSE_LENGTH + TIME_STEP) / tr - frame_at)).cast("long")
     rows = rows.withColumn("frame", F.explode(F.when(low <= high, F.sequence(low, high))))
     lag = (F.col("frame") + frame_at) * tr - F.col("__at")
-    made = {name: column * F.col("__w") for name, column in responses(lag).items()}
+    found = responses(lag)
+    made = {name: column * F.col("__w") for name, column in found.items()}
     if modulation:
-        made |= {f"{name}_mod": column * F.col(modulation) for name, column in dict(made).items()}
+        made |= {f"{name}_mod": column * F.col("__m") for name, column in found.items()}
     return rows.groupBy(*keys, kind, "frame").agg(*(F.sum(column).alias(name) for name, column in made.items()))
 
 
 def orthogonalised(columns: DataFrame, keys: list[str], column: str, to: str) -> DataFrame:
     """``column`` without what ``to`` explains of it within keys, over the frames that are listed (others are 0 in both)."""
-    fit = columns.groupBy(*keys).agg(F.try_divide(F.sum(F.col(column) * F.col(to)), F.sum(F.col(to) * F.col(to))).alias("__b"))
-    return columns.join(fit, keys).withColumn(column, F.col(column) - F.coalesce("__b", F.lit(0.0)) * F.col(to)).drop("__b")
+    of = Window.partitionBy(*keys)  # frames of one run and kind, which are few
+    fit = F.try_divide(F.sum(F.col(column) * F.col(to)).over(of), F.sum(F.col(to) * F.col(to)).over(of))
+    return columns.withColumn("__b", fit).withColumn(column, F.col(column) - F.coalesce("__b", F.lit(0.0)) * F.col(to)).drop("__b")
 
 
 def filled_design(columns: DataFrame, keys: list[str], kind: str, kinds: list[str], names: list[str], n_frames: int, scale: bool = False) -> DataFrame:

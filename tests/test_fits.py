@@ -223,3 +223,11 @@ def test_a_single_tile_is_applied_many_times(spark):
     want = np.linalg.matrix_power(dense, 4) @ x
     assert all(got[i] == pytest.approx(want[i].tolist()) for i in range(5))
     matrix.close()
+
+
+def test_frames_of_responses_are_not_shuffled(spark):
+    """Events are dealt by run and kind, and their frames summed there; orthogonal columns come of the same pass."""
+    df = spark.createDataFrame([(r, "ab"[k % 2], 7.0 * k, 1.5, float(k % 5)) for r in range(3) for k in range(20)], "run long, kind string, onset double, duration double, m double")
+    out = ts.orthogonalised(ts.response_columns(df, ["run"], "kind", "onset", 2.0, 100, "duration", "m", 5), ["run", "kind"], "response_mod", "response")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Join" not in plan
