@@ -333,3 +333,20 @@ def test_ranks_without_keys(spark):
     df = spark.createDataFrame([(k, float(v)) for k, v in enumerate(x)] + [(-1, None)], "k int, x double")
     got = {r.k: r.rank_avg for r in stats.average_rank(df, [], "x").collect()}
     assert got == {k: (x < v).sum() + ((x == v).sum() + 1) / 2 for k, v in enumerate(x)}
+
+
+@pytest.mark.parametrize("held", [{"held_ends": 7}, {"held_nodes": 3}])
+def test_labels_of_packed_and_joined_graphs(spark, held):
+    """Both ways of voting end in the same labels, in a graph of several rows."""
+    rng = np.random.default_rng(5)
+    edges = [(i, j, round(float(rng.random()), 2)) for i in range(30) for j in range(i + 1, 30) if rng.random() < (0.6 if i // 10 == j // 10 else 0.05)]
+    label, seen = {n: n for e in edges for n in e[:2]}, []
+    while label not in seen:
+        seen.append(label)
+        votes = {n: {m: max(w for i, j, w in edges if n in (i, j))} for n, m in label.items()}
+        for i, j, w in edges + [(j, i, w) for i, j, w in edges]:
+            votes[i][label[j]] = votes[i].get(label[j], 0.0) + w
+        label = {n: min(v, key=lambda m: (-round(v[m], 9), m)) for n, v in votes.items()}
+    cycle = seen[seen.index(label) :]
+    want = {n: min(c[n] for c in cycle) for n in label}
+    assert {r.node: r.module for r in graph.label_propagation(edges_of(spark, edges), **held).collect()} == want
