@@ -231,3 +231,35 @@ def test_frames_of_responses_are_not_shuffled(spark):
     out = ts.orthogonalised(ts.response_columns(df, ["run"], "kind", "onset", 2.0, 100, "duration", "m", 5), ["run", "kind"], "response_mod", "response")
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 1 and "Join" not in plan
+
+
+def _dense_gradients(a, components):
+    d = a.sum(axis=1)
+    a = a / np.sqrt(np.outer(d, d))
+    d = a.sum(axis=1)
+    values, axes = np.linalg.eigh(a / np.sqrt(np.outer(d, d)))
+    return [(axes[:, k] / np.sqrt(d) * abs(values[k]) / (1 - abs(values[k]))) for k in np.argsort(-np.abs(values))[1 : components + 1]]
+
+
+@pytest.mark.parametrize("broadcast_bytes", [8 * 500 * 20])
+def test_gradients_of_series_make_no_table_of_edges(spark, monkeypatch, broadcast_bytes):
+    from checks import DATA
+
+    from cortexa.operators import pairs
+    from cortexa.plans import tables
+
+    series = tables.series(spark, DATA)
+    monkeypatch.setattr(pairs, "LEAST", 128)
+    weights = grad.affinity(cm.correlation_edges(series)).collect()
+    for module in (cm, grad):
+        monkeypatch.setattr(module, "both_ways", None)
+    got = {r.node: r.g for r in grad.gradients_of(series, 3, tolerance=1e-3, held=4, broadcast_bytes=broadcast_bytes).collect()}
+    nodes = sorted(got)
+    assert len(nodes) == 500
+    a = np.zeros((500, 500))
+    for r in weights:
+        a[nodes.index(r.i), nodes.index(r.j)] = r.w
+    for c, want in enumerate(_dense_gradients(a, 3)):
+        g = np.array([got[n][c] for n in nodes])
+        assert abs(np.corrcoef(g, want)[0, 1]) > 0.9999
+        assert np.linalg.norm(g) / np.linalg.norm(want) == pytest.approx(1, abs=1e-3) and (g**3).sum() >= 0
